@@ -126,14 +126,38 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(first, start, side="right") - 1
 
 
-def slabs(rows, size: int = 4_000_000):
-    """Split a list of (text, row) into runs of about `size` characters, so that arrays stay small beside long texts."""
-    run, n = [], 0
-    for text, row in rows:
-        run.append((text, row))
-        n += len(text)
-        if n >= size:
-            yield run
-            run, n = [], 0
-    if run:
-        yield run
+def map_texts(df: DataFrame, added: str, run, text: str = "text", keep_text: bool = False, setup=None) -> DataFrame:
+    """df's other columns unchanged (any types, nulls whole) and the columns `added` (DDL) made from its text column.
+
+    run(texts) gets a list of strings (null read as empty) of a few million characters together, or one longer text,
+    and returns a list of columns. With setup, run(setup_value, texts): setup() is called once for each task.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    kept = [c for c in df.columns if keep_text or c != text]
+    more = StructType.fromDDL(added)
+    arrow = [f.type for f in to_arrow_schema(more)]
+    schema = StructType([f for f in df.schema if f.name in kept] + list(more))
+    names = schema.names
+
+    def batches(source):
+        value = setup() if setup else None
+        for batch in source:
+            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
+            lo, n = 0, 0
+            for i, t in enumerate(texts):
+                texts[i] = t or ""
+                n += len(texts[i])
+                if n >= 2_000_000 or i + 1 == len(texts):
+                    got = run(value, texts[lo : i + 1]) if setup else run(texts[lo : i + 1])
+                    part = batch.slice(lo, i + 1 - lo)
+                    cols = [part.column(part.schema.get_field_index(c)) for c in kept]
+                    cols += [pa.array(x, type=kind) for x, kind in zip(got, arrow, strict=True)]
+                    yield pa.RecordBatch.from_arrays(cols, names=names)
+                    lo, n = i + 1, 0
+
+    return df.mapInArrow(batches, schema)

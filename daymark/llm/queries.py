@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import pii, quality, secrets, urls
 from .common import table
 
 
@@ -12,5 +12,22 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op9_quality_rules": op9_quality_rules}
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op3_pii": op3_pii,
+    "op4_url_filters": op4_url_filters,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_secret_scans": op10_secret_scans,
+}
 ORACLE_SQL: dict[str, str] = {}
