@@ -126,6 +126,19 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(first, start, side="right") - 1
 
 
+def slabs(texts: list, size: int = 2_000_000):
+    """Runs of texts (null read as empty) of about `size` characters together, or one longer text."""
+    run, n = [], 0
+    for t in texts:
+        run.append(t or "")
+        n += len(run[-1])
+        if n >= size:
+            yield run
+            run, n = [], 0
+    if run:
+        yield run
+
+
 def map_texts(df: DataFrame, added: str, run, text: str = "text", keep_text: bool = False, setup=None) -> DataFrame:
     """df's other columns unchanged (any types, nulls whole) and the columns `added` (DDL) made from its text column.
 
@@ -148,16 +161,13 @@ def map_texts(df: DataFrame, added: str, run, text: str = "text", keep_text: boo
         value = setup() if setup else None
         for batch in source:
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            lo, n = 0, 0
-            for i, t in enumerate(texts):
-                texts[i] = t or ""
-                n += len(texts[i])
-                if n >= 2_000_000 or i + 1 == len(texts):
-                    got = run(value, texts[lo : i + 1]) if setup else run(texts[lo : i + 1])
-                    part = batch.slice(lo, i + 1 - lo)
-                    cols = [part.column(part.schema.get_field_index(c)) for c in kept]
-                    cols += [pa.array(x, type=kind) for x, kind in zip(got, arrow, strict=True)]
-                    yield pa.RecordBatch.from_arrays(cols, names=names)
-                    lo, n = i + 1, 0
+            lo = 0
+            for run_of in slabs(texts):
+                got = run(value, run_of) if setup else run(run_of)
+                part = batch.slice(lo, len(run_of))
+                cols = [part.column(part.schema.get_field_index(c)) for c in kept]
+                cols += [pa.array(x, type=kind) for x, kind in zip(got, arrow, strict=True)]
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+                lo += len(run_of)
 
     return df.mapInArrow(batches, schema)
