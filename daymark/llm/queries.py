@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, packing, pii, quality, secrets, toxicity, urls
+from . import minhash, packing, pii, quality, secrets, toxicity, urls, vectors
 from .common import table
 
 
@@ -21,13 +21,17 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"))
 
 
-#: The tokenizers' files: a parameter of the operators, found here for the queries.
 def tokenizer_file(name: str) -> str:
+    """A tokenizer's file: a parameter of the operators, found here for the queries."""
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
@@ -45,6 +49,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_pii": op3_pii,
     "op4_url_filters": op4_url_filters,
