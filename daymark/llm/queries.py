@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, packing, pii, quality, secrets, toxicity, urls, vectors
+from . import chat, minhash, packing, pii, quality, secrets, sentences, toxicity, urls, vectors
 from .common import table
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -17,6 +21,14 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(table(spark, sf_dir, "documents")).select("doc_id", "component_id", "kept")
 
 
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", odd), (-1, 1, "assistant", odd)], told.schema)
+    nodes, members = chat.tree(told.unionByName(more), tokenizer_file("byte_bpe_50k.json"))
+    return chat.read_back(nodes, members, tokenizer_file("byte_bpe_50k.json"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"))
 
@@ -53,8 +65,10 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_pii": op3_pii,
     "op4_url_filters": op4_url_filters,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_toxicity": op6_toxicity,
     "op7_minhash": op7_minhash,
+    "op8_chat_formatting": op8_chat_formatting,
     "op9_quality_rules": op9_quality_rules,
     "op10_secret_scans": op10_secret_scans,
 }
