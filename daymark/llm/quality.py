@@ -68,9 +68,7 @@ def statistics(text: Column) -> dict[str, Column]:
 
 
 def measure(df: DataFrame, text: str = "text") -> DataFrame:
-    """df and the statistics as columns q_*; columns of df that begin with q_ would clash and are refused."""
-    if any(c.lower().startswith("q_") for c in df.columns):
-        raise ValueError("columns that begin with q_ are reserved")
+    """df and the statistics as columns q_*, names that df must not have itself (filter_documents() keeps other columns apart)."""
     s = statistics(F.col(f"`{text}`"))
     df = df.select("*", *(c.alias(f"q_{k}") for k, c in s.items()))
     df = df.select(
@@ -175,11 +173,12 @@ def filter_documents(docs: DataFrame, text: str = "text", lang: str = "lang", so
     Null or empty text fails the base rules; null languages and sources are groups of their own; an empty table
     gives an empty one; repeated rows each get the verdict of their text.
     """
-    measured = measure(docs, text)
-    stats = save(measured.select(lang, source, "q_base_failed", *(f"q_{f}" for f in FEATURES)))
-    model = fit(stats, lang, source)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{source}`").alias("source"))
+    measured = measure(rows)
+    stats = save(measured.select("lang", "source", "q_base_failed", *(f"q_{f}" for f in FEATURES)))
+    model = fit(stats)
     forget(stats)
-    return judge(measured, model, lang, source).where("q_kept").select(*(f"`{c}`" for c in docs.columns))
+    return judge(measured, model).where("q_kept").select("row.*")
 
 
 def verdicts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:

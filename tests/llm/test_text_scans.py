@@ -1,0 +1,133 @@
+"""PII, secrets, URL filters: against plain regexes, and the defined edge cases."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+
+from daymark.llm import pii, secrets, urls
+from daymark.llm.automaton import Automaton
+
+PII_PATTERNS = (
+    r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]",
+)
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, spans string, kind long"
+
+
+def docs(spark, texts):
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x", 1) for i, t in texts], DOCS)
+
+
+def plain_pii(text):
+    out = []
+    for k, p in enumerate(PII_PATTERNS):
+        for m in re.finditer(p, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            ok = (True, k == 1 and all(int(x) <= 255 for x in m[0].split(".")), 14 <= len(digits) <= 19 and pii.luhn(digits), 10 <= len(digits) <= 15)[k]
+            if ok:
+                out.append((m.start(), m.end(), pii.KINDS[k]))
+    return sorted(out, key=lambda s: (s[0], pii.KINDS.index(s[2])))
+
+
+def plain_secrets(text, rules=secrets.RULES):
+    out = []
+    for k, r in enumerate(rules):
+        for m in re.finditer(r.pattern, text, (re.I if r.ignore_case else 0) | re.A):
+            if m.end(r.group) - m.start(r.group) >= r.least:
+                out.append((m.start(), m.end(), k))
+    return sorted(out, key=lambda s: (s[0], s[2]))
+
+
+def mixed(bits, n, seed):
+    rng = random.Random(seed)
+    return ["".join(rng.choice(bits) for _ in range(rng.randint(0, 30))) for _ in range(n)] + ["", "a" * 50_000, "1" * 50_000]
+
+
+def test_base_pii_spans_equal_the_plain_regexes():
+    bits = ["a@b", "@", ".", "c.d", "1", "23", "+1", "4111111111111111", " ", "-", "(", ")", "255", "256", "0", "é", "\n", "x"]
+    for text in mixed(bits, 3000, 1)[:-2]:
+        assert pii.base_spans(text) == plain_pii(text), text
+
+
+@pytest.fixture(scope="module")
+def scanner():
+    return secrets.Scanner()
+
+
+def test_secret_spans_equal_the_plain_regexes(scanner):
+    bits = ["password", "=", ":", '"', " ", "secret", "TOKEN", "api_key", "AKIA", "0123456789abcdef", "ABCDEFGHJKLMNOPQ", "é", ",", "\n", "a", "ghp_", "eyJ", ".", "-----BEGIN ", "PRIVATE KEY-----", "漢"]
+    texts = mixed(bits, 2000, 2) + ["f" * 70_000 + "é" + "0" * 30_000]
+    for text, got in zip(texts, scanner.spans(texts), strict=True):
+        assert got == plain_secrets(text), text[:80]
+
+
+def test_automaton_marks_every_rule_and_refuses_what_it_cannot_parse():
+    rules = [(r"a[^b]c", False), (r"x{2,3}y", False), (r"(?:foo|bar)+\d", True), (r"\x41\.", False)]
+    a = Automaton(rules)
+    rng = random.Random(3)
+    for _ in range(500):
+        text = "".join(rng.choice("abcxyfoOBr1A. é") for _ in range(rng.randint(0, 40)))
+        bits = 0
+        for *_, b in a.scan([text.encode()]):
+            bits |= b
+        want = sum(1 << k for k, (p, fold) in enumerate(rules) if re.search(p.replace("[^b]", "[^b\\x80-\\xff]") if False else p, text, re.I if fold else 0))
+        # the automaton reads bytes: a class that is negated there matches one byte of a longer character
+        assert bits & 0b1110 == want & 0b1110, text
+    for bad in (r"a(?=b)", r"^a", r"a\b", "("):
+        with pytest.raises((ValueError, IndexError)):
+            Automaton([(bad, False)])
+
+
+def test_tagger_learns_and_adds_only_what_base_rules_miss():
+    model = pii.trained()
+    x, y = pii.labelled(np.random.default_rng(5), 300)
+    got = np.array([model.viterbi(u) for u in model.emissions(x.astype(np.int64))])
+    assert (got == y).mean() > 0.85
+    assert pii.all_spans(model, ["", "no digits here", "x" * 20_000]) == [[], [], []]
+    text = "call (456) 555-2186 or mail a.b@c.org"
+    spans = pii.all_spans(model, [text])[0]
+    assert set(plain_pii(text)) <= set(spans) and all(0 <= a < b <= len(text) for a, b, _ in spans)
+
+
+def test_masks_join_overlaps():
+    assert pii.mask("a@b.co and 4111 1111 1111 1111", [(0, 6, "email"), (11, 30, "card"), (15, 20, "phone")]) == "[EMAIL] and [CARD]"
+
+
+def test_scans_of_null_empty_long_and_repeated_texts(spark):
+    long = "word " * 40_000 + "mail a@b.co"
+    rows = [(1, None), (2, ""), (3, "password=abcdef1 a@b.co"), (3, "password=abcdef1 a@b.co"), (None, long)]
+    got = [(r.doc_id, r.n_email, r.spans) for r in pii.find(docs(spark, rows)).collect()]
+    at = len(long) - 6
+    assert sorted(got, key=str) == sorted([(1, 0, ""), (2, 0, ""), (3, 1, "email:17:23"), (3, 1, "email:17:23"), (None, 1, f"email:{at}:{at + 6}")], key=str)
+    found = {r.doc_id: r for r in secrets.find(docs(spark, rows)).collect()}
+    assert found[3].n_assign == 1 and found[3].base_sha256 == hashlib.sha256(b"assign:0:16").hexdigest() and found[1].base_sha256 == hashlib.sha256(b"").hexdigest()
+    clean = {r.doc_id: r for r in pii.redact(docs(spark, rows)).collect()}
+    assert clean[3].text == "password=abcdef1 [EMAIL]" and clean[3].n_chars == 24 and clean[1].text is None and clean[3].spans == "x"
+    assert pii.find(docs(spark, [])).count() == 0 and secrets.find(docs(spark, [])).count() == 0 and pii.redact(docs(spark, [])).count() == 0
+
+
+def plain_verdict(url, rules=urls.RULES):
+    host, path = urls.split_url(url)
+    fits = [(h + p, v) for v, r in rules for h, _, q in [r.partition("/")] for p in ["/" + q] if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return max(fits, key=lambda f: len(f[0]), default=(None, None))
+
+
+def test_rules_equal_brute_force_and_the_longest_wins():
+    f = urls.Filter()
+    rng = random.Random(4)
+    for _ in range(3000):
+        url = rng.choice(["http://", "HTTPS://", "", "x"]) + rng.choice(["", "m.", "www."]) + rng.choice(["Example.org", "example.com", "ads-track.example.net", "org", "notexample.org"]) + rng.choice(["", "/", "/en/1", "/en/12?x#y", "/es/", "/de/3", "/fr", "#/en/1", "?/de/"])
+        assert f.rule(*urls.split_url(url)) == plain_verdict(url), url
+
+
+def test_url_model_and_edge_cases(spark):
+    f = urls.Filter()
+    right = sum((f.score(*urls.split_url(u)) >= 0.5) == bool(y) for u, y in urls.LABELLED)
+    assert right >= 0.95 * len(urls.LABELLED)
+    assert f.score(*urls.split_url("http://m.ads-track.other.example.net/en/5")) > f.score(*urls.split_url("http://garden.example.net/en/5"))
+    rows = spark.createDataFrame([(1, None, "a"), (2, "no scheme", "a"), (3, "http://Sub.Example.org/es/1", "a"), (None, "http://x.com/de/", "a"), (3, "http://Sub.Example.org/es/1", "a")], "page_id long, url string, host string")
+    got = sorted(((r.page_id, r.host, r.path, r.rule, r.verdict) for r in urls.judge(rows).collect()), key=str)
+    want = [(1, "", "", None, "allow"), (2, "", "", None, "allow"), (3, "sub.example.org", "/es/1", "example.org/es/", "block")] + [(3, "sub.example.org", "/es/1", "example.org/es/", "block"), (None, "x.com", "/de/", "com/de/", "block")]
+    assert got == sorted(want, key=str)
