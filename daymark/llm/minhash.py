@@ -8,9 +8,9 @@ shingles plus about m log m points. Two signatures agree in a place with the pro
 similarity of the multisets.
 
 Texts that are equal, and those with equal multisets, are first put in one class. Bands pair classes; each pair is
-verified by the exact overlap of the multisets. In a bucket every class is paired with one centre; where classes of
-a bucket are still apart after that, other centres are tried and then all pairs that are left are verified, so that
-no bucket is capped.
+verified by the exact overlap of the multisets. A class is first compared with a few centres of its buckets. Buckets
+whose classes are in several components after that are compared whole, in pairs of blocks, one task each; what leaves
+a task is a spanning forest. No bucket is capped.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX, components, forget, map_texts, mix, save, word_hashes
+from .common import MIX, components, forget, local_roots, map_texts, mix, save, word_hashes
 
 SHINGLE = 5
 BANDS, ROWS = 48, 7
@@ -27,6 +27,8 @@ PLACES = BANDS * ROWS
 SIMILARITY = 0.8
 #: One-bit checks compared before an exact verification; 256 bits, of which similar texts differ in 26 on average.
 CHECKS, MOST_DIFFERENT = 4, 56
+#: Centres that a class is compared with first, and the size of blocks in which what is left of a bucket is compared.
+STARS, BLOCK_ROWS, BLOCK_ELEMENTS = 3, 2_048, 1_000_000
 U = np.uint64
 
 
@@ -160,7 +162,7 @@ def _alike(x: str, y: str):
     return (F.least(f"{x}w", f"{y}w") >= SIMILARITY * F.greatest(f"{x}w", f"{y}w") - 1e-9) & (differ <= MOST_DIFFERENT)
 
 
-def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", star_rounds: int = 2) -> DataFrame:
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per distinct (doc_id, text): doc_id, component_id, kept.
 
     component_id is the smallest doc_id of the near-duplicate group (null for a group of null ids alone); one document of a
@@ -179,7 +181,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", star_ro
     kinds = save(kinds.withColumn("cls", F.monotonically_increasing_id()))
     light = kinds.select("cls", "w", *(F.get("checks", F.lit(i)).alias(f"c{i}") for i in range(CHECKS)))
     bucket = save(_buckets(kinds))
-    edges = _link(spark_docs=rows, found=found, kinds=kinds, light=light, bucket=bucket, star_rounds=star_rounds)
+    edges = _link(rows, kinds, light, bucket)
     group = kinds.select("cls", "d1", "d2", "least").join(edges.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     head = group.groupBy("component").agg(F.min("least").alias("head"))
     member = save(group.join(head, "component").select("d1", "d2", "head"))
@@ -190,50 +192,90 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", star_ro
 
 
 def _buckets(kinds: DataFrame) -> DataFrame:
-    """(key, cls) of buckets with two classes at least."""
+    """(key, cls, n) of buckets with two classes at least, n being their number."""
     long = kinds.select("cls", F.explode("keys").alias("key"))
-    many = long.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    many = long.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     return long.join(many, "key")
 
 
-def _link(spark_docs: DataFrame, found: DataFrame, kinds: DataFrame, light: DataFrame, bucket: DataFrame, star_rounds: int) -> DataFrame:
-    """Components of classes (node, component) from verified pairs."""
+def _stars(bucket: DataFrame) -> DataFrame:
+    """Pairs of classes that share a bucket, few for each class: the best of its buckets' centres, by STARS orders.
+
+    In the first order a class is the better, the more classes its buckets hold: the text that most of a group derive
+    from meets the most of them. In the others a hash decides. So pairs grow as classes do, however large a bucket is.
+    """
+    degree = bucket.groupBy("cls").agg(F.sum("n").alias("degree"))
+    rows = bucket.select("key", "cls").join(degree, "cls")
+
+    def order(j):
+        return F.struct((F.lit(0) if j else -F.col("degree")).cast("long").alias("d"), F.xxhash64("cls", F.lit(j)).alias("h"), F.col("cls").alias("m"))
+
+    centres = rows.groupBy("key").agg(*(F.min(order(j)).alias(f"m{j}") for j in range(STARS)))
+    near = bucket.select("key", "cls").join(centres, "key").groupBy("cls").agg(*(F.min(F.when(F.col(f"m{j}.m") != F.col("cls"), F.col(f"m{j}"))).alias(f"m{j}") for j in range(STARS)))
+    pairs = near.select("cls", F.explode(F.array(*(F.col(f"m{j}.m") for j in range(STARS)))).alias("m")).where("m IS NOT NULL")
+    return pairs.select(F.least("cls", "m").alias("a"), F.greatest("cls", "m").alias("b")).distinct()
+
+
+def _compare_blocks(key, rows):
+    """All pairs of one pair of blocks of a bucket whose components differ: edges between components that a similar pair joins.
+
+    Check bits and sizes come first, exact overlaps for those that pass; only a spanning forest leaves the task.
+    """
+    import pyarrow as pa
+
+    x, y = key[1].as_py(), key[2].as_py()
+    rows = rows.combine_chunks()
+    block, comp, w = (rows[c].to_numpy() for c in ("block", "component", "w"))
+    checks = np.column_stack([rows[f"c{i}"].to_numpy() for i in range(CHECKS)]).view(U)
+    lists = rows["elements"].chunk(0) if rows["elements"].num_chunks else rows["elements"].combine_chunks()
+    size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    ids = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True)[1]
+    start = np.cumsum(size) - size
+    names, node = np.unique(comp, return_inverse=True)
+    a, b = np.flatnonzero(block == x), np.flatnonzero(block == y)
+    mine = np.zeros(len(ids) and ids.max() + 1, bool)
+    ei, ej = [], []
+    for part in np.array_split(a, max(1, len(a) // 128)):
+        differ = sum(np.bitwise_count(checks[part, None, i] ^ checks[None, b, i]).astype(np.int16) for i in range(CHECKS))
+        low, high = np.minimum(w[part, None], w[None, b]), np.maximum(w[part, None], w[None, b])
+        near = (differ <= MOST_DIFFERENT) & (low >= SIMILARITY * high - 1e-9) & (node[part, None] != node[None, b])
+        for k in np.flatnonzero(near.any(axis=1)):
+            i, js = part[k], b[near[k]]
+            own = ids[start[i] : start[i] + size[i]]
+            mine[own] = True
+            n = size[js]
+            flat = np.arange(n.sum()) + np.repeat(start[js] - (np.cumsum(n) - n), n)
+            common = np.add.reduceat(mine[ids[flat]].astype(np.int64), np.cumsum(n) - n)
+            mine[own] = False
+            js = js[common >= SIMILARITY * (size[i] + n - common) - 1e-9]
+            ei.append(np.full(len(js), node[i]))
+            ej.append(node[js])
+    root = local_roots(len(names), np.concatenate(ei), np.concatenate(ej)) if ei else np.arange(len(names))
+    child = np.flatnonzero(root != np.arange(len(names)))
+    return pa.table({"a": names[root[child]], "b": names[child]})
+
+
+def _link(spark_docs: DataFrame, kinds: DataFrame, light: DataFrame, bucket: DataFrame) -> DataFrame:
+    """Components of classes (node, component) from verified pairs: stars first, then all pairs of buckets that are still in several components."""
     side = lambda p: light.select(F.col("cls").alias(p), F.col("w").alias(f"{p}w"), *(F.col(f"c{i}").alias(f"{p}c{i}") for i in range(CHECKS)))
     # multisets of the classes that are in any bucket, from one text each
     some = bucket.select("cls").distinct()
     heads = kinds.join(some, "cls").select("cls", F.col("least.doc_id").alias("h"), F.col("least.t1").alias("h1"), F.col("least.t2").alias("h2"))
     texts = spark_docs.join(heads, spark_docs["doc_id"].eqNullSafe(heads["h"]) & (spark_docs["t1"] == heads["h1"]) & (spark_docs["t2"] == heads["h2"])).select("cls", "text")
     sets = save(map_texts(texts, "elements array<bigint>", lambda t: [elements(*shingles(t))]).dropDuplicates(["cls"]))
-    label = None
-    links = None
-    tried = None
-    for r in range(star_rounds + 1):
-        if label is None:
-            at = bucket.withColumn("component", F.col("cls"))
-        else:
-            at = bucket.join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-        spread = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct(F.xxhash64("cls", F.lit(r)), "cls")).alias("centre"))
-        at = at.join(spread.where("lo <> hi").select("key", F.col("centre.cls").alias("m")), "key")
-        if r < star_rounds:  # every class with its bucket's centre
-            pairs = at.where("cls <> m").select(F.least("cls", "m").alias("a"), F.greatest("cls", "m").alias("b")).distinct()
-        else:  # what is left: all pairs of different components
-            at = save(at.select("key", "cls", "component", F.col("cls").alias("j")))
-            x = at.join(light, "cls").select("key", F.col("cls").alias("a"), F.col("component").alias("ca"), F.col("w").alias("aw"), *(F.col(f"c{i}").alias(f"ac{i}") for i in range(CHECKS)))
-            y = at.join(light, "cls").select("key", F.col("cls").alias("b"), F.col("component").alias("cb"), F.col("w").alias("bw"), *(F.col(f"c{i}").alias(f"bc{i}") for i in range(CHECKS)))
-            x, y = save(x), save(y)
-            cond = (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _alike("a", "b")
-            pairs = x.join(y, cond).select("a", "b").distinct()
-        if r < star_rounds:
-            pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(_alike("a", "b")).select("a", "b")
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = save(pairs)
-        good = save(_verified(pairs, sets))
-        tried = pairs if tried is None else save(tried.unionByName(pairs))
-        links = good if links is None else save(links.unionByName(good))
-        label = components(links)
-    forget(sets)
-    return label
+    pairs = save(_stars(bucket).join(side("a"), "a").join(side("b"), "b").where(_alike("a", "b")).select("a", "b"))
+    links = save(_verified(pairs, sets))
+    label = components(links)
+    at = save(bucket.select("key", "cls").join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls")))
+    blocks = F.greatest(F.ceil(F.sum("w") / BLOCK_ELEMENTS), F.ceil(F.count("*") / BLOCK_ROWS)).cast("int")
+    per = at.join(light.select("cls", "w"), "cls").groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), blocks.alias("blocks")).where("lo <> hi")
+    part = at.join(per.select("key", "blocks"), "key").withColumn("block", F.pmod(F.xxhash64("cls", "key"), F.col("blocks")).cast("int"))
+    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("x"), F.greatest("block", o).alias("y")))
+    part = part.join(light, "cls").join(sets, "cls").select("key", "component", "w", *(f"c{i}" for i in range(CHECKS)), "elements", "block", F.explode(pair).alias("pair")).select("*", "pair.x", "pair.y").drop("pair")
+    more = save(part.groupBy("key", "x", "y").applyInArrow(_compare_blocks, "a bigint, b bigint"))
+    out = components(links.unionByName(more))
+    forget(sets, pairs, label, at, more)
+    return out
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

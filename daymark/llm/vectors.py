@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, forget, save
+from .common import components, forget, local_roots, save
 
 SIMILARITY = 0.95
 #: Fitting sample (rows), models, cells that a vector joins in each, rows a cell should have, most cells, and rows of a block.
@@ -79,19 +79,6 @@ def _assign(kinds: DataFrame, models: list[np.ndarray]) -> DataFrame:
     return kinds.select("cls", "many", "vec").mapInArrow(run, "cls bigint, many bigint, vec array<float>, cells array<int>" if kinds.schema["vec"].dataType.elementType.simpleString() == "float" else "cls bigint, many bigint, vec array<double>, cells array<int>")
 
 
-def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Smallest node of each node's component, by minima over edges and pointer following."""
-    root = np.arange(n)
-    while True:
-        new = root.copy()
-        np.minimum.at(new, i, root[j])
-        np.minimum.at(new, j, root[i])
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def _product(similarity: float):
     """A task over one pair of blocks: rows ('n', class, links to others) and spanning edges ('e', class, class)."""
     import pyarrow as pa
@@ -124,7 +111,7 @@ def _product(similarity: float):
             ei.append(i)
             ej.append(j)
         i, j = np.concatenate(ei), np.concatenate(ej)
-        root = _roots(len(cls), i, j)
+        root = local_roots(len(cls), i, j)
         child = np.flatnonzero(root != np.arange(len(cls)))
         linked = np.flatnonzero(links)
         return pa.table({"a": np.concatenate([cls[linked], cls[child]]), "b": np.concatenate([cls[linked], cls[root[child]]]), "links": np.concatenate([links[linked], np.zeros(len(child), np.int64)])})
