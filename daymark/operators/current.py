@@ -59,6 +59,11 @@ def carried(facts: DataFrame, value: Column, keys: Sequence[str] = ("subject", "
     return facts.withColumn("last_known", F.last(value, ignorenulls=True).over(w))
 
 
+def with_previous(facts: DataFrame, state: str, keys: Sequence[str] = ("subject", "signal")) -> DataFrame:
+    """Every observation with the state of the one before."""
+    return facts.withColumn("previous", F.lag(state).over(Window.partitionBy(*keys).orderBy("occurred_at", "observation_id")))
+
+
 def advances(facts: DataFrame, arrival: Sequence[str], keys: Sequence[str] = ("subject", "signal")) -> DataFrame:
     """Whether an observation moved the current value when it arrived: later than all that had arrived before."""
     w = Window.partitionBy(*keys).orderBy(*arrival).rowsBetween(Window.unboundedPreceding, -1)

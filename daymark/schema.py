@@ -93,10 +93,14 @@ def validate(signals: Iterable[Signal]) -> list[str]:
     return out
 
 
+def _real(x: float | None) -> float | None:
+    return None if x is None else float(x)
+
+
 def dimensions(spark: SparkSession, signals: Iterable[Signal]) -> DataFrame:
     """A row per field: what plans join to. As large as the declarations are, some hundreds of rows."""
     rows = [
-        (s.key, f.key, f.type, f.unit, f.low, f.high, f.nullable, f.aggregation, f.trend, f.visibility, f.privacy, f.max_relative_jump, s.storage, s.identity, s.attribution, s.ttl_seconds,
+        (s.key, f.key, f.type, f.unit, _real(f.low), _real(f.high), f.nullable, f.aggregation, f.trend, f.visibility, f.privacy, f.max_relative_jump, s.storage, s.identity, s.attribution, s.ttl_seconds,
          s.detail_days, s.detail_days if s.aggregate_days is None else s.aggregate_days)
         for s in signals for f in s.fields
     ]
