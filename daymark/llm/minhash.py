@@ -163,11 +163,11 @@ def _alike(x: str, y: str):
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row per distinct (doc_id, text): doc_id, component_id, kept.
+    """A row per row: doc_id, component_id, kept, and hashes of the text (t1, t2).
 
     component_id is the smallest doc_id of the near-duplicate group (null for a group of null ids alone); one document of a
     group is kept, that with this id. Null texts count as empty; texts without words are equal to each other only if
-    the same. A doc_id that occurs with several texts has a row for each, and the smallest text hash is kept of ties.
+    the same. Of a doc_id that occurs with several texts, that of the smallest hash is kept; repeated rows share their verdict.
     """
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("t1", F.xxhash64("text")).withColumn("t2", F.xxhash64(F.lit(77), "text"))
@@ -280,7 +280,14 @@ def _link(spark_docs: DataFrame, kinds: DataFrame, light: DataFrame, bucket: Dat
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each near-duplicate group, with the columns it came with; of repeated rows one stays."""
-    key = classes(docs, doc_id, text).where("kept").select(F.col("doc_id").alias("_k"), F.col("t1").alias("_k1"), F.col("t2").alias("_k2")).distinct()
+    key = classes(docs, doc_id, text).where("kept").groupBy(F.col("doc_id").alias("_k"), F.col("t1").alias("_k1"), F.col("t2").alias("_k2")).agg(F.count("*").alias("_n"))
+    key = save(key)
     t = F.coalesce(docs[text].cast("string"), F.lit(""))
-    joined = docs.join(key, docs[doc_id].eqNullSafe(F.col("_k")) & (F.xxhash64(t) == F.col("_k1")) & (F.xxhash64(F.lit(77), t) == F.col("_k2")), "left_semi")
-    return joined.dropDuplicates([doc_id, text])
+
+    def of(keys):
+        return docs.join(keys, docs[doc_id].eqNullSafe(keys["_k"]) & (F.xxhash64(t) == keys["_k1"]) & (F.xxhash64(F.lit(77), t) == keys["_k2"]), "left_semi")
+
+    repeated = key.where("_n > 1")
+    if repeated.isEmpty():  # as a rule: then texts are moved once only
+        return of(key)
+    return of(key.where("_n = 1")).unionByName(of(repeated).dropDuplicates([doc_id, text]))
