@@ -99,13 +99,26 @@ def merge_rejections(rejected: DataFrame) -> DataFrame:
     return rejected.groupBy("report_id", "index").agg(F.min("code").alias("code"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("problems")))).alias("problems"))
 
 
-def recovery_action(status: Column, codes: Column) -> Column:
-    """What a producer should do next, by status and problem codes."""
-    has = lambda c: F.array_contains(codes, F.lit(c))
-    return (
-        F.when(status == "failed", "retry").when(status.isin("accepted", "duplicate") & (F.size(codes) == 0), "none").when(has("not_authorized"), "request_permission")
-        .when(has("clock_skew"), "fix_clock").when(has("unknown_signal") | (status == "unsupported_version"), "upgrade").when(status == "conflict", "new_report_id").otherwise("fix_payload")
-    )
+# What a producer should do, by the batch's error code, then by its items' codes, in this order.
+RECOVERY_BY_ERROR = (
+    ("legacy_report_semantics_unverifiable", "migrate_original_envelope_or_use_new_report_id"),
+    ("fact_revision_details_incomplete", "restore_fact_evidence_and_use_new_report_id"),
+    ("fact_conflict", "resolve_fact_conflict_and_use_new_report_id"),
+)
+RECOVERY_BY_CODE = (
+    ("fact_revision_details_incomplete", "restore_fact_evidence_and_use_new_report_id"),
+    ("fact_conflict", "resolve_fact_conflict_and_use_new_report_id"),
+    ("stale_fact_revision", "use_higher_fact_revision_and_new_report_id"),
+    ("validation_failed", "correct_rejected_observations_and_use_new_report_id"),
+)
+
+
+def recovery_action(status: Column, error_code: Column, codes: Column) -> Column:
+    """What a producer should do next; null if nothing."""
+    rungs = [(error_code == code, action) for code, action in RECOVERY_BY_ERROR]
+    rungs += [(F.array_contains(codes, F.lit(code)), action) for code, action in RECOVERY_BY_CODE]
+    rungs += [(status.isin("rejected", "conflict"), "correct_payload_and_use_new_report_id")]
+    return F.coalesce(*(F.when(holds, F.lit(action)) for holds, action in rungs))
 
 
 def device_snapshot(snapshots: DataFrame, mapping: DataFrame) -> DataFrame:

@@ -539,12 +539,12 @@ def timeline_page(s, d):
     return retention.page(event_facts(s, d), ("occurred_at", "observation_id"), after=after).select("subject", "observation_id", "occurred_at")
 
 
-@query(f"""SELECT observation_id, CASE WHEN src NOT IN ('perception', 'schedule', 'message', 'manual') THEN 'unknown_source' WHEN src = 'manual' THEN 'source_disabled' WHEN date_sub('second', occurred_at, TIMESTAMP '{NOW}') < 864000 THEN 'debounced' ELSE 'ok' END AS reason
-  FROM (SELECT *, CASE k % 4 WHEN 0 THEN 'perception' WHEN 1 THEN 'manual' WHEN 2 THEN 'radio' ELSE 'message' END AS src FROM {EV})""")
+@query(f"""SELECT observation_id, CASE WHEN src = 'radio' THEN 'unknown_source' WHEN src = 'photo' THEN 'source_disabled' WHEN date_sub('second', occurred_at, TIMESTAMP '{NOW}') < 864000 THEN 'debounced' ELSE src END AS reason
+  FROM (SELECT *, CASE k % 4 WHEN 0 THEN 'arrival' WHEN 1 THEN 'photo' WHEN 2 THEN 'radio' ELSE 'unlock' END AS src FROM {EV})""")
 def wake_gate(s, d):
     k = F.col("k") % 4
-    src = F.when(k == 0, "perception").when(k == 1, "manual").when(k == 2, "radio").otherwise("message")
-    return event_facts(s, d).select("observation_id", scalars.should_wake(src, ["perception", "schedule", "message"], F.col("occurred_at"), now(), 864_000).alias("reason"))
+    src = F.when(k == 0, "arrival").when(k == 1, "photo").when(k == 2, "radio").otherwise("unlock")
+    return event_facts(s, d).select("observation_id", scalars.should_wake(src, ["arrival", "unlock", "broadcast"], F.col("occurred_at"), now(), 864_000).alias("reason"))
 
 
 @query("SELECT c.c_custkey AS subject, n.n_name AS nation, r.r_name AS region, count(o.o_orderkey) AS n_orders, max(o.o_orderdate)::DATE AS last_order FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey LEFT JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY ALL")

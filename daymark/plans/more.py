@@ -9,12 +9,12 @@ from ..operators import corrections, current, daily, ingest, outbox, retention,
 from ..sources.facts import event_facts, read
 from .catalogue import EV, NOW, SERIES, daily_max, now, query
 
-CODES = "CASE k % 5 WHEN 0 THEN 'not_authorized' WHEN 1 THEN 'clock_skew' WHEN 2 THEN 'unknown_signal' ELSE 'out_of_range' END"
+CODES = "CASE k % 5 WHEN 0 THEN 'validation_failed' WHEN 1 THEN 'fact_conflict' WHEN 2 THEN 'fact_revision_details_incomplete' ELSE 'stale_fact_revision' END"
 
 
 def code():
     k = F.col("k") % 5
-    return F.when(k == 0, "not_authorized").when(k == 1, "clock_skew").when(k == 2, "unknown_signal").otherwise("out_of_range")
+    return F.when(k == 0, "validation_failed").when(k == 1, "fact_conflict").when(k == 2, "fact_revision_details_incomplete").otherwise("stale_fact_revision")
 
 
 @query(f"SELECT subject AS report_id, k AS index, min({CODES}) AS code, array_to_string(list_sort(list(DISTINCT signal)), ',') AS problems FROM {EV} GROUP BY ALL")
@@ -23,22 +23,23 @@ def rejection_merge(s, d):
     return ingest.merge_rejections(rows).withColumn("problems", F.array_join("problems", ","))
 
 
-@query(f"""SELECT observation_id, CASE WHEN st = 'failed' THEN 'retry' WHEN st IN ('accepted', 'duplicate') AND k % 2 = 0 THEN 'none' WHEN k % 2 = 1 AND {CODES} = 'not_authorized' THEN 'request_permission' WHEN k % 2 = 1 AND {CODES} = 'clock_skew' THEN 'fix_clock'
-  WHEN k % 2 = 1 AND {CODES} = 'unknown_signal' THEN 'upgrade' WHEN st = 'conflict' THEN 'new_report_id' ELSE 'fix_payload' END AS action FROM (SELECT *, CASE observation_id % 4 WHEN 0 THEN 'accepted' WHEN 1 THEN 'duplicate' WHEN 2 THEN 'conflict' ELSE 'failed' END AS st FROM {EV})""")
+@query(f"""SELECT observation_id, CASE WHEN err = 'fact_conflict' THEN 'resolve_fact_conflict_and_use_new_report_id' WHEN k % 2 = 0 THEN CASE WHEN st IN ('rejected', 'conflict') THEN 'correct_payload_and_use_new_report_id' END
+  ELSE CASE {CODES} WHEN 'fact_revision_details_incomplete' THEN 'restore_fact_evidence_and_use_new_report_id' WHEN 'fact_conflict' THEN 'resolve_fact_conflict_and_use_new_report_id' WHEN 'stale_fact_revision' THEN 'use_higher_fact_revision_and_new_report_id' ELSE 'correct_rejected_observations_and_use_new_report_id' END END AS action
+  FROM (SELECT *, CASE WHEN k % 11 = 0 THEN 'fact_conflict' END AS err, CASE observation_id % 4 WHEN 0 THEN 'accepted' WHEN 1 THEN 'duplicate' WHEN 2 THEN 'conflict' ELSE 'rejected' END AS st FROM {EV})""")
 def recovery_actions(s, d):
     i = F.col("observation_id") % 4
-    status = F.when(i == 0, "accepted").when(i == 1, "duplicate").when(i == 2, "conflict").otherwise("failed")
+    status = F.when(i == 0, "accepted").when(i == 1, "duplicate").when(i == 2, "conflict").otherwise("rejected")
     codes = F.when(F.col("k") % 2 == 1, F.array(code())).otherwise(F.array().cast("array<string>"))
-    return event_facts(s, d).select("observation_id", ingest.recovery_action(status, codes).alias("action"))
+    return event_facts(s, d).select("observation_id", ingest.recovery_action(status, F.when(F.col("k") % 11 == 0, "fact_conflict"), codes).alias("action"))
 
 
-@query(f"SELECT observation_id, 'bad <value> for ' || signal || ' near <number>' AS said FROM {EV}")
+@query(f"SELECT observation_id, 'bad <redacted> for ' || signal || ' near <redacted>' AS said FROM {EV}")
 def diagnostics_sanitized(s, d):
     raw = F.concat(F.lit("bad  'x"), F.col("k").cast("string"), F.lit("' for "), F.col("signal"), F.lit("  near "), F.col("k").cast("string"))
     return event_facts(s, d).select("observation_id", scalars.sanitized_problem(raw).alias("said"))
 
 
-@query("SELECT conv_id, turn, CASE WHEN length(text) > 200 THEN text[:200] || '…' ELSE text END AS shown FROM conversations")
+@query("SELECT conv_id, turn, CASE WHEN length(text) > 200 THEN text[:200] || '…(截断)' ELSE text END AS shown FROM conversations")
 def safe_context(s, d):
     return read(s, d, "conversations").select("conv_id", "turn", scalars.safe_text(F.col("text")).alias("shown"))
 
