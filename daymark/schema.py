@@ -16,6 +16,7 @@ STRATEGIES = ("none", "numeric_dist", "daily_total", "daily_sum", "occurrence_co
 IDENTITIES = ("source_event_id", "deterministic_digest", "singleton")
 ATTRIBUTION = ("instant", "episode_end", "split_at_midnight", "source_local_date")
 TRENDS = ("none", "fluctuating", "drifting", "cyclical")
+COMPARISONS = ("none", "exact", "numeric_delta", "threshold_crossing", "state_change", "occurrence")
 VISIBILITY = ("always", "on_demand", "never")
 PERMANENT = -1
 _NUMERIC = {"numeric_dist", "daily_total", "daily_sum", "occurrence_count"}
@@ -37,6 +38,8 @@ class Field:
     visibility: str = "on_demand"
     privacy: str = "personal"
     max_relative_jump: float | None = None
+    comparison: str = "none"
+    wakes: bool = False
 
 
 @dataclass(frozen=True)
@@ -73,7 +76,7 @@ def validate(signals: Iterable[Signal]) -> list[str]:
             out.append(f"{s.key}: keeps details, but stores the current value only")
         for f in s.fields:
             at = f"{s.key}.{f.key}"
-            for what, value, known in (("type", f.type, FIELD_TYPES), ("aggregation", f.aggregation, STRATEGIES), ("trend", f.trend, TRENDS), ("visibility", f.visibility, VISIBILITY), ("privacy", f.privacy, PRIVACY)):
+            for what, value, known in (("type", f.type, FIELD_TYPES), ("aggregation", f.aggregation, STRATEGIES), ("trend", f.trend, TRENDS), ("comparison", f.comparison, COMPARISONS), ("visibility", f.visibility, VISIBILITY), ("privacy", f.privacy, PRIVACY)):
                 if value not in known:
                     out.append(f"{at}: unknown {what} {value}")
             if (f.type == "enum") != bool(f.enum):
@@ -113,3 +116,17 @@ def dimensions(spark: SparkSession, signals: Iterable[Signal]) -> DataFrame:
 
 def visible(signal: Signal, on_demand: bool = True) -> list[str]:
     return [f.key for f in signal.fields if f.visibility == "always" or (on_demand and f.visibility == "on_demand")]
+
+
+# What a storage mode writes.
+OBJECTS = {
+    "current_only": ("current",),
+    "current_short_timeline": ("current", "observations"),
+    "current_timeline_aggregate": ("current", "observations", "daily"),
+    "source_mirror": ("mirror", "sync_state"),
+}
+
+
+def mapping(signals: Iterable[Signal]) -> list[tuple[str, str, str, int, int]]:
+    """For each signal: its storage mode, what that writes, and days of details and aggregates."""
+    return [(s.key, s.storage, ", ".join(OBJECTS[s.storage]), s.detail_days, s.detail_days if s.aggregate_days is None else s.aggregate_days) for s in signals]

@@ -137,6 +137,16 @@ def test_declarations(spark):
     assert len(schema.validate([bad, bad])) >= 7
 
 
+def test_built_in_declarations(spark):
+    from daymark import signals
+
+    assert len(signals.SIGNALS) == 33 and schema.validate(signals.SIGNALS) == []
+    dims = schema.dimensions(spark, signals.SIGNALS)
+    assert dims.count() == sum(len(s.fields) for s in signals.SIGNALS) and dims.where("signal = 'battery'").count() == 3
+    assert ("battery", "current_only", "current", 0, 0) in schema.mapping(signals.SIGNALS)
+    assert "coordinate" not in signals.BY_KEY["location_city"].struct().names
+
+
 def test_pages_retention_and_subjects(spark):
     assert [retention.page_size(x) for x in (None, 0, 10_000, -5, 7)] == [50, 50, 500, 1, 7]
     df = facts(spark, [(d, 1, 1.0, None) for d in range(1, 11)])
