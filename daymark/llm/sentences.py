@@ -21,7 +21,7 @@ from .common import map_texts
 
 #: Characters of a chunk, about; a run without a blank is never cut.
 CHUNK = 8_192
-CACHE = 300_000
+CACHE = 200_000
 BLANK = "▁"  # how pieces write a blank
 _PLAIN = re.compile(f"^ | $|  |[{BLANK}\\x00]")
 
@@ -79,32 +79,42 @@ def chunks(text: str, size: int = CHUNK) -> list[str]:
     return [*out, text[lo:]]
 
 
-def encode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row per chunk: row (a number of the document's row), doc_id, chunk, n_chunks, ids array<int>.
-
-    Null texts are empty, and an empty text is one chunk without ids. Repeated rows and null ids have rows of their
-    own. Chunks are dealt evenly, whatever document they are of.
-    """
+def _cut(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (row, doc_id, chunk, n_chunks, text): those of texts of one chunk where they lie, and the chunks of giant texts dealt evenly."""
     import pyarrow as pa
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
-    def cut(batches):
-        for batch in batches:
-            at, no, n, parts = [], [], [], []
-            for i, t in enumerate(batch.column(2).to_pylist()):
-                got = chunks(t or "")
-                at += [i] * len(got)
-                no += range(len(got))
-                n += [len(got)] * len(got)
-                parts += got
-            at = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(no, pa.int32()), pa.array(n, pa.int32()), pa.array(parts, pa.string())], names=["row", "doc_id", "chunk", "n_chunks", "text"])
-
-    cut_rows = rows.mapInArrow(cut, f"row bigint, doc_id {kind}, chunk int, n_chunks int, text string")
-    small, giant = cut_rows.where("n_chunks = 1"), cut_rows.where("n_chunks > 1").repartition(F.col("row"), F.col("chunk"))
+    def cutter(giant: bool):
+        def cut(batches):
+            for batch in batches:
+                at, no, n, parts = [], [], [], []
+                for i, t in enumerate(batch.column(2).to_pylist()):
+                    got = chunks(t or "")
+                    if (len(got) > 1) == giant:
+                        at += [i] * len(got)
+                        no += range(len(got))
+                        n += [len(got)] * len(got)
+                        parts += got
+                if at:
+                    at = pa.array(at, pa.int64())
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(no, pa.int32()), pa.array(n, pa.int32()), pa.array(parts, pa.string())], names=["row", "doc_id", "chunk", "n_chunks", "text"])
+
+        return cut
+
+    schema = f"row bigint, doc_id {kind}, chunk int, n_chunks int, text string"
+    return rows.mapInArrow(cutter(False), schema), rows.mapInArrow(cutter(True), schema).repartition(F.col("row"), F.col("chunk"))
+
+
+def encode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """A row per chunk: row (a number of the document's row), doc_id, chunk, n_chunks, ids array<int>.
+
+    Null texts are empty, and an empty text is one chunk without ids. Repeated rows and null ids have rows of their
+    own. Chunks are dealt evenly, whatever document they are of.
+    """
+    small, giant = _cut(docs, doc_id, text)
 
     def run(value, texts):
         return [[np.frombuffer(b, "<i4") for b in value.encode(texts)]]
@@ -135,36 +145,26 @@ def round_trip(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str =
 
     Documents of one chunk are summed up where they are encoded; only the chunks of giant ones meet again, ordered.
     """
-    import pyarrow as pa
 
-    coded = encode(docs, model, doc_id, text)
-    kind = coded.schema["doc_id"].dataType.simpleString()
-
-    def digest(batches):
+    def digest(sp, texts):
         import hashlib
 
-        sp = pieces(model)
-        for batch in batches:
-            ids = batch.column(4)
-            size = ids.value_lengths().to_numpy(zero_copy_only=False)
-            flat, ends = ids.flatten().to_numpy(zero_copy_only=False).astype("<i4"), np.cumsum(size)
-            lists = [flat[b - n : b] for n, b in zip(size, ends, strict=True)]
-            texts = []
-            for lo in range(0, len(lists), 200):
-                texts += sp.decode([x.tolist() for x in lists[lo : lo + 200]])
-            one = batch.column(3).to_pylist()
-            out = [batch.column(0), batch.column(1), batch.column(2), batch.column(3), pa.array(size, pa.int64())]
-            out += [pa.array([zlib.crc32(x.tobytes()) for x in lists], pa.int64())]
-            out += [pa.array([hashlib.sha256(t.encode()).hexdigest() if n == 1 else None for t, n in zip(texts, one, strict=True)], pa.string())]
-            out += [pa.array([t if n > 1 else None for t, n in zip(texts, one, strict=True)], pa.string())]
-            out += [pa.array([x.tobytes() if n > 1 else None for x, n in zip(lists, one, strict=True)], pa.binary())]
-            yield pa.RecordBatch.from_arrays(out, names=["row", "doc_id", "chunk", "n_chunks", "n_tokens", "ids_crc32", "text_sha256", "text", "raw"])
-
-    got = coded.mapInArrow(digest, f"row bigint, doc_id {kind}, chunk int, n_chunks int, n_tokens bigint, ids_crc32 bigint, text_sha256 string, text string, raw binary")
+        raw = sp.encode(texts)
+        back = []
+        for lo in range(0, len(raw), 200):
+            back += sp.decode([np.frombuffer(x, "<i4").tolist() for x in raw[lo : lo + 200]])
+        return [[len(x) // 4 for x in raw], [zlib.crc32(x) for x in raw], [hashlib.sha256(t.encode()).hexdigest() for t in back]]
+
+    def carry(sp, texts):
+        raw = sp.encode(texts)
+        return [[len(x) // 4 for x in raw], sp.decode([np.frombuffer(x, "<i4").tolist() for x in raw]), raw]
+
+    small, giant = _cut(docs, doc_id, text)  # two plans, so that no text is encoded twice
+    small = map_texts(small, "n_tokens bigint, ids_crc32 bigint, text_sha256 string", digest, setup=lambda: pieces(model))
+    giant = map_texts(giant.withColumnRenamed("text", "given"), "n_tokens bigint, text string, raw binary", carry, text="given", setup=lambda: pieces(model))
     cols = ["doc_id", "n_chunks", "n_tokens", "ids_crc32", "text_sha256"]
 
-    whole = got.where("n_chunks = 1").select(cols)
-    parts = got.where("n_chunks > 1").groupBy("row").agg(
+    parts = giant.groupBy("row").agg(
         F.any_value("doc_id").alias("doc_id"), F.any_value("n_chunks").alias("n_chunks"), F.sum("n_tokens").alias("n_tokens"),
         F.array_sort(F.collect_list(F.struct("chunk", "raw", "text"))).alias("all"),
     )
@@ -172,6 +172,6 @@ def round_trip(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str =
         "doc_id", "n_chunks", "n_tokens", F.crc32(F.aggregate("all", F.lit(b""), lambda a, x: F.concat(a, x["raw"]))).alias("ids_crc32"),
         F.sha2(F.array_join(F.transform("all", lambda x: x["text"]), " "), 256).alias("text_sha256"),
     )
-    return whole.unionByName(joined.select(cols))
+    return small.select(cols).unionByName(joined.select(cols))
 
 
