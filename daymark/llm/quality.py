@@ -146,11 +146,8 @@ def _concentrate(rows: DataFrame, model: DataFrame) -> DataFrame:
     return out
 
 
-def fit(measured: DataFrame, lang: str = "lang", source: str = "source", steps: int = 3) -> DataFrame:
-    """The model: a row per (lang, source) of at least LEAST_GROUP documents that pass the base rules."""
-    rows = measured.where(~F.col("q_base_failed")).select(
-        F.col(f"`{lang}`").alias("q_lang"), F.col(f"`{source}`").alias("q_source"), *(f"q_{f}" for f in FEATURES)
-    )
+def _concentrated(rows: DataFrame, steps: int) -> DataFrame:
+    """The model after all steps: a row per (q_lang, q_source) of rows, n the documents that it rests on."""
     model = save(_quartiles(rows))
     for _ in range(steps):
         new = _concentrate(rows, model)
@@ -159,12 +156,39 @@ def fit(measured: DataFrame, lang: str = "lang", source: str = "source", steps:
     return model
 
 
+def fit(measured: DataFrame, lang: str = "lang", source: str = "source", steps: int = 3) -> DataFrame:
+    """The model: a row per (lang, source) with a document that passes the base rules.
+
+    A group of fewer than LEAST_GROUP such documents takes the model of all of its language's, or, where these are
+    too few as well, the model of all documents, however few.
+    """
+    rows = measured.where(~F.col("q_base_failed")).select(
+        F.col(f"`{lang}`").alias("q_lang"), F.col(f"`{source}`").alias("q_source"), *(f"q_{f}" for f in FEATURES)
+    )
+    own = _concentrated(rows, steps)
+    enough = F.col("n") >= KEEP * LEAST_GROUP
+    none, made = F.lit(None).cast("string"), [own]
+    out, small = own.where(enough), own.where(~enough).select("g_lang", "g_source")
+    for pooled in (["q_source"], ["q_lang", "q_source"]):
+        if small.isEmpty():
+            break
+        model = _concentrated(rows.withColumns(dict.fromkeys(pooled, none)), steps)
+        made.append(model)
+        wide = (model if "q_lang" in pooled else model.where(enough)).withColumnRenamed("g_lang", "m_lang").drop("g_source")
+        on = F.lit(True) if "q_lang" in pooled else F.col("g_lang").eqNullSafe(F.col("m_lang"))
+        got = small.join(F.broadcast(wide), on, "left").drop("m_lang")
+        out, small = out.unionByName(got.where("n IS NOT NULL")), got.where("n IS NULL").select("g_lang", "g_source")
+    out = save(out)
+    forget(*made)
+    return out
+
+
 def judge(measured: DataFrame, model: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    """measured with q_distance and q_kept; a group too small for a model rejects nothing beyond the base rules."""
+    """measured with q_distance and q_kept."""
     rows = measured.withColumns({"q_lang": F.col(f"`{lang}`"), "q_source": F.col(f"`{source}`")})
-    out = _matched(rows, model.where(F.col("n") >= KEEP * LEAST_GROUP)).withColumn("q_distance", _distance())
-    kept = ~F.col("q_base_failed") & F.coalesce(F.col("q_distance") <= CUT, F.lit(True))
-    return out.withColumn("q_kept", kept).drop("q_lang", "q_source", *(c for c in model.columns if c not in ("g_lang", "g_source")))
+    out = _matched(rows, model).withColumn("q_distance", _distance())
+    kept = ~F.col("q_base_failed") & (F.col("q_distance") <= CUT)
+    return out.withColumn("q_kept", F.coalesce(kept, F.lit(False))).drop("q_lang", "q_source", *(c for c in model.columns if c not in ("g_lang", "g_source")))
 
 
 def filter_documents(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
@@ -182,7 +206,7 @@ def filter_documents(docs: DataFrame, text: str = "text", lang: str = "lang", so
 
 
 def verdicts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """A row per document: statistics, base_failed, kept, and the squared distance (null without a model)."""
+    """A row per document: statistics, base_failed, kept, and the squared distance (null for groups of which no document passes the base rules)."""
     base = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{source}`").alias("source"))
     stats = save(measure(base).drop("text"))
     out = judge(stats, fit(stats))

@@ -77,6 +77,20 @@ def test_concentration_finds_the_clean_centre(spark):
     assert np.allclose([model[f"p_m{i}"] for i in range(4)], centre) and np.allclose([[model[f"p_l{i}{j}"] if j <= i else 0 for j in range(4)] for i in range(4)], low, atol=1e-6)
 
 
+def test_small_groups_are_judged_by_coarser_models(spark):
+    """Every source has 5 documents; one language has 75, one 4, and one is null: junk goes in each of them."""
+    rng = random.Random(8)
+    junk = lambda: " ".join(rng.choice("#*|$") * 3 + rng.choice(WORDS) for _ in range(120))
+    rows = [(i, prose(rng, rng.randint(60, 300)), "en" if i < 75 else "de" if i < 78 else None, f"s{i // 5}") for i in range(80)]
+    odd = [(1000, junk(), "en", "s0"), (1001, junk(), "en", "only"), (1002, junk(), "de", "s15"), (1003, junk(), None, None)]
+    got = {r.doc_id: r for r in quality.verdicts(frame(spark, rows + odd)).collect()}
+    assert len(got) == 84 and not any(r.base_failed or r.distance is None for r in got.values())
+    assert not any(got[i].kept for i, *_ in odd) and all(got[i].kept for i, *_ in rows)
+    assert {r.doc_id for r in quality.filter_documents(frame(spark, rows + odd)).collect()} == {i for i, *_ in rows}
+    one = quality.verdicts(frame(spark, rows[:1])).collect()
+    assert one[0].kept and one[0].distance is not None
+
+
 def test_toxicity_is_learnt_and_held_out(spark):
     rng = random.Random(3)
     bad = ["vilewort", "scumly", "grothead"]
