@@ -45,7 +45,7 @@ def tokenize(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str
         for batch in batches:
             at, out, i = [], [], 0
             for texts in slabs(batch.column(1).to_pylist()):
-                for ids in bpe.encode(texts):
+                for ids in bpe.encode(texts, added=True):
                     ids += end
                     for k, (s, n) in enumerate(pieces(len(ids) // 4, capacity)):
                         at.append(i)

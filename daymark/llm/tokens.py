@@ -3,7 +3,8 @@
 Such a tokenizer splits a text into pieces that are encoded apart. Where single blanks part words, no piece reaches
 across ` word`, nor from a letter into the punctuation behind it, so the ids of a text are those of its words put
 together; words are encoded once while they stay in the cache. Texts with other white space are encoded whole. The
-merges run in a second library over the vocabulary of the same file; tests hold the ids against the first.
+merges run in a second library over the vocabulary of the same file; tests hold the ids against the first. Texts can be cut
+at the contents of the file's added tokens, each being one id, as the first library does unless told otherwise.
 """
 
 from __future__ import annotations
@@ -26,18 +27,27 @@ _TAIL = re.compile(r"(?<=[^\W\d_])(?=[.,](?:[ \n]|$))")
 
 
 class Encoder:
-    """path: the tokenizer's JSON file. encode(texts) gives each text's ids as little-endian unsigned 32-bit numbers."""
+    """path: the tokenizer's JSON file. encode(texts) gives each text's ids as little-endian unsigned 32-bit numbers.
+
+    With added, contents of the file's added tokens are one id each; without, they are text like any other.
+    """
 
     def __init__(self, path: str):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            file = json.load(f)
+        model = file["model"]
         rest = (256 + n for n in range(256))
         byte_of = {chr(b): b for b in _SHOWN} | {chr(next(rest)): b for b in range(256) if b not in _SHOWN}
         ranks = {bytes(byte_of[c] for c in w): i for w, i in model["vocab"].items() if all(c in byte_of for c in w)}
         merged = len(model["merges"]) + 256
         self.bpe = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks={w: i for w, i in ranks.items() if i < merged}, special_tokens={})
+        tokens = file.get("added_tokens") or []
+        self.added = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in tokens}
+        self.cuts = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
+        # those that take blanks with them, or are sought in whole words or in changed text, are left to the first library
+        self.first = path if any(t["lstrip"] or t["rstrip"] or t["single_word"] or (t["normalized"] and file["normalizer"]) for t in tokens) else None
         self.newline = ranks[NEWLINE]
         self.seen: dict[str, bytes] = {}
 
@@ -54,7 +64,19 @@ class Encoder:
             for w, a, b in zip(part, [0, *(cut + 1).tolist()], [*cut.tolist(), len(ids)], strict=True):
                 self.seen[w] = ids[a:b].tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _around(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts with each added token as one id."""
+        if self.first:
+            from tokenizers import Tokenizer
+
+            return [np.array(e.ids, "<u4").tobytes() for e in Tokenizer.from_file(self.first).encode_batch(texts, add_special_tokens=False)]
+        parts = [self.cuts.split(t) for t in texts]  # text and token by turns
+        ids = iter(self.encode([x for p in parts for x in p[::2]]))
+        return [b"".join(self.added[x] if k % 2 else next(ids) for k, x in enumerate(p)) for p in parts]
+
+    def encode(self, texts: list[str], added: bool = False) -> list[bytes]:
+        if added and self.added:
+            return self._around(texts)
         split = []
         for t in texts:
             split.append(None if not t or _ODD.search(t) else _TAIL.sub("\0", t).replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0"))

@@ -1,8 +1,10 @@
 """Token ids against the libraries, piece cutting, packing and its certificates, chat trees."""
 
 import hashlib
+import json
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers as P
@@ -36,6 +38,29 @@ def test_byte_ids_are_the_library_s(library):
     assert enc.encode(texts[:50]) == want[:50]  # from the cache
 
 
+def test_added_tokens_are_the_library_s_by_default(tmp_path):
+    texts = ["foo <|endoftext|> bar", "<|endoftext|>", "", "<|endoftext|><|endoftext|>\n a", "<<|endoftext|>>  <|endoftext|", *mixed(3000, 9)]
+    plain = tokens.Encoder(BYTE_BPE)
+    got = plain.encode(texts, added=True)
+    assert got == [np.array(e.ids, "<u4").tobytes() for e in Tokenizer.from_file(BYTE_BPE).encode_batch(texts, add_special_tokens=False)]
+    assert np.frombuffer(got[0], "<u4").tolist() == [21943, 220, 50256, 2318]
+    file = json.loads(Path(BYTE_BPE).read_text())
+    kind = file["added_tokens"][0]
+    for more in ([], [kind, kind | {"id": 50257, "content": "<|endoftext|>--"}], [kind | {"lstrip": True}]):
+        (tmp_path / "t.json").write_text(json.dumps(file | {"added_tokens": more}))
+        want = [np.array(e.ids, "<u4").tobytes() for e in Tokenizer.from_file(str(tmp_path / "t.json")).encode_batch(texts, add_special_tokens=False)]
+        assert tokens.Encoder(str(tmp_path / "t.json")).encode(texts, added=True) == want
+
+
+def test_packing_counts_an_added_token_once(spark):
+    texts = {1: "foo <|endoftext|> bar", 2: "<|endoftext|>" * 1500, 3: "x"}
+    rows = packing.pack_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), BYTE_BPE).collect()
+    first = Tokenizer.from_file(BYTE_BPE)
+    for i, t in texts.items():
+        ids = np.array([*first.encode(t, add_special_tokens=False).ids, 2], "<u4")
+        assert sorted((r.start, r.length, r.ids_crc32) for r in rows if r.doc_id == i) == [(s, n, zlib.crc32(ids[s : s + n].tobytes())) for s, n in packing.pieces(len(ids))]
+
+
 def test_piece_ids_and_chunks_are_the_library_s():
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     own = sentences.Pieces(PIECES)
