@@ -18,14 +18,15 @@ from .common import forget, save
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 FEATURES = ("f_len", "f_sym", "f_rep", "f_dup")
-#: Spread below which a feature's variation counts as none, in bits (log2): keeps covariances regular.
-FLOORS = (0.12, 1.0, 1.5, 1.5)
+#: Spread below which a feature's variation counts as none, in bits (log2): keeps covariances regular. Those of repetition and
+#: duplicate lines let the two together pass CUT: (log2(51) / 1.2)^2 + (log2(101) / 1.2)^2 = 53.
+FLOORS = (0.12, 1.0, 1.2, 1.2)
 SCALE = 1024
 KEEP = 0.75
 #: Consistency of the covariance of the nearest 75 % for four dimensions: 0.75 / P(chi2_6 <= chi2_4 quantile 0.75).
 CONSISTENCY = 1.48
-#: Squared distance beyond which a document goes: the 1 - 1e-7 quantile of chi2 with four degrees of freedom, rounded up.
-CUT = 40.0
+#: Squared distance beyond which a document goes: the 1 - 1e-7 quantile of chi2 with four degrees of freedom.
+CUT = 38.2396
 LEAST_GROUP = 40
 
 

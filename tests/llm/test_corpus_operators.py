@@ -1,5 +1,6 @@
 """Quality rules, toxicity, near-duplicates of texts and vectors, and the pipeline, against brute force on small tables."""
 
+import math
 import random
 import re
 import zlib
@@ -91,6 +92,17 @@ def test_small_groups_are_judged_by_coarser_models(spark):
     assert one[0].kept and one[0].distance is not None
 
 
+def test_repetition_and_duplicate_lines_alone_can_reject(spark):
+    """49 % of words repeated and 48 of 50 lines duplicates, which pass the base rules; words as long as the others'."""
+    rng = random.Random(9)
+    rows = [(i, prose(rng, rng.randint(60, 300)), "en", "a") for i in range(100)]
+    odd = (1000, "\n".join([prose(rng, 51), *["kasol"] * 49]), "en", "a")
+    got = {r.doc_id: r for r in quality.verdicts(frame(spark, [*rows, odd])).collect()}
+    assert (got[1000].n_words, got[1000].n_repeat_words, got[1000].n_dup_lines) == (100, 49, 48) and not got[1000].base_failed
+    assert not got[1000].kept and all(got[i].kept for i, *_ in rows)
+    assert math.isclose(math.exp(-quality.CUT / 2) * (1 + quality.CUT / 2), 1e-7, rel_tol=1e-4)
+
+
 def test_toxicity_is_learnt_and_held_out(spark):
     rng = random.Random(3)
     bad = ["vilewort", "scumly", "grothead"]
