@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from ipaddress import IPv6Address
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -104,14 +105,21 @@ def labelled(rng: np.random.Generator, n: int) -> tuple[np.ndarray, np.ndarray]:
     def card() -> str:
         body = digit(15)
         body += next(str(d) for d in range(10) if luhn(body + str(d)))
-        return pick((body, " ".join(body[i : i + 4] for i in range(0, 16, 4)), "-".join(body[i : i + 4] for i in range(0, 16, 4))))
+        return pick((body, *(by.join(body[i : i + 4] for i in range(0, 16, 4)) for by in (" ", "-", ".", "\xa0"))))
+
+    def ip() -> str:
+        if rng.random() < 0.5:
+            return ".".join(str(x) for x in rng.integers(0, 256, 4))
+        groups = [f"{x:x}" for x in rng.integers(0, 65536, 8)]
+        a, b = sorted(rng.integers(1, 8, 2))
+        return pick((":".join(groups), f"{':'.join(groups[:a])}::{':'.join(groups[b:])}"))
 
     def item() -> tuple[str, int]:
         k = int(rng.integers(-5, 4))
         if k == 0:
             return f"{word()}{pick(('.', '_', ''))}{pick((word(), digit(2)))}@{word()}{pick(('', digit(1)))}.{pick(('example.com', 'org', 'net', 'co.uk'))}", 0
         if k == 1:
-            return ".".join(str(x) for x in rng.integers(0, 256, 4)), 1
+            return ip(), 1
         if k == 2:
             return card(), 2
         if k == 3:
@@ -340,7 +348,14 @@ def plausible(piece: str, kind: str) -> bool:
         return bool(name) and "." in host.strip(".") and " " not in piece
     if kind == "phone":
         return 10 <= digits <= 15 and re.fullmatch(r"\+?[0-9(][0-9() .-]*[0-9]", piece) is not None and re.search(r"[ .)-]", piece) is not None and len(re.findall(r"[0-9]+", piece)) >= 3 and max(map(len, re.findall(r"[0-9]+", piece))) <= 4
-    return False  # every shape of these is a base span, or fails its check
+    if kind == "card":  # groups parted by what the base rule doesn't take
+        return re.fullmatch(r"[0-9]{4}([^\w\r\n])(?:[0-9]{4}\1[0-9]{4}\1[0-9]{2,7}|[0-9]{6}\1[0-9]{4,5})", piece) is not None and luhn(_NOT_DIGIT.sub("", piece))
+    if piece.count(":") < 2 or len(re.findall("[0-9A-Fa-f]+", piece)) < 3:
+        return False
+    try:
+        return bool(IPv6Address(piece))
+    except ValueError:
+        return False
 
 
 def all_spans(model: Tagger, texts: list[str]) -> list[list[tuple[int, int, str]]]:

@@ -95,6 +95,15 @@ def test_masks_join_overlaps():
     assert pii.mask("a@b.co and 4111 1111 1111 1111", [(0, 6, "email"), (11, 30, "card"), (15, 20, "phone")]) == "[EMAIL] and [CARD]"
 
 
+def test_model_adds_cards_and_addresses_of_other_shapes():
+    model = pii.trained()
+    texts = {"pay with 4111.1111.1111.1111 today please": (9, 28, "card"), "card 4111\xa01111\xa01111\xa01111 is mine": (5, 24, "card"), "host 2001:db8:85a3:12::8a2e:370:7334 answered": (5, 36, "ip")}
+    assert pii.all_spans(model, list(texts)) == [[s] for s in texts.values()]
+    assert pii.mask(*next((t, [s]) for t, s in texts.items())) == "pay with [CARD] today please"
+    # no Luhn digit, a time, a version, a wrong group count
+    assert pii.all_spans(model, ["pay with 4111.1111.1111.1112 today", "at 12:34:56 or 1.2.3", "x 12:34:56:78:90 y"]) == [[], [], []]
+
+
 def test_scans_of_null_empty_long_and_repeated_texts(spark):
     long = "word " * 40_000 + "mail a@b.co"
     rows = [(1, None), (2, ""), (3, "password=abcdef1 a@b.co"), (3, "password=abcdef1 a@b.co"), (None, long)]
