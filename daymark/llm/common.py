@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,14 +16,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none (tests)."""
+    """The folder that all executors share, which spark.checkpoint.dir names; only a local master may do without (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="daymark-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
+def trimmed(run):
+    """run (batches to batches), giving the memory that it has freed back to the system at its end: idle workers stay small."""
+
+    def outer(batches):
+        yield from run(batches)
+        release()
+
+    return outer
+
+
+def release() -> None:
+    """Give memory that Arrow and the allocator hold but don't use back to the system."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def save(df: DataFrame) -> DataFrame:
     """Write df once to the shared folder and read it back: lineage ends there and no executor's disk is needed."""
     spark = df.sparkSession
@@ -183,4 +211,4 @@ def map_texts(df: DataFrame, added: str, run, text: str = "text", keep_text: boo
                 yield pa.RecordBatch.from_arrays(cols, names=names)
                 lo += len(run_of)
 
-    return df.mapInArrow(batches, schema)
+    return df.mapInArrow(trimmed(batches), schema)

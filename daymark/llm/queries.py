@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, minhash, packing, pii, quality, secrets, sentences, toxicity, urls, vectors
+from . import chat, minhash, packing, pii, quality, quality_sql, secrets, sentences, toxicity, urls, vectors
 from .common import table
 
 
@@ -30,7 +30,7 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.verdicts(table(spark, sf_dir, "documents"))
+    return quality.verdicts(table(spark, sf_dir, "documents")).drop("distance")
 
 
 def tokenizer_file(name: str) -> str:
@@ -72,4 +72,4 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_secret_scans": op10_secret_scans,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_quality_rules": quality_sql.sql()}

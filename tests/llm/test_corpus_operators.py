@@ -8,9 +8,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from daymark.llm import minhash, quality, toxicity, vectors
+from daymark.llm import minhash, quality, queries, toxicity, vectors
 from daymark.llm.common import components
 
 WORDS = [a + b for a in ("ka", "lo", "mi", "tu", "se", "ra") for b in ("n", "rt", "ve", "sol", "pid", "gan", "mor", "x")]
@@ -57,25 +58,68 @@ def test_statistics_and_robust_outliers(spark):
     assert quality.filter_documents(frame(spark, [])).count() == 0 and quality.verdicts(frame(spark, [])).count() == 0
 
 
-def test_concentration_finds_the_clean_centre(spark):
-    """The model equals the same concentration steps in numpy."""
-    rng = random.Random(2)
-    rows = [(i, prose(rng, rng.randint(60, 200)), "en", "a") for i in range(200)] + [(500 + i, "#" * rng.randint(1, 9) + prose(rng, 60), "en", "a") for i in range(20)]
-    measured = quality.measure(frame(spark, rows).select("doc_id", "text", "lang", "source"))
-    model = quality.fit(measured).collect()[0]
-    x = np.array([[r[f"q_{f}"] for f in quality.FEATURES] for r in measured.where("NOT q_base_failed").collect()]) / quality.SCALE
+def plain_search(x):
+    """Mean and covariance of least determinant, by the same starts and steps in numpy."""
     floors = np.array(quality.FLOORS)
-    q = np.sort(x, axis=0)
-    pick = lambda s: q[int(np.ceil(s * len(x))) - 1]
-    centre, low = pick(0.5), np.diag((pick(0.75) - pick(0.25)) / 1.349 + floors)
-    for _ in range(3):
-        d = (np.linalg.solve(low, (x - centre).T) ** 2).sum(0)
+    low, centre, high = np.quantile(x, (0.25, 0.5, 0.75), axis=0)
+    width = (high - low) / 1.349 + floors
+    z = (x - centre) / width
+    unit = z / np.sqrt(np.maximum((z * z).sum(1), 1e-6))[:, None]
+    starts = [(centre, np.diag(width**2)), (x.mean(0), np.cov(x.T, bias=True) + np.diag(floors**2)), (centre, 4 * (unit.T @ unit / len(x)) * np.outer(width, width) + np.diag(floors**2))]
+
+    def step(mean, cov):
+        d = (np.linalg.solve(np.linalg.cholesky(cov), (x - mean).T) ** 2).sum(0)
         bins = np.floor(32 * np.log2(1 + d))
-        edge = np.sort(bins)[int(np.ceil(quality.KEEP * len(x))) - 1]
-        near = x[bins <= edge]
-        centre = near.mean(0)
-        low = np.linalg.cholesky(quality.CONSISTENCY * np.cov(near.T, bias=True) + np.diag(floors**2))
-    assert np.allclose([model[f"p_m{i}"] for i in range(4)], centre) and np.allclose([[model[f"p_l{i}{j}"] if j <= i else 0 for j in range(4)] for i in range(4)], low, atol=1e-6)
+        near = x[bins <= np.quantile(bins, quality.KEEP)]
+        return near.mean(0), quality.CONSISTENCY * np.cov(near.T, bias=True) + np.diag(floors**2)
+
+    found = []
+    for mean, cov in starts:
+        for _ in range(quality.FIRST_STEPS):
+            mean, cov = step(mean, cov)
+        found.append((np.linalg.slogdet(cov)[1], mean, cov))
+    best = min(found, key=lambda f: f[0])
+    while (new := step(*best[1:])) and np.linalg.slogdet(new[1])[1] < best[0] - 1e-12:
+        best = (np.linalg.slogdet(new[1])[1], *new)
+    return best[1:]
+
+
+def test_the_least_determinant_is_found_and_shrunk(spark):
+    """Estimates of (lang, source), language and all equal the same search in numpy; the model is their weighted sum."""
+    rng = random.Random(2)
+    rows = [(i, prose(rng, rng.randint(60, 200)), "en", "a" if i % 3 else "b") for i in range(200)] + [(500 + i, "#" * rng.randint(1, 9) + prose(rng, 60), "en", "a") for i in range(20)] + [(600 + i, prose(rng, 90), "de", "a") for i in range(30)]
+    measured = quality.measure(frame(spark, rows).select("text", F.col("lang").alias("q_lang"), F.col("source").alias("q_source")))
+    points = [((r.q_lang, r.q_source), [r[f"q_{f}"] for f in quality.FEATURES]) for r in measured.where("NOT q_base_failed").collect()]
+    matrix = lambda r: np.array([[r[f"p_c{max(i, j)}_{min(i, j)}"] for j in range(4)] for i in range(4)])
+    mean = lambda r: np.array([r[f"p_m{i}"] for i in range(4)])
+    found = {(r.level, r.q_lang, r.q_source): r for r in quality._searched(quality._levels(measured)).collect()}
+    assert set(found) == {(0, "en", "a"), (0, "en", "b"), (0, "de", "a"), (1, "en", None), (1, "de", None), (2, None, None)}
+    for (_, lang, source), r in found.items():
+        x = np.array([v for k, v in points if lang in (None, k[0]) and source in (None, k[1])]) / quality.SCALE
+        centre, cov = plain_search(x)
+        assert np.allclose(mean(r), centre) and np.allclose(matrix(r), cov) and quality.KEEP * len(x) - 1 <= r.n <= len(x)
+    for r in quality.fit(measured).collect():
+        got = [(mean(found[2, None, None]), matrix(found[2, None, None]))]
+        for key in ((1, r.q_lang, None), (0, r.q_lang, r.q_source)):
+            w = found[key].n / (found[key].n + quality.PRIOR)
+            got.append((w * mean(found[key]) + (1 - w) * got[-1][0], w * matrix(found[key]) + (1 - w) * got[-1][1]))
+        low = np.array([[r[f"p_l{i}_{j}"] if j <= i else 0 for j in range(4)] for i in range(4)])
+        assert np.allclose(mean(r), got[-1][0]) and np.allclose(low @ low.T, got[-1][1])
+
+
+def test_sql_gives_the_same_rows(spark, tmp_path):
+    rng = random.Random(12)
+    rows = [(i, prose(rng, rng.randint(40, 300)) + rng.choice(["", "\nx y\nx y", " # $", " é\u00a0z"]), rng.choice(["en", "de", None]), rng.choice(["a", "b", None])) for i in range(120)]
+    rows += [(500 + i, " ".join(rng.choice("#*|$") * 3 + rng.choice(WORDS) for _ in range(120)), "en", "a") for i in range(6)] + [(600, None, "en", "a"), (601, "", None, None), (602, "a b c " * 90, "xx", "a"), (None, prose(rng, 80), "en", "a"), (5, rows[5][1], "en", "a")]
+    import duckdb
+
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES["op9_quality_rules"](spark, str(tmp_path))
+    with duckdb.connect() as c:
+        c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        want = c.sql(queries.ORACLE_SQL["op9_quality_rules"])
+        assert sorted(want.columns) == sorted(got.columns)
+        assert sorted(map(str, want.select(", ".join(got.columns)).fetchall())) == sorted(str(tuple(r)) for r in got.collect())
 
 
 def test_small_groups_are_judged_by_coarser_models(spark):
