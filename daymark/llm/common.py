@@ -51,24 +51,41 @@ def release() -> None:
         pass
 
 
+#: Tables made by save() that are still there.
+_SAVED: set[str] = set()
+
+
 def save(df: DataFrame) -> DataFrame:
     """Write df once to the shared folder and read it back: lineage ends there and no executor's disk is needed."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/daymark/{uuid.uuid4().hex}"
+    _SAVED.add(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._daymark_path = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _SAVED.discard(path)
+
+
 def forget(*saved: DataFrame) -> None:
     """Delete tables made by save() that no later plan reads."""
     for df in saved:
-        path = getattr(df, "_daymark_path", None)
-        if path:
-            jvm, jsc = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
+        if path := getattr(df, "_daymark_path", None):
+            _delete(df.sparkSession, path)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete every table made by save() that is still there: for a caller who has written the operators' results out.
+
+    An operator's result is a plan that reads such tables, so they stay until then.
+    """
+    for path in list(_SAVED):
+        _delete(spark, path)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save, slabs
+from .common import save, slabs, trimmed
 from .tokens import encoder
 
 CAPACITY = 1024
@@ -56,7 +56,7 @@ def tokenize(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str
                 cols = [batch.column(0).cast(id_type).take(pa.array(at)), pa.array(k, pa.int32()), pa.array(s, pa.int64()), pa.array(n, pa.int64()), pa.array(c, pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return rows.mapInArrow(trimmed(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, int]:
@@ -123,25 +123,26 @@ def _group(rows, round_no: int, capacity: int):
     lengths = rows["length"].to_numpy()
     seq, offset, n = best_fit_decreasing(lengths, capacity)
     full = np.bincount(seq, weights=lengths, minlength=n).astype(np.int64) == capacity
-    done = full[seq] if n > lower_bound(lengths, capacity) else np.ones(len(seq), bool)
+    certified = n <= lower_bound(lengths, capacity)
+    done = np.ones(len(seq), bool) if certified else full[seq]
     base = (round_no << 56) | (rows["part"][0].as_py() << 24)
     rows = rows.drop_columns(["part"])
-    for name, values in (("sequence_id", base + seq), ("offset", offset), ("done", done)):
+    for name, values in (("sequence_id", base + seq), ("offset", offset), ("certified", full[seq] | certified), ("done", done)):
         rows = rows.append_column(name, pa.array(values))
     return rows
 
 
 def pack(found: DataFrame, rounds: int = 3, capacity: int = CAPACITY) -> DataFrame:
-    """Rows of tokenize() with sequence_id and offset. Pieces of a whole sequence's length need no partner.
+    """Rows of tokenize() with sequence_id, offset and certified. Pieces of a whole sequence's length need no partner.
 
-    The last round's packings stand whether certified or not. Pieces are dealt by a hash of all their columns and
+    certified: the sequence is full, or its partition's count of sequences is a proven minimum. The last round's packings stand whether certified or not. Pieces are dealt by a hash of all their columns and
     a running number, so that equal rows spread as well.
     """
     kind = found.schema["doc_id"].dataType.simpleString()
-    out_type = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint, done boolean"
-    columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    out_type = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint, certified boolean, done boolean"
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "certified"]
     found = save(found)
-    whole = found.where(F.col("length") == capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    whole = found.where(F.col("length") == capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumns({"offset": F.lit(0).cast("long"), "certified": F.lit(True)})
     open_, settled = found.where(F.col("length") < capacity), [whole.select(columns)]
     for r in range(rounds):
         n = open_.count()
@@ -150,7 +151,6 @@ def pack(found: DataFrame, rounds: int = 3, capacity: int = CAPACITY) -> DataFra
         parts = -(-n // GROUP)
         dealt = open_.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "length", F.monotonically_increasing_id(), F.lit(r)), F.lit(parts)))
         last = r == rounds - 1
-
         got = save(dealt.groupBy("part").applyInArrow(_packer(r, capacity), out_type))
         settled.append((got if last else got.where("done")).select(columns))
         if last or parts == 1:
@@ -165,7 +165,7 @@ def pack(found: DataFrame, rounds: int = 3, capacity: int = CAPACITY) -> DataFra
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, rounds: int = 3, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+    """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, certified (as in pack()).
 
     Null and empty texts are the end id alone; an empty table gives no rows; repeated rows and null ids are packed
     each for itself; other columns are left aside.

@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from daymark.llm import chat, packing, sentences, tokens
@@ -35,7 +36,13 @@ def test_byte_ids_are_the_library_s(library):
     enc = tokens.Encoder(BYTE_BPE)
     want = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
     assert enc.encode(texts) == want
-    assert enc.encode(texts[:50]) == want[:50]  # from the cache
+
+
+def test_long_runs_are_one_piece(library):
+    n = tokens.LONG_RUN
+    texts = ["a" + " " * n + "b", " " * 1_000_000, "x\n" + "\n" * n + "\ty", "\u3000" * n + " z" + " " * (n + 5), "ab" * n, " " * (n - 1) + "c", "\n" * n + " " + "d", "#" * n + " " * n]
+    want = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert tokens.Encoder(BYTE_BPE).encode(texts) == want
 
 
 def test_added_tokens_are_the_library_s_by_default(tmp_path):
@@ -61,32 +68,54 @@ def test_packing_counts_an_added_token_once(spark):
         assert sorted((r.start, r.length, r.ids_crc32) for r in rows if r.doc_id == i) == [(s, n, zlib.crc32(ids[s : s + n].tobytes())) for s, n in packing.pieces(len(ids))]
 
 
-def test_piece_ids_and_chunks_are_the_library_s():
+def in_chunks(own, text, size):
+    """Ids by matrices of chunks, their scan, and a trace in each chunk."""
+    s, margin = sentences.written(text), own.longest
+    windows = [(s[max(0, lo - margin) : lo + size + margin], min(lo, margin), min(len(s), lo + size) - max(0, lo - margin)) for lo in range(0, len(s), size)]
+    at = sentences.settled([own.matrix(*w) for w in windows])
+    return b"".join(own.trace(w, lo, hi, own.states(w, lo)[a], own.states(w, hi)[b]) for (w, lo, hi), a, b in zip(windows, at[:-1], at[1:], strict=True))
+
+
+def test_paths_and_chunks_give_the_library_s_ids():
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     own = sentences.Pieces(PIECES)
-    for text in [*mixed(1000, 1), "one  two   three " * 3000, " ".join(mixed(3000, 2)), "x" * 30_000]:
-        parts = sentences.chunks(text, 200)
-        assert " ".join(parts) == text
-        got = np.frombuffer(b"".join(own.encode(parts)), "<i4").tolist()
-        assert got == sp.encode(text), text[:60]
+    more = ["ing", "represent", "ation", "  ", "\x00", "नमस्ते", "x" * 40, "=" * 20]
+    rng = random.Random(1)
+    texts = [*mixed(1000, 1), *("".join(rng.choice(BITS + more) for _ in range(30)) for _ in range(1000)), "one  two   three " * 300, " ".join(mixed(300, 2)), "x" * 3000, " " * 500 + "a"]
+    for k, text in enumerate(texts):
+        want = np.array(sp.encode(text), "<i4").tobytes()
+        assert own.units(sentences.written(text)) == want, text[:60]
+        if text:
+            assert in_chunks(own, text, (2, 7, 40)[k % 3]) == want, text[:60]
+            assert own.decode(np.frombuffer(want, "<i4")) == sp.decode(sp.encode(text))
+
+
+def test_products_are_those_of_the_first_matrices():
+    rng = np.random.default_rng(3)
+    matrices = [rng.random((1 if k == 0 else 4, 4)) < 0.4 for k in range(11)]
+    now = matrices[0]
+    for k, got in enumerate(sentences.products(matrices)):
+        now = now if k == 0 else now @ matrices[k]
+        assert (got == now).all()
 
 
 def test_round_trip_query(spark):
-    long = "lorem ipsum dolor " * 3000
-    rows = [(1, None), (2, ""), (3, long), (3, long), (None, "a b")]
+    long, run = "lorem ipsum dolor " * 3000, "abcdeégh" * 5000
+    rows = [(1, None), (2, ""), (3, long), (3, long), (None, "a b"), (4, run)]
     got = sentences.round_trip(spark.createDataFrame(rows, "doc_id long, text string"), PIECES).collect()
-    assert len(got) == 5
+    assert len(got) == 6
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     for r in got:
-        text = {1: "", 2: "", 3: long, None: "a b"}[r.doc_id]
+        text = {1: "", 2: "", 3: long, None: "a b", 4: run}[r.doc_id]
         ids = sp.encode(text)
         assert (r.n_tokens, r.ids_crc32, r.text_sha256) == (len(ids), zlib.crc32(np.array(ids, "<i4").tobytes()), hashlib.sha256(text.encode()).hexdigest())
-        assert (r.n_chunks > 1) == (r.doc_id == 3)
+        assert (r.n_chunks > 1) == (r.doc_id in (3, 4))
     coded = sentences.encode(spark.createDataFrame(rows[:3], "doc_id long, text string"), PIECES)
     back = {}
     for r in sentences.decode(coded, PIECES).orderBy("row", "chunk").collect():
         back.setdefault(r.doc_id, []).append(r.text)
-    assert {k: " ".join(v) for k, v in back.items()} == {1: "", 2: "", 3: long}
+    assert {k: "".join(v) for k, v in back.items()} == {1: "", 2: "", 3: long}
+    assert sentences.round_trip(spark.createDataFrame([], "doc_id long, text string"), PIECES).count() == 0
 
 
 def test_pieces_cut_only_long_documents():
@@ -146,6 +175,26 @@ def test_packing_query(spark, library, monkeypatch):
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string"), BYTE_BPE).count() == 0
 
 
+def test_partitions_with_a_gap_exchange_pieces(spark):
+    """More pieces than a partition holds, of lengths that leave gaps: no piece is lost, and no sequence won."""
+    rows = spark.range(90_000, numPartitions=4).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), (150 + F.pmod(F.xxhash64("id"), F.lit(290))).alias("length"), F.lit(0).cast("long").alias("ids_crc32"))
+    counts = {}
+    for rounds in (1, 3):
+        got = packing.pack(rows, rounds).toPandas()
+        assert sorted(got["doc_id"]) == list(range(90_000))
+        seq, offset, length = (got.sort_values(["sequence_id", "offset"])[c].to_numpy() for c in ("sequence_id", "offset", "length"))
+        same = seq[1:] == seq[:-1]
+        assert offset[0] == 0 and (offset[1:][~same] == 0).all() and (offset[1:][same] == (offset + length)[:-1][same]).all()
+        assert set(seq >> 56) == set(range(rounds))  # every round packed some
+        assert (got.groupby("sequence_id")["length"].sum() <= packing.CAPACITY).all()
+        counts[rounds] = got["sequence_id"].nunique()
+        assert not got["certified"].all()
+        full = got.groupby("sequence_id")["length"].sum() == packing.CAPACITY
+        assert got.groupby("sequence_id")["certified"].all()[full].all()
+    bound = packing.lower_bound(got["length"].to_numpy())
+    assert bound <= counts[3] <= counts[1]
+
+
 def test_escapes_are_reversible_and_leave_no_control_string():
     rng = random.Random(7)
     bits = ["<|", "|>", "\\", "</s>", "[INST]", "[/INST]", "<s>", "<", "|", ">", "l", "é", "\n", "<|end|>"]
