@@ -185,7 +185,7 @@ def test_partitions_with_a_gap_exchange_pieces(spark):
         seq, offset, length = (got.sort_values(["sequence_id", "offset"])[c].to_numpy() for c in ("sequence_id", "offset", "length"))
         same = seq[1:] == seq[:-1]
         assert offset[0] == 0 and (offset[1:][~same] == 0).all() and (offset[1:][same] == (offset + length)[:-1][same]).all()
-        assert set(seq >> 56) == set(range(rounds))  # every round packed some
+        assert set(seq >> 56) == {0, 1}.intersection(range(rounds))  # the second round packed what the first gave up
         assert (got.groupby("sequence_id")["length"].sum() <= packing.CAPACITY).all()
         counts[rounds] = got["sequence_id"].nunique()
         assert not got["certified"].all()
