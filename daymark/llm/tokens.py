@@ -1,29 +1,27 @@
-"""Token ids of whole texts by a byte-level BPE tokenizer, with a cache of words.
+"""Token ids of whole texts by a byte-level BPE tokenizer.
 
-Such a tokenizer splits a text into pieces that are encoded apart. Where single blanks part words, no piece reaches
-across ` word`, nor from a letter into the punctuation behind it, so the ids of a text are those of its words put
-together; words are encoded once while they stay in the cache. Texts with other white space are encoded whole. The
-merges run in a second library over the vocabulary of the same file; tests hold the ids against the first. Texts can be cut
-at the contents of the file's added tokens, each being one id, as the first library does unless told otherwise.
+The merges run in a second library over the vocabulary of the same file, which takes a fraction of the first one's time;
+tests hold the ids against the first. Texts can be cut at the contents of the file's added tokens, each being one id, as
+the first library does unless told otherwise.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
-#: Words that a worker keeps the ids of.
-CACHE = 300_000
 #: Fixed values of byte-level BPE: how it splits texts, and the characters that stand for bytes in its file.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
-NEWLINE = b"\n"
-# white space other than single blanks and line ends between words; \x00 parts words below
-_ODD = re.compile(r"[^\S \n]|[\x00\x1c-\x1f\x85 ᠎​⁠﻿]|  | \n|\n |\n\n|^[ \n]|[ \n]$")
-_TAIL = re.compile(r"(?<=[^\W\d_])(?=[.,](?:[ \n]|$))")
+
+#: White space in a row from which on it is cut out of a text: the splitting pattern fails on runs of a million.
+LONG_RUN = 50_000
+_RUN = re.compile(f"[{_WHITE}]{{{LONG_RUN},}}")
 
 
 class Encoder:
@@ -48,21 +46,6 @@ class Encoder:
         self.cuts = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
         # those that take blanks with them, or are sought in whole words or in changed text, are left to the first library
         self.first = path if any(t["lstrip"] or t["rstrip"] or t["single_word"] or (t["normalized"] and file["normalizer"]) for t in tokens) else None
-        self.newline = ranks[NEWLINE]
-        self.seen: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.bpe.encode_ordinary(text), "<u4")
-
-    def _learn(self, words: set[str]) -> None:
-        """Encode new words in one go, parted by line ends: those are ids of their own and no word holds one."""
-        todo = list(words)
-        for lo in range(0, len(todo), 50_000):
-            part = todo[lo : lo + 50_000]
-            ids = self._ids("\n".join(part))
-            cut = np.flatnonzero(ids == self.newline)
-            for w, a, b in zip(part, [0, *(cut + 1).tolist()], [*cut.tolist(), len(ids)], strict=True):
-                self.seen[w] = ids[a:b].tobytes()
 
     def _around(self, texts: list[str]) -> list[bytes]:
         """Ids of texts with each added token as one id."""
@@ -77,18 +60,19 @@ class Encoder:
     def encode(self, texts: list[str], added: bool = False) -> list[bytes]:
         if added and self.added:
             return self._around(texts)
-        split = []
-        for t in texts:
-            split.append(None if not t or _ODD.search(t) else _TAIL.sub("\0", t).replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0"))
-        seen = self.seen
-        new = {w for words in split if words for w in words if w not in seen} - {"\n", ""}
-        if len(seen) + len(new) > CACHE:
-            seen.clear()
-            new = {w for words in split if words for w in words} - {"\n", ""}
-        seen["\n"], seen[""] = np.array([self.newline], "<u4").tobytes(), b""
-        self._learn(new)
-        get = seen.__getitem__
-        return [b"".join(map(get, words)) if words else self._ids(t).tobytes() if t else b"" for t, words in zip(texts, split, strict=True)]
+        run = self.bpe.encode_ordinary
+        return [array("I", run(t)).tobytes() if len(t) < LONG_RUN else self._long(t) for t in texts]
+
+    def _long(self, text: str) -> bytes:
+        """A long text's ids; a run of white space is one piece but for its last character, which goes with what follows."""
+        out, done = array("I"), 0
+        for m in _RUN.finditer(text):
+            end = m.end() - (m.end() < len(text))
+            out.extend(self.bpe.encode_ordinary(text[done : m.start()]))
+            out.extend(self.bpe._encode_single_piece(text[m.start() : end].encode()))
+            done = end
+        out.extend(self.bpe.encode_ordinary(text[done:]))
+        return out.tobytes()
 
 
 @lru_cache(maxsize=1)
