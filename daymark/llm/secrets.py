@@ -1,8 +1,7 @@
-"""Secret scans: all rules in one byte pass of a combined automaton, then exact spans in the pieces that it marks."""
+"""Secret scans: spans of all rules from the tables of combined automata."""
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -14,50 +13,41 @@ from .common import map_texts
 
 @dataclass(frozen=True)
 class Rule:
-    """A kind of secret. `pattern` gives leftmost spans; one whose `group` is shorter than `least` is dropped."""
+    """A kind of secret. `pattern` gives leftmost longest spans; one that isn't a match of `strict` (lengths) too is dropped."""
 
     kind: str
     pattern: str
-    group: int = 0
-    least: int = 0
+    strict: str = ""
     ignore_case: bool = False
     base: bool = True
-    marks: str = ""  # what the automaton looks for, where a stricter regex than `pattern` will do
 
 
-# The base rules' patterns are fixed by the contract.
+# The base rules' patterns are fixed by the contract; their strict forms have its lengths.
 RULES = (
     # letters of the keywords match in either case; group 2's class has both cases anyhow
-    Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, True),
-    Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
-    Rule("hex", r"[0-9a-f]+", 0, 24, marks=r"[0-9a-f]{24,}"),
-    Rule("github", r"gh[pousr]_[A-Za-z0-9]+", 0, 24, base=False),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 24, base=False),
+    Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]{6,})""", True),
+    Rule("access", r"AKIA[A-Z0-9]+", r"AKIA[A-Z0-9]{16,}"),
+    Rule("hex", r"[0-9a-f]+", r"[0-9a-f]{24,}"),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]+", r"gh[pousr]_[A-Za-z0-9]{20,}", base=False),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", r"eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{5,}", base=False),
     Rule("pem", r"-----BEGIN\x20[A-Z\x20]*PRIVATE\x20KEY-----", base=False),
 )
 
 
 class Scanner:
     def __init__(self, rules: tuple[Rule, ...] = RULES):
-        self.rules = rules
-        self.automaton = Automaton([(r.marks or r.pattern, r.ignore_case) for r in rules])
+        self.automaton = Automaton([(r.pattern, r.strict or r.pattern, r.ignore_case) for r in rules])
 
     def spans(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
         """Per text: (start, end, rule number) in code points, by start, then rule."""
-        rx = [re.compile(r.pattern, (re.IGNORECASE if r.ignore_case else 0) | re.ASCII) for r in self.rules]
         raw = [t.encode("utf-8", "surrogatepass") for t in texts]
         out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
         last = (-1, 0, 0)  # text, byte and code point reached
-        for i, a, b, bits in self.automaton.scan(raw) if texts else []:
+        for i, a, b, k in sorted(self.automaton.spans(raw)) if texts else []:
             byte, point = (last[1], last[2]) if last[0] == i else (0, 0)
             point += len(raw[i][byte:a].decode("utf-8", "surrogatepass"))
             last = (i, a, point)
-            piece = raw[i][a:b].decode("utf-8", "surrogatepass")
-            for k, rule in enumerate(self.rules):
-                if bits >> k & 1:
-                    for m in rx[k].finditer(piece):
-                        if m.end(rule.group) - m.start(rule.group) >= rule.least:
-                            out[i].append((point + m.start(), point + m.end(), k))
+            out[i].append((point, point + len(raw[i][a:b].decode("utf-8", "surrogatepass")), k))
         for spans in out:
             spans.sort(key=lambda s: (s[0], s[2]))
         return out
