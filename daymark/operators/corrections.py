@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
+from .current import canonical_revisions, compare_revisions, current
+from .rules import folded
 
 FACT = ("subject", "signal", "source_event_id")
 
@@ -60,16 +62,14 @@ def jump_conflicts(facts: DataFrame, most: float, keys: Sequence[str] = ("subjec
 
 
 def jump_conflicts_sequential(facts: DataFrame, most: float, keys: Sequence[str] = ("subject", "signal")) -> DataFrame:
-    """The same, but a refused observation is no predecessor: an ordered fold over each key's values."""
-    all_ = facts.where("value IS NOT NULL").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("occurred_at", "observation_id", "value"))).alias("all"))
-    start = F.struct(F.lit(None).cast("double").alias("held"), F.array().cast("array<bigint>").alias("ids"))
+    """The same, but a refused observation is no predecessor: an ordered fold whose state is the value that holds."""
 
-    def step(acc, x):
-        jump = scalars.relative_jump(x["value"], acc["held"])
-        bad = F.coalesce(jump > most, F.lit(False))
-        return F.struct(F.when(bad, acc["held"]).otherwise(x["value"]).alias("held"), F.when(bad, F.concat(acc["ids"], F.array(x["observation_id"].cast("long")))).otherwise(acc["ids"]).alias("ids"))
+    def refuse(held, value):
+        bad = held is not None and held != 0 and abs(value - held) / abs(held) > most
+        return (held if bad else value), bad
 
-    return all_.select(*keys, F.explode(F.aggregate("all", start, step)["ids"]).alias("observation_id"))
+    rows = facts.where("value IS NOT NULL").select(*keys, "occurred_at", "observation_id", "value")
+    return folded(rows, keys, ("occurred_at", "observation_id"), F.col("value"), refuse).select(*keys, "observation_id")
 
 
 def affected_days(facts: DataFrame, retractions: DataFrame, keys: Sequence[str] = FACT) -> DataFrame:
@@ -88,3 +88,61 @@ def blocked(facts: DataFrame, pending: DataFrame, revision: Column) -> DataFrame
     """Facts with a pending conflict of their fact, unless of a strictly higher revision."""
     top = pending.groupBy(*FACT).agg(F.max("revision").alias("held_revision"))
     return facts.join(top, list(FACT)).where(revision <= F.col("held_revision"))
+
+
+def reselected(facts: DataFrame, retractions: DataFrame, keys: Sequence[str] = ("subject", "signal")) -> DataFrame:
+    """The current row of every key that has facts, chosen again: canonical, observed, not retracted; no_data where none is left."""
+    left = canonical_revisions(without_retracted(facts, retractions), FACT).where("availability = 'observed'")
+    got = current(left, keys).select(*keys, "observation_id", "occurred_at", "value", F.lit("observed").alias("availability"))
+    return facts.select(*keys).distinct().join(got, list(keys), "left").withColumn("availability", F.coalesce("availability", F.lit("no_data")))
+
+
+def dependents(events: DataFrame, retractions: DataFrame, depends: str = "fact_dependencies") -> DataFrame:
+    """events with gone: whether any of their dependencies (array<struct<signal, source_event_id>>) is a retracted fact of the subject."""
+    refs = events.select("event_id", "subject", F.explode(depends).alias("d")).select("event_id", "subject", "d.signal", "d.source_event_id")
+    hit = refs.join(retractions.select(*FACT).distinct(), list(FACT), "left_semi").select("event_id").distinct().withColumn("gone", F.lit(True))
+    return events.join(hit, "event_id", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
+
+
+def replayed(facts: DataFrame, retractions: DataFrame, definition, evaluate) -> DataFrame:
+    """What a rule's hits become when retractions are applied: kept, withdrawn, or added. Nothing is delivered.
+
+    evaluate(facts, definition) gives hits with observation_id. Only scopes that a retraction touches are evaluated again:
+    the subject, and of daily rules the day.
+    """
+    scope = ["subject", "local_date"] if definition.scope == "local_day" else ["subject"]
+    touched = facts.join(retractions.select(*FACT).distinct(), list(FACT), "left_semi").where(F.col("signal") == definition.signal).select(*scope).distinct()
+    rows = facts.join(touched, scope, "left_semi")
+    before = evaluate(rows, definition).select(*scope, "observation_id").withColumn("was", F.lit(True))
+    after = evaluate(without_retracted(rows, retractions), definition).select(*scope, "observation_id").withColumn("still", F.lit(True))
+    both = before.join(after, [*scope, "observation_id"], "full")
+    return both.select(*scope, "observation_id", F.when(F.col("was") & F.col("still"), "kept").when(F.col("was"), "withdrawn").otherwise("added").alias("change"))
+
+
+def refuse_unsupported(retractions: DataFrame, dims: DataFrame) -> DataFrame:
+    """Retractions with refused: only signals identified by their source's id can be retracted, and only with such an id."""
+    kinds = dims.select("signal", F.col("identity").alias("_identity")).distinct()
+    rows = retractions.join(kinds, "signal", "left")
+    return rows.withColumn("refused", ~F.coalesce((F.col("_identity") == "source_event_id") & F.col("source_event_id").isNotNull(), F.lit(False))).drop("_identity")
+
+
+def recorded(conflicts: DataFrame, new: DataFrame) -> DataFrame:
+    """The conflict table with new records; one that is there stays as it is."""
+    fresh = new.dropDuplicates(["subject", "conflict_id"]).join(conflicts.select("subject", "conflict_id"), ["subject", "conflict_id"], "left_anti")
+    return conflicts.unionByName(fresh)
+
+
+def resolved(conflicts: DataFrame, answers: DataFrame) -> DataFrame:
+    """Conflicts after answers (subject, conflict_id, revision): resolved by a strictly higher revision than the candidate's only."""
+    rows = conflicts.join(answers.select("subject", "conflict_id", F.col("revision").alias("answer")), ["subject", "conflict_id"], "left")
+    wins = (F.col("status") == "pending") & (compare_revisions(F.col("answer"), F.col("candidate_revision")) == 1)
+    wins = F.coalesce(wins, F.lit(False))
+    return rows.withColumns({"status": F.when(wins, "resolved").otherwise(F.col("status")), "resolution_revision": F.when(wins, F.col("answer"))}).drop("answer")
+
+
+def proven(details: DataFrame, identities: DataFrame) -> DataFrame:
+    """identities (fact_key, revision, content_digest) with whether a detail row still proves them: the same key, revision and content."""
+    keys = ["fact_key", "revision", "content_digest"]
+    renamed = details.select(*(F.col(k).alias(f"_{k}") for k in keys)).distinct()
+    on = (F.col("fact_key") == F.col("_fact_key")) & F.col("revision").eqNullSafe(F.col("_revision")) & (F.col("content_digest") == F.col("_content_digest"))
+    return identities.join(renamed, on, "left").withColumn("proven", F.col("_fact_key").isNotNull()).drop(*(f"_{k}" for k in keys))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,7 +34,11 @@ def dimension_key(signal: Column, *dims: Column) -> Column:
 
 
 def current(facts: DataFrame, keys: Sequence[str] = ("subject", "signal"), order: Sequence[Column] | None = None) -> DataFrame:
-    """The row with the greatest (occurred_at, revision, observation_id) of every key: one partial aggregation, no sort."""
+    """The row with the greatest (occurred_at, observation_id), or `order`, of every key.
+
+    One aggregation, combined before the shuffle. Spark keeps its row buffer by sorting each task's rows by key, as
+    buffers of structs can't be hashed; a key's rows never meet in a window.
+    """
     cols = [c for c in facts.columns if c not in keys]
     by = F.struct(*(order or (F.col("occurred_at"), F.col("observation_id"))))
     return facts.groupBy(*keys).agg(F.max_by(F.struct(*cols), by).alias("x")).select(*keys, "x.*")
@@ -40,10 +46,10 @@ def current(facts: DataFrame, keys: Sequence[str] = ("subject", "signal"), order
 
 def conflicts(facts: DataFrame, digest: str, keys: Sequence[str] = ("subject", "signal")) -> DataFrame:
     """Keys whose latest (occurred_at, revision) has rows of different content."""
-    latest = Window.partitionBy(*keys)
-    rows = facts.withColumn("rank", F.struct("occurred_at", "revision"))
-    rows = rows.withColumn("top", F.max("rank").over(latest)).where("rank = top")
-    return rows.groupBy(*keys).agg(F.countDistinct(digest).alias("contents")).where("contents > 1")
+    at = ["occurred_at", "revision"]
+    contents = facts.groupBy(*keys, *at).agg(F.countDistinct(digest).alias("contents"))
+    top = contents.groupBy(*keys).agg(F.max_by("contents", F.struct(*at)).alias("contents"))
+    return top.where("contents > 1")
 
 
 def with_freshness(rows: DataFrame, now: Column, ttl_seconds: Column) -> DataFrame:
@@ -72,8 +78,13 @@ def advances(facts: DataFrame, arrival: Sequence[str], keys: Sequence[str] = ("s
 
 
 def canonical_revisions(facts: DataFrame, fact: Sequence[str], revision: str = "revision") -> DataFrame:
-    """One row of each fact: that of the greatest revision, then time, then id. Facts without any revision keep all rows."""
-    w = Window.partitionBy(*fact)
-    rows = facts.withColumn("any_revision", F.max(F.col(revision).isNotNull()).over(w))
-    rank = F.row_number().over(w.orderBy(F.desc(revision_key(F.col(revision))), F.desc("occurred_at"), F.desc("observation_id")))
-    return rows.withColumn("rank", rank).where("NOT any_revision OR rank = 1").drop("any_revision", "rank")
+    """One row of each fact: that of the greatest revision, then time, then id.
+
+    Facts without any revision keep all rows, and so do rows without a source id (a null among `fact`), which are no
+    revisions of each other. Only the greatest key of each fact is aggregated; rows meet it in a join.
+    """
+    named = reduce(and_, (F.col(c).isNotNull() for c in fact))
+    place = F.struct(revision_key(F.col(revision)).alias("r"), "occurred_at", "observation_id")
+    top = facts.where(named & F.col(revision).isNotNull()).groupBy(*fact).agg(F.max(place).alias("top_place"))
+    rows = facts.join(top, list(fact), "left")
+    return rows.where(F.col("top_place").isNull() | (place == F.col("top_place"))).select(*facts.columns)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -48,3 +49,101 @@ def expand(series: DataFrame, window_start: Column, window_end: Column, most: in
     counted = F.when(F.col("count").isNotNull(), F.slice(hits, 1, F.col("count"))).otherwise(hits)
     shown = F.slice(F.filter(counted, lambda d: d >= window_start), 1, most)
     return series.select("*", F.explode(shown).alias("occurs_on"))
+
+
+# What a recurrence may be, and keys of rules that aren't expanded.
+FREQUENCIES, REFUSED = ("daily", "weekly", "monthly"), ("bysetpos", "exdate", "byyearday", "byweekno")
+_RULE = "freq string, interval int, byweekday array<int>, until string, count int, " + ", ".join(f"{k} string" for k in REFUSED)
+
+
+def parse_recurrence(rows: DataFrame, rule: str) -> DataFrame:
+    """rows with freq, interval, byweekday, until and count from a rule's JSON, and `problem` where it is refused: nothing is guessed."""
+    got = rows.withColumn("_r", F.from_json(rule, _RULE))
+    every = F.coalesce("_r.interval", F.lit(1))
+    freq = F.lower("_r.freq")
+    problem = F.when(F.col("_r").isNull(), "malformed")
+    for key in REFUSED:
+        problem = problem.when(F.col(f"_r.{key}").isNotNull(), key)
+    problem = problem.when(~F.coalesce(freq.isin(*FREQUENCIES), F.lit(False)), "freq").when(every < 1, "interval")
+    until = F.try_to_timestamp(F.left(F.col("_r.until"), F.lit(10)), F.lit("yyyy-MM-dd")).cast("date")
+    ok = problem.isNull()
+    keep = {"freq": freq, "interval": every, "byweekday": F.when(F.size("_r.byweekday") > 0, F.col("_r.byweekday")), "until": until, "count": F.col("_r.count")}
+    return got.withColumns({k: F.when(ok, v) for k, v in keep.items()} | {"problem": problem}).drop("_r")
+
+
+@dataclass(frozen=True)
+class Sync:
+    """One round of a source: full rounds need the days that they cover; an error code says that the round failed."""
+
+    subject: object
+    source: str
+    sync_id: str
+    snapshot: str = "incremental"
+    covers: tuple[str, str] | None = None
+    cursor: str | None = None
+    error: str | None = None
+
+    def __post_init__(self):
+        if self.snapshot not in ("full", "incremental"):
+            raise ValueError(f"unknown snapshot kind {self.snapshot!r}")
+        if self.snapshot == "full" and self.error is None and self.covers is None:
+            raise ValueError("a full round must say which days it covers")
+        if self.covers and self.covers[0] > self.covers[1]:
+            raise ValueError("the covered range is empty")
+
+
+def synced(mirror: DataFrame, items: DataFrame, tombstones: DataFrame, sync: Sync, keys: Sequence[str], starts: str = "start_at") -> DataFrame:
+    """The mirror after a round. mirror: keys, columns, subject, source, last_seen_sync_id; items: the same without these three, which the round stamps.
+
+    A failed round changes nothing. Tombstones always delete. A full round also deletes what it covers and didn't see,
+    of its own source; items of unknown start are never covered.
+    """
+    if sync.error is not None:
+        return mirror
+    stamp = {"subject": F.lit(sync.subject), "source": F.lit(sync.source), "last_seen_sync_id": F.lit(sync.sync_id)}
+    fresh = items.dropDuplicates(list(keys)).withColumns(stamp).select(mirror.columns)
+    own = (F.col("subject") == F.lit(sync.subject)) & (F.col("source") == sync.source)
+    mine, others = mirror.where(own), mirror.where(~F.coalesce(own, F.lit(False)))
+    merged = mine.join(fresh.select(*keys), list(keys), "left_anti").unionByName(fresh)
+    merged = without_tombstones(merged, tombstones, keys)
+    if sync.snapshot == "full":
+        low, high = (F.lit(d).cast("date") for d in sync.covers)
+        covered = F.coalesce(F.to_date(starts).between(low, high), F.lit(False))
+        merged = merged.where(~covered | (F.col("last_seen_sync_id") == sync.sync_id))
+    return others.unionByName(merged)
+
+
+def sync_state(state: DataFrame, sync: Sync, now: Column) -> DataFrame:
+    """The state table (subject, source, cursor, last_attempt, last_success, error) after a round: a failed one keeps cursor and last success."""
+    failed = sync.error is not None
+    new = state.sparkSession.range(1).select(F.lit(sync.subject).alias("subject"), F.lit(sync.source).alias("source"), F.lit(sync.cursor).cast("string").alias("_cursor"), F.lit(sync.error).cast("string").alias("_error"))
+    rows = state.join(new, ["subject", "source"], "full")
+    hit = (F.col("subject") == F.lit(sync.subject)) & (F.col("source") == sync.source)
+    kept = F.col("cursor") if failed else F.coalesce("_cursor", "cursor")
+    return rows.select(
+        "subject", "source", F.when(hit, kept).otherwise(F.col("cursor")).alias("cursor"), F.when(hit, now).otherwise(F.col("last_attempt")).alias("last_attempt"),
+        F.when(hit & F.lit(not failed), now).otherwise(F.col("last_success")).alias("last_success"), F.when(hit, F.col("_error")).otherwise(F.col("error")).alias("error"),
+    )
+
+
+def calendar(mirror: DataFrame, start: Column, end: Column, starts: str = "start_at", key: str = "source_event_id") -> DataFrame:
+    """Calendar items that start in start..end or at an unknown time, those last."""
+    return mirror.where(F.col(starts).isNull() | F.col(starts).between(start, end)).orderBy(F.col(starts).asc_nulls_last(), key)
+
+
+def reminders(mirror: DataFrame, completed: bool = False, due: str = "due_at", key: str = "source_reminder_id") -> DataFrame:
+    """Open reminders (all, with completed) by the time that they are due, those without one last."""
+    rows = mirror if completed else mirror.where(~F.coalesce("is_completed", F.lit(False)))
+    return rows.orderBy(F.col(due).asc_nulls_last(), key)
+
+
+def expanded_page(series: DataFrame, order: Sequence, window_start: Column, window_end: Column, size: int, after: tuple[int, int] = (0, 0)) -> DataFrame:
+    """A page of occurrences behind a cursor of two places: (series in order, occurrence in it), from 0; rows carry base and inner.
+
+    Series are numbered by their order, so that a page starts inside a series just as well as between two.
+    """
+    base = (F.row_number().over(Window.orderBy(*order)) - 1).alias("base")
+    numbered = series.select("*", base)
+    shown = expand(numbered, window_start, window_end)
+    shown = shown.withColumn("inner", F.row_number().over(Window.partitionBy("base").orderBy("occurs_on")) - 1)
+    return shown.where((F.col("base") > after[0]) | ((F.col("base") == after[0]) & (F.col("inner") >= after[1]))).orderBy("base", "inner").limit(size)

@@ -59,6 +59,50 @@ def claimable(events: DataFrame, now: Column) -> DataFrame:
     return events.where(((F.col("state") == "pending") & due) | expired)
 
 
+def claimed(events: DataFrame, now: Column, worker: str, lease_seconds: int) -> DataFrame:
+    """All events after a claiming round: claimable ones are claimed (attempt + 1, token, lease, reservation); claims whose lease ended after dispatch began are unknown."""
+    due = F.coalesce(F.col("next_attempt_at") <= now, F.lit(True))
+    ended = F.coalesce((F.col("state") == "claimed") & (F.col("lease_until") <= now), F.lit(False))
+    lost = ended & F.col("started")
+    take = ((F.col("state") == "pending") | (ended & ~F.col("started"))) & due
+    attempt = F.when(take, F.col("attempt") + 1).otherwise(F.col("attempt"))
+    return events.withColumns({
+        "state": F.when(lost, "unknown").when(take, "claimed").otherwise(F.col("state")), "attempt": attempt,
+        "token": F.when(take, F.concat(F.lit(worker + ":"), attempt.cast("string"))).otherwise(F.col("token")),
+        "lease_until": F.when(take, F.timestamp_add("SECOND", F.lit(lease_seconds), now)).otherwise(F.col("lease_until")),
+        "reservation": F.when(take, F.concat(F.lit("resv_"), F.col("event_id").cast("string"), F.lit("_"), attempt.cast("string"))).otherwise(F.col("reservation")),
+    })
+
+
+def begun(events: DataFrame, tokens: DataFrame, now: Column) -> DataFrame:
+    """Events with `may_dispatch` for (event_id, token): claimed with this token, not begun, not invalidated, lease still running; such are started."""
+    rows = events.join(tokens.select("event_id", F.col("token").alias("_t")), "event_id", "left")
+    ok = F.coalesce((F.col("state") == "claimed") & (F.col("token") == F.col("_t")) & ~F.col("started") & ~F.col("invalidated") & (F.col("lease_until") > now), F.lit(False))
+    return rows.withColumns({"may_dispatch": ok, "started": F.col("started") | ok}).drop("_t")
+
+
+def settled(events: DataFrame, receipts: DataFrame) -> DataFrame:
+    """Events after receipts (event_id, token, status), each with `audit_only`: a stale token changes nothing but is kept for the record.
+
+    An event invalidated meanwhile doesn't go back to pending; only a delivered one keeps its reservation.
+    """
+    rows = events.join(receipts.select("event_id", F.col("token").alias("_t"), F.col("status").alias("_s")), "event_id", "left")
+    given = F.col("_s").isNotNull()
+    fits = F.coalesce((F.col("token") == F.col("_t")) & F.col("state").isin("claimed", "unknown"), F.lit(False))
+    to = next_state(F.col("_s"), F.col("attempt"))
+    to = F.when(F.col("invalidated") & to.isin("pending", "dead_letter"), "invalidated").otherwise(to)
+    moves = given & fits & F.coalesce(can_move(F.col("state"), to), F.lit(False))
+    return rows.withColumns({
+        "audit_only": given & ~moves, "reservation": F.when(moves & (to != "delivered"), None).otherwise(F.col("reservation")),
+        "token": F.when(moves, None).otherwise(F.col("token")), "state": F.when(moves, to).otherwise(F.col("state")),
+    }).drop("_t", "_s")
+
+
+def waiting(events: DataFrame) -> DataFrame:
+    """Events that are still to be delivered."""
+    return events.where(F.col("state").isin("pending", "claimed"))
+
+
 def enqueue(outbox: DataFrame, events: DataFrame) -> DataFrame:
     """The outbox with new events, each id once."""
     return outbox.unionByName(events.dropDuplicates(["event_id"]).join(outbox.select("event_id"), "event_id", "left_anti"))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PERMANENT = -1
@@ -31,6 +32,31 @@ def page(rows: DataFrame, order: Sequence, size: int | None = None, after: Colum
     return (rows if after is None else rows.where(after)).orderBy(*order).limit(page_size(size))
 
 
+def page_with_more(rows: DataFrame, order: Sequence, size: int | None = None, after: Column | None = None) -> DataFrame:
+    """A page, and in `more` whether another row follows: one row more is read, and no other."""
+    n = page_size(size)
+    got = (rows if after is None else rows.where(after)).orderBy(*order).limit(n + 1)
+    place = F.row_number().over(Window.orderBy(*order))
+    got = got.withColumns({"place": place, "more": F.count("*").over(Window.partitionBy()) > n})  # n + 1 rows at most
+    return got.where(F.col("place") <= n)
+
+
+def drained(tables: dict[str, DataFrame], order: Sequence, cap: int | None = None) -> tuple[dict[str, DataFrame], DataFrame | None]:
+    """Every collection to its end, or its first `cap` rows; and with a cap, a row (collection, truncated) for each."""
+    if cap is None:
+        return dict(tables), None
+    kept = {name: df.orderBy(*order).limit(cap) for name, df in tables.items()}
+    marks = [df.limit(cap + 1).agg((F.count("*") > cap).alias("truncated")).select(F.lit(name).alias("collection"), "truncated") for name, df in sorted(tables.items())]
+    return kept, reduce(DataFrame.unionByName, marks)
+
+
+def lookup(dims: DataFrame) -> DataFrame:
+    """Per signal: whether it keeps a history, days of details and aggregates, and whether either is kept for ever."""
+    rows = dims.select("signal", "storage", "detail_days", "aggregate_days").distinct()
+    history = ~F.col("storage").isin("current_only", "source_mirror")
+    return rows.withColumns({"stores_history": history, "details_forever": history & (F.col("detail_days") == PERMANENT), "aggregates_forever": history & (F.col("aggregate_days") == PERMANENT)})
+
+
 def coverage_gaps(days: DataFrame, keys: Sequence[str], start: Column, end: Column, day: str = "local_date") -> DataFrame:
     """Days of start..end without a row, one row each."""
     held = days.where(F.col(day).between(start, end)).groupBy(*keys).agg(F.collect_set(day).alias("held"))

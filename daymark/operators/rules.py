@@ -5,18 +5,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import operator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-OPS: dict[str, Callable[[Column, Column], Column]] = {"gte": lambda a, b: a >= b, "gt": lambda a, b: a > b, "lte": lambda a, b: a <= b, "lt": lambda a, b: a < b}
+OPS: dict[str, Callable[[Column, Column], Column]] = {"gte": operator.ge, "gt": operator.gt, "lte": operator.le, "lt": operator.lt}
+#: Conditions of one's own: name to a predicate over (definition, value, value before).
+EVALUATORS: dict[str, Callable[[Definition, Column, Column], Column]] = {}
+
+
+def register(name: str, evaluator: Callable[[Definition, Column, Column], Column]) -> None:
+    """Make `name` a condition of definitions."""
+    EVALUATORS[name] = evaluator
 
 
 @dataclass(frozen=True)
 class Definition:
-    """A rule. scope: local_day or forever; fire: once or every; rearm: next_scope, cooldown or never."""
+    """A rule. scope: local_day or forever; fire: once or every (the default of occurrence rules); rearm: next_scope, cooldown or never."""
 
     id: str
     signal: str
@@ -25,7 +33,7 @@ class Definition:
     operator: str = "gte"
     version: int = 1
     scope: str = "local_day"
-    fire: str = "once"
+    fire: str | None = None
     rearm: str = "next_scope"
     cooldown_seconds: float | None = None
     subject: object = None
@@ -33,20 +41,24 @@ class Definition:
 
     def __post_init__(self):
         known = {"changed", "equals", "enters", "leaves", "threshold_crossing", "delta", "occurrence"}
-        if self.condition not in known:
+        if self.fire is None:
+            object.__setattr__(self, "fire", "every" if self.condition == "occurrence" else "once")
+        if self.condition not in known | EVALUATORS.keys():
             raise ValueError(f"unknown condition {self.condition!r}")
         if self.operator not in OPS:
             raise ValueError(f"unknown operator {self.operator!r}")
         if self.scope not in ("local_day", "forever") or self.fire not in ("once", "every") or self.rearm not in ("next_scope", "cooldown", "never"):
             raise ValueError("illegal lifecycle")
-        if self.rearm == "next_scope" and self.scope == "forever":
-            raise ValueError("a rule without end has no next scope")
-        if (self.rearm == "cooldown") != (self.cooldown_seconds is not None):
-            raise ValueError("cooldown_seconds goes with rearm=cooldown, and only with it")
+        if self.rearm == "never" and self.scope != "forever":
+            raise ValueError("a rule of a day is armed anew with the next day, so rearm=never needs scope=forever")
+        if (self.cooldown_seconds or 0) < 0 or self.rearm == "cooldown" and not self.cooldown_seconds:
+            raise ValueError("rearm=cooldown needs cooldown_seconds above 0")
 
 
 def predicate(d: Definition, current: Column, previous: Column) -> Column:
     """Whether the rule's condition holds at an observation."""
+    if d.condition in EVALUATORS:
+        return F.coalesce(EVALUATORS[d.condition](d, current, previous), F.lit(False))
     v = F.lit(d.value)
     if d.condition == "changed":
         return previous.isNotNull() & ~previous.eqNullSafe(current)
@@ -90,21 +102,42 @@ def hits(facts: DataFrame, d: Definition, value: str = "value", order: Sequence[
 
 
 def cooled(hit: DataFrame, scope: Sequence[str], seconds: float, order: Sequence[str]) -> DataFrame:
-    """Hits at least `seconds` after the last one that counted: an ordered fold over the hit times of a scope.
+    """Hits at least `seconds` after the last one that counted, in order of a scope.
 
-    Only hits meet in a scope's array, times and ids, never its observations.
+    Hits stream through sorted by scope, so a task holds one time, however many hits a scope has.
     """
     micros = int(seconds * 1_000_000)
+
+    def keep(held, at):
+        due = held is None or at - held >= micros
+        return (at if due else held), due
+
     at = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("occurred_at"))
-    times = hit.groupBy(*scope).agg(F.array_sort(F.collect_list(F.struct(at.alias("t"), F.col("observation_id").alias("i")))).alias("all"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("ids"))
+    return folded(hit, scope, order, at, keep)
 
-    def step(acc, x):
-        due = acc["last"].isNull() | (x["t"] - acc["last"] >= micros)
-        return F.struct(F.when(due, x["t"]).otherwise(acc["last"]).alias("last"), F.when(due, F.concat(acc["ids"], F.array(x["i"].cast("long")))).otherwise(acc["ids"]).alias("ids"))
 
-    ids = times.select(F.explode(F.aggregate("all", start, step)["ids"]).alias("observation_id"))
-    return hit.join(ids, "observation_id", "left_semi")
+def folded(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, keep: Callable) -> DataFrame:
+    """The rows of which keep(state, value) gives true: an ordered fold by key; keep returns (new state, whether), state starts as None.
+
+    The rows of a key pass in order through one task in batches; nothing but the state is held.
+    """
+    import pyarrow as pa
+
+    names, schema = rows.columns, rows.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, None
+        for batch in batches:
+            marks = []
+            for key, x in zip(zip(*(batch.column(f"_k{i}").to_pylist() for i in range(len(keys))), strict=True), batch.column("_x").to_pylist(), strict=True):
+                if key != now:
+                    now, state = key, None
+                state, kept = keep(state, x)
+                marks.append(kept)
+            yield pa.RecordBatch.from_arrays(batch.columns[: len(names)], names=names).filter(pa.array(marks, pa.bool_()))
+
+    marked = rows.select(*names, *(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), value.alias("_x"))
+    return marked.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 def absent(current: DataFrame, now: Column, seconds: float, keys: Sequence[str] = ("subject", "signal")) -> DataFrame:
@@ -115,8 +148,42 @@ def absent(current: DataFrame, now: Column, seconds: float, keys: Sequence[str]
 
 
 def streak_edges(runs: DataFrame, need: int) -> DataFrame:
-    """Days on which a run of passing days reaches `need`."""
-    return runs.where(F.col("length") == need)
+    """Days on which a run of passing days reaches `need`: the run of the day before was shorter. Lengths must not be cut below need."""
+    return runs.where((F.col("length") >= need) & (F.col("length") - 1 < need))
+
+
+def scheduled_streaks(days: DataFrame, definitions: DataFrame, through: Column, longest: int = 90) -> DataFrame:
+    """Daily definitions (definition_id, signal, operator, threshold, periods) over daily rows (subject, signal, local_date, value, completeness).
+
+    Per subject and definition: length of the run of passing, complete days that ends with `through`, the length a day
+    before, and whether it fires: the length reaches the definition's periods today and didn't yesterday.
+    """
+    v, t = F.col("value"), F.col("threshold")
+    holds = F.lit(False)
+    for name, op in OPS.items():
+        holds = F.when(F.col("operator") == name, op(v, t)).otherwise(holds)
+    inside = days.where((F.col("completeness") == "complete") & (F.col("local_date") <= through) & (F.col("local_date") >= F.date_sub(through, longest)))
+    rows = inside.join(definitions, "signal")
+    keys = ["subject", "definition_id"]
+    good = rows.where(F.coalesce(holds, F.lit(False))).select(*keys, "periods", "local_date").distinct()
+    island = F.date_sub(F.col("local_date"), F.row_number().over(Window.partitionBy(*keys).orderBy("local_date")))
+    runs = good.withColumn("island", island).groupBy(*keys, "periods", "island").agg(F.count("*").alias("length"), F.max("local_date").alias("last"))
+    ending = runs.where(F.col("last") == through)
+    length, before = F.least("length", F.lit(longest)), F.least(F.col("length") - 1, F.lit(longest))  # one day more was read
+    return ending.select(*keys, length.cast("long").alias("length"), before.cast("long").alias("previous_length"), ((length >= F.col("periods")) & (before < F.col("periods"))).alias("fires"))
+
+
+def for_facts(facts: DataFrame, definitions: DataFrame) -> DataFrame:
+    """Facts with each definition that looks at them: the same signal, enabled, and of no subject or of this one."""
+    d = definitions.where("enabled").select("definition_id", "signal", F.col("subject").alias("d_subject"))
+    return facts.join(d, "signal").where(F.col("d_subject").isNull() | (F.col("d_subject") == F.col("subject"))).drop("d_subject")
+
+
+def archived(archive: DataFrame, definitions: DataFrame) -> DataFrame:
+    """definitions (definition_id, version, body) with what the archive makes of them: stored, known, or conflict (another body of the same version)."""
+    held = archive.select("definition_id", "version", F.col("body").alias("_held"))
+    decision = F.when(F.col("_held").isNull(), "stored").when(F.col("_held") == F.col("body"), "known").otherwise("conflict")
+    return definitions.join(held, ["definition_id", "version"], "left").withColumn("decision", decision).drop("_held")
 
 
 def event_id(*parts: Column) -> Column:

@@ -71,16 +71,64 @@ def notable(trend: DataFrame, subject: Sequence[str], most: int = 8) -> DataFram
     return rows.where("magnitude > 0").withColumn("place", place).where(F.col("place") <= most)
 
 
-def streaks(days: DataFrame, keys: Sequence[str], passing: Column, day: str = "local_date", longest: int = 90) -> DataFrame:
-    """Length of the run of passing days that ends with each passing day, `longest` at most."""
+def streaks(days: DataFrame, keys: Sequence[str], passing: Column, day: str = "local_date", longest: int | None = None) -> DataFrame:
+    """Length of the run of passing days that ends with each passing day, `longest` at most if given."""
     rows = days.where(passing).select(*keys, day).distinct()
     w = Window.partitionBy(*keys).orderBy(day)
     rows = rows.withColumn("island", F.date_sub(F.col(day), F.row_number().over(w)))
     length = F.row_number().over(Window.partitionBy(*keys, "island").orderBy(day))
-    return rows.withColumn("length", F.least(length, F.lit(longest)).cast("long")).drop("island")
+    return rows.withColumn("length", (length if longest is None else F.least(length, F.lit(longest))).cast("long")).drop("island")
 
 
 def streak_through(days: DataFrame, keys: Sequence[str], passing: Column, through: Column, day: str = "local_date", longest: int = 90) -> DataFrame:
     """Length of the run of passing days that ends with `through`; 0 where that day is missing or fails."""
     runs = streaks(days.where(F.col(day) <= through), keys, passing, day, longest).where(F.col(day) == through)
     return days.select(*keys).distinct().join(runs.select(*keys, "length"), list(keys), "left").withColumn("length", F.coalesce("length", F.lit(0)))
+
+
+def rounded(value: Column, digits: int = 3) -> Column:
+    """Halves to even, as the readers' own rounding has it."""
+    return F.bround(value, digits)
+
+
+def with_coverage(rows: DataFrame, dims: DataFrame, start: Column, end: Column) -> DataFrame:
+    """The trend of each (subject, signal, field) over start..end by its declared model, with coverage and unit.
+
+    rows: a daily view (subject, signal, field, local_date, value, completeness); dims: declarations (signal, field, unit,
+    trend, visibility). Incomplete days are counted and not read; missing days are counted and never zero. `reason` says why
+    there is no reading: unknown, hidden, empty, or no model.
+    """
+    keys = ["subject", "signal", "field"]
+    inside = rows.where(F.col("local_date").between(start, end))
+    complete = F.col("completeness") == "complete"
+    span = F.date_diff(end, start) + 1
+    covered = inside.groupBy(*keys).agg(F.count_if(complete).alias("days_with_data"), F.count_if(~complete).alias("days_incomplete"))
+    covered = covered.withColumn("days_missing", F.greatest(F.lit(0), span - F.col("days_with_data") - F.col("days_incomplete")).cast("long"))
+    known = covered.join(dims.select("signal", "field", "unit", "trend", "visibility"), ["signal", "field"], "left")
+    reason = (
+        F.when(F.col("trend").isNull(), "not_declared").when(F.col("visibility") == "never", "not_visible").when(F.col("days_with_data") == 0, "no_data").when(F.col("trend") == "none", "no_model")
+    )
+    known = known.withColumns({"reason": reason, "model": F.when(reason.isNull() | (reason == "no_data"), F.col("trend")).otherwise("none")}).drop("trend", "visibility")
+    read = inside.where(complete).join(known.where("reason IS NULL").select(*keys, "model"), keys)
+    flat = fluctuating(read.where("model = 'fluctuating'"), keys).select(*keys, "current", "baseline_median", "p25", "p75", "baseline_n", rounded(F.col("delta")).alias("delta"), "direction")
+    drift = drifting(read.where("model = 'drifting'"), keys).select(*keys, "first_value", "last_value", rounded(F.col("total_delta")).alias("total_delta"), rounded(F.col("per_month")).alias("per_month"), "accelerating")
+    cycle = cyclical(read.where("model = 'cyclical'"), keys, end).select(*keys, "typical", "days_since", "overdue")
+    out = known.select(*keys, "model", "reason", "unit", "days_with_data", "days_missing", "days_incomplete")
+    for part in (flat, drift, cycle):
+        out = out.join(part, keys, "left")
+    return out
+
+
+def latched(days: DataFrame, keys: Sequence[str], abnormal: Column, least: int, day: str = "local_date") -> DataFrame:
+    """Each observed day in order with the streak that ends there and what a trigger with a latch does.
+
+    streak_reached (fires) when a run of abnormal days gets long enough, already_firing till a day without a streak, which
+    is recovered; else streak_too_short. A missing calendar day ends a run, but doesn't open the latch.
+    """
+    runs = streaks(days, keys, abnormal, day).select(*keys, day, "length")
+    rows = days.select(*keys, day).distinct().join(runs, [*keys, day], "left").withColumn("length", F.coalesce("length", F.lit(0)))
+    earlier = Window.partitionBy(*keys).orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
+    closed, opened = F.max(F.when(F.col("length") >= least, F.col(day))).over(earlier), F.max(F.when(F.col("length") == 0, F.col(day))).over(earlier)
+    held = F.coalesce(closed.isNotNull() & (opened.isNull() | (closed > opened)), F.lit(False))
+    reason = F.when(held & (F.col("length") == 0), "recovered").when(held, "already_firing").when(F.col("length") < least, "streak_too_short").otherwise("streak_reached")
+    return rows.withColumn("reason", reason).withColumn("fires", F.col("reason") == "streak_reached")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from daymark import schema
 from daymark.engine import Engine
 from daymark.functions import scalars
-from daymark.operators import current, daily, ingest, mirrors, outbox, retention, rules, trends
+from daymark.operators import attribution, corrections, current, daily, ingest, mirrors, outbox, projection, retention, rules, trends
 
 FACTS = "subject long, signal string, occurred_at timestamp_ntz, observation_id long, value double, local_date date, availability string, source_event_id string, state string"
 
@@ -78,9 +78,12 @@ def test_rule_lifecycles(spark):
     assert ids(fire="every", scope="forever", rearm="never") == [1, 3, 6]
     assert ids(fire="every", scope="forever", rearm="cooldown", cooldown_seconds=3 * 3600.0) == [1, 6]
     assert ids(fire="every", when={"state": "x"}) == [] and ids(fire="every", subject=2) == []
-    for bad in ({"condition": "x"}, {"operator": "x"}, {"scope": "forever"}, {"rearm": "cooldown"}, {"fire": "x"}):
+    for bad in ({"condition": "x"}, {"operator": "x"}, {"rearm": "never"}, {"rearm": "cooldown"}, {"rearm": "cooldown", "cooldown_seconds": 0.0}, {"cooldown_seconds": -1.0}, {"fire": "x"}):
         with pytest.raises(ValueError):
             rules.Definition(**({"id": "r", "signal": "m", "condition": "equals"} | bad))
+    assert rules.Definition("r", "m", "equals", scope="forever").fire == "once" and rules.Definition("r", "m", "occurrence").fire == "every"
+    rules.register("odd_hour", lambda d, now, before: (now % 2 == 1) & before.isNotNull())
+    assert sorted(r.observation_id for r in rules.hits(df, rules.Definition("r", "m", "odd_hour", fire="every")).collect()) == [1, 2, 3, 5, 6]
     events = Engine(df).evaluate(rules.Definition("r", "m", "equals", 9.0, fire="every")).collect()
     assert len({r.event_id for r in events}) == 4 and all(r.event_id.startswith("evt_") and len(r.event_id) == 36 for r in events)
 
@@ -188,6 +191,65 @@ def test_touched_days_are_rebuilt(spark, tmp_path):
     assert {r.local_date.day: r.total for r in spark.read.parquet(f"{tmp_path}/daily").collect()} == {1: 6.0, 2: 2.0}
 
 
+def test_rows_without_a_source_id_are_no_revisions_of_each_other(spark):
+    rows = [(1, "a", None, at(1)), (2, "a", "x", at(1)), (3, "a", "x", at(2)), (4, "a", None, at(3)), (5, None, "z", at(1)), (6, None, "b", at(2)), (7, "n", "9", at(1)), (8, "n", "10", at(1))]
+    df = spark.createDataFrame([(o, f, r, t, 0) for o, f, r, t in rows], "observation_id long, source_event_id string, revision string, occurred_at timestamp_ntz, top long")
+    got = current.canonical_revisions(df, ["source_event_id"])
+    assert got.columns == df.columns and sorted(r.observation_id for r in got.collect()) == [3, 5, 6, 8]
+
+
+def test_a_long_streak_fires_once(spark):
+    first = dt.date(2024, 1, 1)
+    days = spark.createDataFrame([(1, "m", first + dt.timedelta(k), 9.0, "complete") for k in range(95)], "subject long, signal string, local_date date, value double, completeness string")
+    edges = rules.streak_edges(trends.streaks(days, ("subject", "signal"), F.col("value") > 5), 90).collect()
+    assert [r.local_date for r in edges] == [first + dt.timedelta(89)]
+    need = spark.createDataFrame([("r", "m", "gt", 5.0, 90)], "definition_id string, signal string, operator string, threshold double, periods int")
+    fired = [k for k in range(87, 95) if rules.scheduled_streaks(days, need, F.lit(first + dt.timedelta(k))).where("fires").count()]
+    assert fired == [89]
+
+
+def test_a_latch_opens_only_on_a_day_without_a_streak(spark):
+    marks = {1: 1, 2: 1, 3: 1, 5: 1, 6: 0, 7: 1, 8: 1, 9: 0, 10: 1}  # day 4 is missing
+    days = spark.createDataFrame([(1, dt.date(2024, 1, d), m) for d, m in marks.items()], "subject long, local_date date, m int")
+    got = {r.local_date.day: r.reason for r in trends.latched(days, ("subject",), F.col("m") == 1, 2).collect()}
+    assert got == {1: "streak_too_short", 2: "streak_reached", 3: "already_firing", 5: "already_firing", 6: "recovered", 7: "streak_too_short", 8: "streak_reached", 9: "recovered", 10: "streak_too_short"}
+
+
+def test_refused_values_are_no_predecessors(spark):
+    rows = facts(spark, [(1, k, v, None) for k, v in enumerate([10.0, 100.0, 11.0, 12.0, 500.0, 400.0, 0.0, 7.0])])
+    assert sorted(r.observation_id for r in corrections.jump_conflicts_sequential(rows, 0.5).collect()) == [1, 4, 5, 6]
+
+
+def test_days_of_23_and_25_hours(spark):
+    spans = [(1, dt.datetime(2026, 11, 1, 4), dt.datetime(2026, 11, 2, 5)), (2, dt.datetime(2026, 3, 8, 5), dt.datetime(2026, 3, 9, 4)), (3, dt.datetime(2026, 3, 9, 3), dt.datetime(2026, 3, 9, 3)), (4, dt.datetime(2026, 3, 9, 4), dt.datetime(2026, 3, 9, 3))]
+    df = spark.createDataFrame([(*x, "America/New_York") for x in spans], "k long, a timestamp_ntz, b timestamp_ntz, z string")
+    got = {(r.k, str(r.local_day)): r.minutes for r in attribution.split_at_midnight(df, "a", "b", "z").collect()}
+    assert got == {(1, "2026-11-01"): 1500.0, (2, "2026-03-08"): 1380.0}
+
+
+def test_sync_rounds(spark):
+    keys, cols = ["item"], "item long, subject long, source string, start_at timestamp_ntz, title string, last_seen_sync_id string"
+    held = spark.createDataFrame([(1, 7, "h", at(5), "a", "s1"), (2, 7, "h", at(20), "b", "s1"), (3, 7, "h", None, "c", "s1"), (4, 8, "h", at(5), "d", "s1"), (5, 7, "w", at(5), "e", "s1"), (6, 7, "h", at(6), "f", "s1")], cols)
+    new = spark.createDataFrame([(6, at(6), "F")], "item long, start_at timestamp_ntz, title string")
+    none = spark.createDataFrame([], "item long")
+    ids = lambda sync, gone=none: {r.item: r.title for r in mirrors.synced(held, new, gone, sync, keys).collect()}
+    assert ids(mirrors.Sync(7, "h", "s2", "full", ("2024-01-01", "2024-01-10"))) == {2: "b", 3: "c", 4: "d", 5: "e", 6: "F"}
+    assert ids(mirrors.Sync(7, "h", "s2"), spark.createDataFrame([(1,)], "item long")) == {2: "b", 3: "c", 4: "d", 5: "e", 6: "F"}
+    assert ids(mirrors.Sync(7, "h", "s2", "full", error="timeout")) == {1: "a", 2: "b", 3: "c", 4: "d", 5: "e", 6: "f"}
+    for bad in ({"snapshot": "full"}, {"snapshot": "x"}, {"covers": ("2024-02-01", "2024-01-01")}):
+        with pytest.raises(ValueError):
+            mirrors.Sync(7, "h", "s", **bad)
+
+
+def test_refusals_and_permissions(spark):
+    texts = ['bad "a \\" b" at -3.5e7', "it's 'x' v2 and 12", "x" * 300, None, "  two   words\n"]
+    got = [r[0] for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").orderBy("k").select(scalars.sanitized_problem(F.col("t"))).collect()]
+    assert got[0] == f"bad {scalars.REDACTED} at {scalars.REDACTED}" and got[2] == "x" * 253 + "..." and got[3] is None and got[4] == "two words"
+    values = ["off", "FALSE ", "0", "denied", "on", "", None, "whatever"]
+    got = [r[0] for r in spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v string").orderBy("k").select(projection.refusal(F.col("v"))).collect()]
+    assert got == ["switch_off"] * 3 + ["not_permitted"] + [None] * 4
+
+
 @pytest.mark.parametrize("pipeline_too", [True, False])
 def test_entry_points_work_without_the_optional_part(tmp_path, pipeline_too):
     """On a copy from which the text operators are deleted, with or without the pipeline's file."""
