@@ -7,13 +7,15 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .operators import corrections, current, daily, retention, rules, trends
+from .operators import corrections, current, daily, generations, mirrors, retention, rules, trends
 
 
 class Engine:
     """facts: subject, signal, occurred_at, observation_id, value, local_date, availability, source_event_id, ...
 
-    Every method is a plan over the tables; nothing is read before a result is asked for.
+    tables may hold aggregates and generations (see operators.generations), calendar, reminders, conflicts, definitions and
+    dims (the declarations, schema.dimensions()). Every method is a plan over the tables; nothing is read before a result
+    is asked for.
     """
 
     def __init__(self, facts: DataFrame, retractions: DataFrame | None = None, events: DataFrame | None = None, tables: Mapping[str, DataFrame] | None = None):
@@ -37,18 +39,55 @@ class Engine:
             rows = corrections.timeline(rows, self.retractions)
         return retention.page(rows, ("occurred_at", "observation_id"), size, after)
 
-    def get_daily(self, subject, signal: str) -> DataFrame:
-        return daily.numeric_dist(self._of(self.facts, subject, [signal]))
+    def _table(self, name: str) -> DataFrame:
+        if name not in self.tables:
+            raise ValueError(f"this engine has no table {name}")
+        return self.tables[name]
 
-    def get_trend(self, subject, signal: str, model: str = "fluctuating", today: Column | None = None) -> DataFrame:
-        series = self.get_daily(subject, signal).withColumn("value", F.col("sum_value") / F.col("n"))
-        if model == "fluctuating":
-            return trends.fluctuating(series, ("subject", "signal"))
-        if model == "drifting":
-            return trends.drifting(series, ("subject", "signal"))
-        if model == "cyclical":
-            return trends.cyclical(series, ("subject", "signal"), F.current_date() if today is None else today)
-        raise ValueError(f"unknown trend model {model!r}")
+    def get_daily(self, subject, signal: str, start: Column, end: Column) -> DataFrame:
+        """Days of the active generation, incomplete ones marked; folded from the facts where no generations are kept."""
+        if "generations" in self.tables:
+            return generations.daily(self._of(self._table("aggregates"), subject, [signal]), self._of(self._table("generations"), subject, [signal]), start, end)
+        folded = daily.numeric_dist(self._of(self.facts, subject, [signal]).where(F.col("local_date").between(start, end)))
+        mean = F.when(F.col("n") > 0, trends.rounded(F.col("sum_value") / F.col("n")))
+        return folded.select(*daily.DAY, mean.alias("value"), F.lit("complete").alias("completeness"), F.lit(True).alias("has_data"))
+
+    def get_trend(self, subject, signal: str, field: str, start: Column, end: Column) -> DataFrame:
+        """The trend by the field's declared model, with days that have data, lack it, or are incomplete; see trends.with_coverage()."""
+        rows = self.get_daily(subject, signal, start, end).withColumn("field", F.lit(field))
+        return trends.with_coverage(rows, self._table("dims"), start, end)
+
+    def recompute(self, scopes: DataFrame, kept_from: Column) -> DataFrame:
+        """Generations built anew for scopes; days whose details may be gone are incomplete."""
+        return generations.rebuilt(self._table("aggregates"), scopes, kept_from)
+
+    def apply_retractions(self, retractions: DataFrame) -> dict[str, DataFrame]:
+        """What follows from retractions: facts left, current rows chosen again, days to rebuild, events and whether they hang on one."""
+        out = {"facts": corrections.without_retracted(self.facts, retractions), "current": corrections.reselected(self.facts, retractions), "days": corrections.affected_days(self.facts, retractions)}
+        if self.events is not None and "fact_dependencies" in self.events.columns:
+            out["events"] = corrections.dependents(self.events, retractions)
+        return out
+
+    def replay(self, retractions: DataFrame, definition: rules.Definition) -> DataFrame:
+        return corrections.replayed(self.facts, retractions, definition, rules.hits)
+
+    def sync_mirror(self, collection: str, items: DataFrame, tombstones: DataFrame, sync: mirrors.Sync, keys) -> DataFrame:
+        return mirrors.synced(self._table(collection), items, tombstones, sync, keys)
+
+    def list_calendar(self, subject, start: Column, end: Column) -> DataFrame:
+        return mirrors.calendar(self._of(self._table("calendar"), subject), start, end)
+
+    def list_reminders(self, subject, completed: bool = False) -> DataFrame:
+        return mirrors.reminders(self._of(self._table("reminders"), subject), completed)
+
+    def list_definitions(self, subject=None) -> DataFrame:
+        """Definitions of everyone and of the subject, disabled ones too."""
+        rows = self._table("definitions")
+        return rows.where(F.col("subject").isNull() | (F.lit(subject).isNotNull() & (F.col("subject") == F.lit(subject)))).orderBy("definition_id", "version")
+
+    def evaluate_daily(self, definitions: DataFrame, through: Column) -> DataFrame:
+        """Scheduled streaks over the daily table (see rules.scheduled_streaks())."""
+        return rules.scheduled_streaks(self._table("aggregates"), definitions, through)
 
     def evaluate(self, definition: rules.Definition, **more) -> DataFrame:
         """Rule hits with deterministic event ids."""
@@ -64,7 +103,11 @@ class Engine:
             raise ValueError("this engine has no events")
         return retention.page(self._of(self.events, subject), (F.desc("occurred_at"), F.desc("event_id")), size)
 
-    def list_conflicts(self, most_jump: float) -> DataFrame:
+    def list_conflicts(self, subject, status: str | None = None, size: int | None = None) -> DataFrame:
+        rows = self._of(self._table("conflicts"), subject)
+        return retention.page(rows if status is None else rows.where(F.col("status") == status), ("created_at", "conflict_id"), size)
+
+    def find_jumps(self, most_jump: float) -> DataFrame:
         return corrections.jump_conflicts(self.facts, most_jump)
 
     def run_retention(self, plan: DataFrame, now: Column, dry_run: bool = True) -> DataFrame:
@@ -73,8 +116,9 @@ class Engine:
         gone = retention.expired(self.all_facts.withColumn("_day", F.to_date("occurred_at")), plan, "_day", "detail_before").drop("_day", "detail_before")
         return gone if dry_run else self.all_facts.join(gone.select("observation_id"), "observation_id", "left_anti")
 
-    def export_subject(self, subject) -> dict[str, DataFrame]:
-        return retention.export_subject(self.tables, subject)
+    def export_subject(self, subject, order=("occurred_at",), cap: int | None = None) -> tuple[dict[str, DataFrame], DataFrame | None]:
+        """Every collection of the subject, to its end or to `cap` rows by `order`, and which of them the cap cut."""
+        return retention.drained(retention.export_subject(self.tables, subject), order, cap)
 
     def purge_subject(self, subject) -> dict[str, DataFrame]:
         return retention.purge_subject(self.tables, subject)

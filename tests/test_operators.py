@@ -159,7 +159,10 @@ def test_pages_retention_and_subjects(spark):
     engine = Engine(df, df.where("observation_id = 9").select("subject", "signal", "source_event_id"))
     plan = spark.createDataFrame([("m", 3, -1)], "signal string, detail_days int, aggregate_days int")
     assert engine.run_retention(plan, F.lit(at(11))).count() == 7 and engine.run_retention(plan, F.lit(at(11)), dry_run=False).count() == 3
-    assert engine.export_subject(1)["facts"].count() == 10 and engine.purge_subject(1)["facts"].count() == 0
+    kept, cut = engine.export_subject(1)
+    assert kept["facts"].count() == 10 and cut is None and engine.purge_subject(1)["facts"].count() == 0
+    kept, cut = engine.export_subject(1, cap=4)
+    assert kept["facts"].count() == 4 and [tuple(r) for r in cut.collect()] == [("facts", True)]
     line = engine.list_timeline(1, "m", 500).collect()
     assert [r.retracted for r in line] == [False] * 9 + [True] and line[-1].value is None
     gen = spark.createDataFrame([("complete", dt.date(2024, 1, 1), dt.date(2024, 1, 3), [dt.date(2024, 1, d) for d in (1, 2, 3)], [], None, None), ("complete", dt.date(2024, 1, 1), dt.date(2024, 1, 3), [dt.date(2024, 1, 1)], [], None, None)], "status string, start date, end date, accounted array<date>, incomplete array<date>, active_start date, active_end date")
@@ -241,6 +244,23 @@ def test_sync_rounds(spark):
             mirrors.Sync(7, "h", "s", **bad)
 
 
+def test_facade_reads_days_and_trends(spark):
+    df = facts(spark, [(d, h, float(d), None) for d in (1, 2, 3, 5) for h in (1, 2)])
+    dims = spark.createDataFrame([("m", "v", "count", "fluctuating", "always"), ("m", "w", None, "none", "always"), ("m", "x", None, "drifting", "never")], "signal string, field string, unit string, trend string, visibility string")
+    engine = Engine(df, tables={"dims": dims})
+    day = lambda k: F.lit(dt.date(2024, 1, k))
+    got = engine.get_trend(1, "m", "v", day(1), day(6)).collect()[0]
+    assert (got.days_with_data, got.days_missing, got.days_incomplete, got.model, got.unit, got.current, got.delta) == (4, 2, 0, "fluctuating", "count", 5.0, 3.0)
+    assert [engine.get_trend(1, "m", f, day(1), day(6)).collect()[0].reason for f in ("w", "x", "y")] == ["no_model", "not_visible", "not_declared"]
+    gens = spark.createDataFrame([(1, "m", "daily", "g1", 1, dt.date(2024, 1, 1), dt.date(2024, 1, 4), [], [dt.date(2024, 1, 2), dt.date(2024, 1, 4)], ["late"], "active")], "subject long, signal string, kind string, generation_id string, aggregation_version int, start date, end date, accounted array<date>, incomplete array<date>, reasons array<string>, status string")
+    rows = [(1, "m", "daily", "g1", dt.date(2024, 1, k), 1.0 * k, "complete", n, True) for k, n in ((1, 3), (2, 3), (3, 0))] + [(1, "m", "daily", "g0", dt.date(2024, 1, 1), 9.0, "complete", 3, True)]
+    held = spark.createDataFrame(rows, "subject long, signal string, kind string, generation_id string, local_date date, value double, completeness string, observations int, recomputed boolean")
+    shown = Engine(df, tables={"dims": dims, "generations": gens, "aggregates": held}).get_daily(1, "m", day(1), day(6)).collect()
+    assert {r.local_date.day: (r.value, r.completeness, r.has_data) for r in shown} == {1: (1.0, "complete", True), 2: (2.0, "incomplete", True), 4: (None, "incomplete", False)}
+    with pytest.raises(ValueError):
+        Engine(df).list_reminders(1)
+
+
 def test_refusals_and_permissions(spark):
     texts = ['bad "a \\" b" at -3.5e7', "it's 'x' v2 and 12", "x" * 300, None, "  two   words\n"]
     got = [r[0] for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").orderBy("k").select(scalars.sanitized_problem(F.col("t"))).collect()]
