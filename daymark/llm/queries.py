@@ -72,4 +72,11 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_secret_scans": op10_secret_scans,
 }
-ORACLE_SQL: dict[str, str] = {"op9_quality_rules": quality_sql.sql()}
+#: All pairs: for the small tables on which the driver compares.
+LINKS_SQL = f"""WITH RECURSIVE g AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+  f AS MATERIALIZED (SELECT * FROM g WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+  p AS MATERIALIZED (SELECT a.r AS x, b.r AS y FROM f a JOIN f b ON a.r <> b.r AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= {vectors.SIMILARITY}),
+  reach AS (SELECT r AS x, r AS y FROM g UNION SELECT reach.x, p.y FROM reach JOIN p ON reach.y = p.x),
+  c AS (SELECT reach.x AS r, min(g.vec_id) AS component_id FROM reach JOIN g ON g.r = reach.y GROUP BY reach.x), n AS (SELECT x AS r, count(*) AS n_links FROM p GROUP BY x)
+  SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM g JOIN c USING (r) LEFT JOIN n USING (r)"""
+ORACLE_SQL: dict[str, str] = {"op1_embedding_dedup": LINKS_SQL, "op9_quality_rules": quality_sql.sql()}

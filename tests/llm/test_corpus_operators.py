@@ -277,6 +277,39 @@ def test_vectors_equal_brute_force(spark, monkeypatch):
     assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_cells_that_are_split_lose_no_link(spark, monkeypatch):
+    """Few cells of one k-means, so that they are split, twice; crowds of distinct near vectors among scattered ones."""
+    for name, value in (("BLOCK", 64), ("CELL_ROWS", 20), ("BRANCH", 4), ("LARGE", 60), ("SPLIT_SAMPLE", 60), ("SPLIT", 6), ("DEAL", 32)):
+        monkeypatch.setattr(vectors, name, value)
+    rng = np.random.default_rng(11)
+    far = rng.standard_normal((500, 32))
+    crowd = np.concatenate([far[k] + rng.standard_normal((n, 32)) * 0.1 for k, n in ((0, 150), (1, 40), (2, 5))])
+    x = np.concatenate([far, crowd]).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = {r.vec_id: r for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    s = (u @ u.T >= 0.95) & ~np.eye(len(u), dtype=bool)
+    found = np.array([got[i].n_links for i in range(len(x))])
+    assert s.sum() > 10_000 and (found <= s.sum(1)).all() and found.sum() >= 0.999 * s.sum()
+    want = groups(range(len(x)), list(zip(*map(list, np.nonzero(s)), strict=True)))
+    assert np.mean([got[i].component_id == want[i] for i in want]) > 0.995
+
+
+def test_links_equal_their_sql(spark, tmp_path):
+    import duckdb
+
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((60, 8))
+    near = [x[k % 7] + rng.standard_normal(8) * 0.06 for k in range(40)]
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate([*x, *near])] + [(200, None), (201, []), (202, [0.0] * 8), (203, [float("nan")] * 8), (204, [None] + [1.0] * 7), (205, [1.0, 2.0]), (206, x[0].astype(np.float32).tolist())]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = queries.QUERIES["op1_embedding_dedup"](spark, str(tmp_path))
+    with duckdb.connect() as c:
+        c.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+        want = c.sql(queries.ORACLE_SQL["op1_embedding_dedup"]).select(", ".join(got.columns)).fetchall()
+    assert sorted(want) == sorted(tuple(r) for r in got.collect()) and sum(r[1] for r in want) > 50
+
+
 def test_pipeline_runs_its_stages(spark, tmp_path):
     rng = random.Random(8)
     rows = [(i, prose(rng, rng.randint(60, 200)) + (" grothead" if i % 5 == 0 else "") + (" a.b@c.org" if i % 7 == 0 else ""), "en", "a") for i in range(200)]
