@@ -1,14 +1,15 @@
 """PII: exact base rules, and a character BiLSTM with CRF transitions trained in numpy that adds spans.
 
-The model's labels are begin/inside tags of four kinds, all of which hold a digit or `@` (an anchor). A span without
-an anchor isn't a span by definition, so windows are laid only over anchors and what stands near them; all of a
-text is searched for anchors. Overlapping windows give each character averaged label scores, and one Viterbi pass
+The model's labels are begin/inside tags of four kinds. Whatever is accepted as one (see plausible()) holds an anchor: an
+e-mail address `@`, a phone or card number a digit, an IPv6 address a digit or a colon between letters a-f or colons.
+So windows are laid only over anchors and what stands near them, and lose no span; all of a text is searched for anchors. Overlapping windows give each character averaged label scores, and one Viterbi pass
 over each joined region settles the spans.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from functools import lru_cache
 from ipaddress import IPv6Address
 
@@ -30,7 +31,8 @@ EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_ANCHOR = re.compile(r"[0-9@]")
+_ANCHOR = re.compile(r"[0-9@]|(?<=[A-Fa-f:]):(?=[A-Fa-f:])")
+_DIGIT = re.compile("[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 
 
@@ -63,7 +65,7 @@ def _emails(text: str):
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """Spans of the base rules by start, then kind: leftmost non-overlapping per kind, failing matches dropped."""
     out = [(a, b, 0) for a, b in _emails(text)]
-    if _ANCHOR.search(text):
+    if _DIGIT.search(text):
         for m in IP.finditer(text) if "." in text else ():
             if all(len(x.lstrip("0")) <= 3 and int(x[-4:]) <= 255 for x in m[0].split(".")):
                 out.append((m.start(), m.end(), 1))
@@ -358,15 +360,26 @@ def plausible(piece: str, kind: str) -> bool:
         return False
 
 
-def all_spans(model: Tagger, texts: list[str]) -> list[list[tuple[int, int, str]]]:
-    """Base spans, and plausible model spans that touch none of them, by start, then kind."""
+def marked_spans(model: Tagger, texts: list[str]) -> list[list[tuple[int, int, str, bool]]]:
+    """Base spans (true), and plausible model spans that touch none of them (false), by start, then kind."""
     out = []
     for text, base, more in zip(texts, map(base_spans, texts), model.spans(texts), strict=True):
-        added = [s for s in more if plausible(text[s[0] : s[1]], s[2]) and not any(s[0] < b and a < s[1] for a, b, _ in base)]
-        out.append(sorted(base + added, key=lambda s: (s[0], KINDS.index(s[2]))) if added else base)
+        ends = np.maximum.accumulate([b for _, b, _ in base]) if base else []
+        starts = [a for a, _, _ in base]
+        spans = [(*s, True) for s in base]
+        for a, b, kind in more:
+            before = bisect_left(starts, b)  # base spans that begin before this one ends
+            if plausible(text[a:b], kind) and not (before and ends[before - 1] > a):
+                spans.append((a, b, kind, False))
+        out.append(sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]))))
     return out
 
 
+def all_spans(model: Tagger, texts: list[str]) -> list[list[tuple[int, int, str]]]:
+    """marked_spans() without the marks."""
+    return [[s[:3] for s in spans] for spans in marked_spans(model, texts)]
+
+
 def scan_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: Tagger | None = None) -> DataFrame:
     """A row per document: doc_id, spans array<struct<kind, start, end, base>>, code points, end exclusive.
 
@@ -376,11 +389,7 @@ def scan_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mode
     model = model or trained()
 
     def run(texts):
-        got = []
-        for t, spans in zip(texts, all_spans(model, texts), strict=True):
-            base = set(base_spans(t)) if spans else ()
-            got.append([{"kind": k, "start": a, "end": b, "base": (a, b, k) in base} for a, b, k in spans])
-        return [got]
+        return [[[{"kind": k, "start": a, "end": b, "base": base} for a, b, k, base in spans] for spans in marked_spans(model, texts)]]
 
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     return map_texts(rows, SPANS, run)
@@ -413,7 +422,7 @@ def redact(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars",
     """The documents, same columns and rows, with personal data masked and n_chars renewed where such a column is."""
     model = model or trained()
     taken = "_daymark_text"
-    while taken in docs.columns:
+    while {taken, taken + "null"} & set(docs.columns):
         taken += "_"
 
     def run(texts):

@@ -117,6 +117,13 @@ def test_model_adds_cards_and_addresses_of_other_shapes():
     assert pii.all_spans(model, ["pay with 4111.1111.1111.1112 today", "at 12:34:56 or 1.2.3", "x 12:34:56:78:90 y"]) == [[], [], []]
 
 
+def test_an_address_without_digits_is_found_and_names_may_clash(spark):
+    assert pii._ANCHOR.search("at abcd:ef::cafe:dead it") and not pii._ANCHOR.search("note: this, a : b, see:")
+    assert all(pii._ANCHOR.search(x) for x in ("::dead:beef:cafe", "a:b:c:d:e:f:a:b", "fade::be:ad"))
+    df = spark.createDataFrame([(1, "a.b@c.org", "x", "y", 9)], "doc_id long, text string, _daymark_textnull string, _daymark_text string, n_chars long")
+    assert [tuple(r) for r in pii.redact(df).collect()] == [(1, "[EMAIL]", "x", "y", 7)]
+
+
 def test_scans_of_null_empty_long_and_repeated_texts(spark):
     long = "word " * 40_000 + "mail a@b.co"
     rows = [(1, None), (2, ""), (3, "password=abcdef1 a@b.co"), (3, "password=abcdef1 a@b.co"), (None, long)]
