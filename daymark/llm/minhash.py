@@ -127,7 +127,11 @@ def elements(hashes: np.ndarray, counts: np.ndarray, sizes: np.ndarray) -> list[
 
 
 def _describe(texts: list[str]) -> list[list]:
-    """Per text: number of shingles, a digest of the multiset, band keys and check bits."""
+    """Per text: number of shingles, a digest of the multiset, band keys and check bits. Equal texts are described once."""
+    places = {t: k for k, t in enumerate(dict.fromkeys(texts))}
+    if len(places) < len(texts):
+        at = [places[t] for t in texts]
+        return [[column[k] for k in at] for column in _describe(list(places))]
     h, c, n = shingles(texts)
     sig = signatures(h, c, n)
     owner = np.repeat(np.arange(len(texts)), n)
@@ -145,7 +149,7 @@ def _describe(texts: list[str]) -> list[list]:
     checks = np.packbits(bits, axis=2, bitorder="little").view("<u8").reshape(len(texts), CHECKS).view(np.int64)
     keys = keys.view(np.int64)
     some = weight > 0
-    return [weight, digest.view(np.int64), other.view(np.int64), [k if x else [] for k, x in zip(keys.tolist(), some, strict=True)], checks.tolist()]
+    return [weight.tolist(), digest.view(np.int64).tolist(), other.view(np.int64).tolist(), [k if x else [] for k, x in zip(keys.tolist(), some, strict=True)], checks.tolist()]
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -171,7 +175,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     """
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("t1", F.xxhash64("text")).withColumn("t2", F.xxhash64(F.lit(77), "text"))
-    # one text of each kind is described: the hot group of exact copies is aggregated before it is shuffled
+    # texts stay where they are; copies that lie together are described once, and only descriptions are shuffled
     found = save(map_texts(rows, "w bigint, d1 bigint, d2 bigint, keys array<bigint>, checks array<bigint>", _describe))
     # classes by multiset; texts without words by their own hash
     empty = F.col("w") == 0
