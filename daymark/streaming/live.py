@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from datetime import timedelta
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -13,37 +15,36 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 class ThresholdCrossing(StatefulProcessor):
     """Fires where a value reaches a threshold that the one before didn't; state per (subject, local_date): the last value.
 
-    Rows of a batch are taken in (occurred_at, observation_id); one that is older than the last taken changes nothing.
+    Rows of a batch are taken in (occurred_at, observation_id); one that is older than the last taken changes nothing. The
+    state of a day that gets no more rows goes after `keep` (processing time).
     """
 
-    def __init__(self, threshold: float):
-        self.threshold = threshold
+    def __init__(self, threshold: float, keep: timedelta):
+        self.threshold, self.keep = threshold, keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", T.StructType([T.StructField("at", T.LongType()), T.StructField("value", T.DoubleType())]))
+        self.last = handle.getValueState("last", T.StructType([T.StructField("at", T.LongType()), T.StructField("value", T.DoubleType())]), int(self.keep.total_seconds() * 1000))
 
     def handleInputRows(self, key, rows: Iterator, timer_values) -> Iterator:  # noqa: N802
         import pandas as pd
 
         now = pd.concat(list(rows)).sort_values(["occurred_at", "observation_id"])
-        at, before = self.last.get() if self.last.exists() else (None, None)
-        fired = []
-        for t, i, v in zip(now["occurred_at"].astype("int64"), now["observation_id"], now["value"], strict=True):
-            if at is not None and t < at:
-                continue
-            if before is not None and before < self.threshold <= v:
-                fired.append(i)
-            at, before = t, v
-        self.last.update((int(at), float(before)))
+        at, before = self.last.get() if self.last.exists() else (np.iinfo(np.int64).min, np.nan)
+        now = now[now["occurred_at"].astype("int64") >= at]
+        value = now["value"].to_numpy(np.float64)
+        previous = np.concatenate(([before if before is not None else np.nan], value))[:-1]
+        fired = now["observation_id"].to_numpy()[(previous < self.threshold) & (value >= self.threshold)]
+        if len(now):
+            self.last.update((int(now["occurred_at"].astype("int64").iloc[-1]), float(value[-1])))
         yield pd.DataFrame({"subject": [key[0]] * len(fired), "observation_id": pd.Series(fired, dtype="int64")})
 
     def close(self) -> None:
         pass
 
 
-def threshold_hits(facts: DataFrame, threshold: float) -> DataFrame:
-    """The live rule over streamed facts. Needs the RocksDB state store."""
-    return facts.groupBy("subject", "local_date").transformWithStateInPandas(ThresholdCrossing(threshold), "subject long, observation_id long", "Append", "None")
+def threshold_hits(facts: DataFrame, threshold: float, keep: timedelta = timedelta(days=3)) -> DataFrame:
+    """The live rule over streamed facts. Needs the RocksDB state store; states go after `keep` without rows."""
+    return facts.groupBy("subject", "local_date").transformWithStateInPandas(ThresholdCrossing(threshold, keep), "subject long, observation_id long", "Append", "ProcessingTime")
 
 
 def first_seen(facts: DataFrame, identity: Sequence[str], event_time: str = "occurred_at", within: str = "7 days") -> DataFrame:
@@ -51,10 +52,15 @@ def first_seen(facts: DataFrame, identity: Sequence[str], event_time: str = "occ
     return facts.withWatermark(event_time, within).dropDuplicatesWithinWatermark(list(identity))
 
 
-def daily_counts(facts: DataFrame, event_time: str = "occurred_at", late: str = "1 day") -> DataFrame:
-    """Sum and count per subject, signal and UTC day, given out once the watermark has passed the day."""
-    day = F.window(event_time, "1 day")
-    return facts.withWatermark(event_time, late).groupBy("subject", "signal", day).agg(F.sum("value").alias("total"), F.count("*").alias("n")).select("subject", "signal", F.to_date("window.start").alias("local_date"), "total", "n")
+def daily_counts(facts: DataFrame, event_time: str = "occurred_at", late: str = "1 day", zone: Column | None = None) -> DataFrame:
+    """Sum and count per subject, signal and local day (UTC without a zone), given out once the watermark has passed the day.
+
+    The watermark is one of local wall time, so a day ends with its own midnight, whether clocks change in it or not.
+    """
+    at = F.col(event_time) if zone is None else F.from_utc_timestamp(F.col(event_time), F.coalesce(zone, F.lit("UTC")))
+    rows = facts.withColumn("_local", at).withWatermark("_local", late)
+    days = rows.groupBy("subject", "signal", F.window("_local", "1 day")).agg(F.sum("value").alias("total"), F.count("*").alias("n"))
+    return days.select("subject", "signal", F.to_date("window.start").alias("local_date"), "total", "n")
 
 
 def rebuild_touched_days(store: str, fold: Callable[[DataFrame], DataFrame], out: str) -> Callable[[DataFrame, int], None]:
@@ -67,8 +73,8 @@ def rebuild_touched_days(store: str, fold: Callable[[DataFrame], DataFrame], out
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("local_date", "batch").parquet(store)
-        days = batch.select("local_date").distinct()
-        touched = spark.read.parquet(store).join(days, "local_date", "left_semi").drop("batch")
+        days = [r.local_date for r in batch.select("local_date").distinct().collect()]  # the days of one batch
+        touched = spark.read.parquet(store).where(F.col("local_date").isin(days)).drop("batch")  # prunes partitions
         fold(touched).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("local_date").parquet(out)
 
     return run
