@@ -126,6 +126,12 @@ def refuse_unsupported(retractions: DataFrame, dims: DataFrame) -> DataFrame:
     return rows.withColumn("refused", ~F.coalesce((F.col("_identity") == "source_event_id") & F.col("source_event_id").isNotNull(), F.lit(False))).drop("_identity")
 
 
+def noted(retractions: DataFrame, new: DataFrame) -> DataFrame:
+    """The retraction table with new ones; the same fact of the same source is retracted once."""
+    keys = ["subject", "signal", "source", "source_event_id"]
+    return retractions.unionByName(new.dropDuplicates(keys).join(retractions.select(*keys), keys, "left_anti"))
+
+
 def recorded(conflicts: DataFrame, new: DataFrame) -> DataFrame:
     """The conflict table with new records; one that is there stays as it is."""
     fresh = new.dropDuplicates(["subject", "conflict_id"]).join(conflicts.select("subject", "conflict_id"), ["subject", "conflict_id"], "left_anti")

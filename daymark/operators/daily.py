@@ -93,6 +93,45 @@ def tally(facts: DataFrame, track: str, playing: Column, most: int = 30, keys: S
     return by.withColumn("place", rank).where(F.col("place") <= most)
 
 
+def listening(facts: DataFrame, track: str, artist: str, playing: Column, most: int = 30, titles: int = 200, keys: Sequence[str] = ("subject", "local_date")) -> DataFrame:
+    """A day's music digest: minutes in all, the largest by artist and by track (maps), and the first titles by name.
+
+    The time between two observations goes to what played at the first.
+    """
+    w = Window.partitionBy(*keys).orderBy(*ORDER)
+    rows = facts.withColumns({"_until": F.lead("occurred_at").over(w), "_on": playing})
+    micros = F.timestamp_diff("MICROSECOND", F.col("occurred_at"), F.col("_until"))
+    spans = rows.where("_on AND _until IS NOT NULL").withColumn("_us", micros)
+
+    def largest(name):
+        by = spans.where(F.col(name).isNotNull()).groupBy(*keys, name).agg(F.sum("_us").alias("us"))
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("us"), name))
+        top = by.withColumn("place", place).where(F.col("place") <= most)
+        return top.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(name, F.round(F.col("us") / 60_000_000, 2))))).alias(f"by_{name}"))
+
+    total = spans.groupBy(*keys).agg(F.round(F.sum("_us") / 60_000_000, 2).alias("total_minutes"))
+    heard = rows.where(F.col("_on") & F.col(track).isNotNull()).select(*keys, track).distinct()
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(track))
+    first = heard.withColumn("place", place).where(F.col("place") <= titles).groupBy(*keys).agg(F.array_sort(F.collect_list(track)).alias("distinct_titles"))
+    out = facts.select(*keys).distinct()
+    for part in (total, largest(artist), largest(track), first):
+        out = out.join(part, list(keys), "left")
+    return out
+
+
+def listed_events(facts: DataFrame, items: str, keys: Sequence[str] = DAY) -> DataFrame:
+    """The day's events out of lists (array<struct<id, title, start_time>>), the first of each identity, in order of arrival.
+
+    An event without an id is the same as another of its title and time; one without any of these is none.
+    """
+    rows = facts.select(*keys, *ORDER, F.posexplode(items).alias("at", "e"))
+    text = lambda c: F.coalesce(F.col(f"e.{c}").cast("string"), F.lit(""))
+    key = F.when(text("id") != "", text("id")).otherwise(F.concat_ws("|", text("title"), text("start_time")))
+    rows = rows.withColumn("event_key", key).where("event_key <> '' AND event_key <> '|'")
+    first = rows.groupBy(*keys, "event_key").agg(F.min_by("e", F.struct(*ORDER, "at")).alias("e"), F.min(F.struct(*ORDER, "at")).alias("first"))
+    return first.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("first"))).select(*keys, "event_key", "e.*", "place")
+
+
 def subjective(facts: DataFrame, value: str = "value", keys: Sequence[str] = DAY) -> DataFrame:
     """The day's entries in order: one array of (at, value)."""
     rows = facts.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("occurred_at", "observation_id", value))).alias("x"))

@@ -94,6 +94,14 @@ def claim_reports(reports: DataFrame, digest: str = "payload_digest", arrival: s
     return reports.withColumn("claim", F.when(F.row_number().over(w) == 1, "accepted").when(F.col(digest) == first, "duplicate").otherwise("conflict"))
 
 
+def finalised(claims: DataFrame, receipts: DataFrame) -> DataFrame:
+    """Claims with the receipt of the same identity and digest; `refused` marks receipts of another digest, which don't count."""
+    keys = ["subject", "producer", "report_id"]
+    rows = claims.join(receipts.select(*keys, F.col("payload_digest").alias("_d"), F.col("status").alias("_s")), keys, "left")
+    same = F.col("_d") == F.col("payload_digest")
+    return rows.withColumns({"status": F.when(same, F.col("_s")), "refused": F.col("_d").isNotNull() & ~same}).drop("_d", "_s")
+
+
 def merge_rejections(rejected: DataFrame) -> DataFrame:
     """One row per (report, index): the first code in order of codes, problems without repeats."""
     return rejected.groupBy("report_id", "index").agg(F.min("code").alias("code"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("problems")))).alias("problems"))

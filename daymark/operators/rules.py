@@ -173,6 +173,16 @@ def scheduled_streaks(days: DataFrame, definitions: DataFrame, through: Column,
     return ending.select(*keys, length.cast("long").alias("length"), before.cast("long").alias("previous_length"), ((length >= F.col("periods")) & (before < F.col("periods"))).alias("fires"))
 
 
+def states(facts: DataFrame, d: Definition, value: str = "value", order: Sequence[str] = ("occurred_at", "observation_id")) -> DataFrame:
+    """The rule's state after its facts, a row per subject and scope: scope key with the version, last value, hits, last hit."""
+    scope = scope_columns(d)
+    seen = facts.where(F.col("signal") == d.signal).groupBy(*scope).agg(F.max_by(value, F.struct(*order)).alias("previous"))
+    fired = hits(facts, d, value, order).groupBy(*scope).agg(F.count("*").alias("fired"), F.max("occurred_at").alias("last_fired_at"))
+    key = F.col("local_date").cast("string") if "local_date" in scope else F.lit("forever")
+    rows = seen.join(fired, scope, "left")
+    return rows.select("subject", F.concat(key, F.lit(f"@v{d.version}")).alias("scope"), "previous", F.coalesce("fired", F.lit(0)).alias("fired"), "last_fired_at")
+
+
 def for_facts(facts: DataFrame, definitions: DataFrame) -> DataFrame:
     """Facts with each definition that looks at them: the same signal, enabled, and of no subject or of this one."""
     d = definitions.where("enabled").select("definition_id", "signal", F.col("subject").alias("d_subject"))

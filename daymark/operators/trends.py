@@ -132,3 +132,19 @@ def latched(days: DataFrame, keys: Sequence[str], abnormal: Column, least: int,
     held = F.coalesce(closed.isNotNull() & (opened.isNull() | (closed > opened)), F.lit(False))
     reason = F.when(held & (F.col("length") == 0), "recovered").when(held, "already_firing").when(F.col("length") < least, "streak_too_short").otherwise("streak_reached")
     return rows.withColumn("reason", reason).withColumn("fires", F.col("reason") == "streak_reached")
+
+
+def notable_readings(trend: DataFrame, reports: DataFrame, ttl: DataFrame, now: Column, most: int = 8, subject: Sequence[str] = ("subject",)) -> DataFrame:
+    """The largest relative changes of a subject, saying whether the last value is current or only the last known.
+
+    trend: fluctuating() by (subject, signal, field); reports: last report (subject, signal, field, reported_at); ttl: (signal,
+    ttl_seconds). Without a report in time, `current` is null and `last_known` stands with `as_of`.
+    """
+    rows = trend.where("baseline_n >= 2").withColumn("magnitude", rounded(F.abs(rounded(F.col("delta"))) / F.greatest(F.abs("baseline_median"), F.lit(1.0)), 6))
+    place = F.row_number().over(Window.partitionBy(*subject).orderBy(F.desc("magnitude"), "signal", "field"))
+    top = rows.withColumn("place", place).where(F.col("place") <= most)
+    seen = top.join(reports, [*subject, "signal", "field"], "left").join(ttl, "signal", "left")
+    fresh = F.coalesce(F.timestamp_diff("SECOND", F.col("reported_at"), now) <= F.col("ttl_seconds"), F.lit(False))
+    return seen.select(
+        *subject, "signal", "field", "place", "magnitude", "direction", F.when(fresh, F.col("current")).alias("current"), F.when(~fresh, F.col("current")).alias("last_known"), F.when(~fresh, F.col("reported_at")).alias("as_of")
+    )

@@ -489,3 +489,109 @@ def reader_rounding(s, d):
     return event_facts(s, d).select("observation_id", trends.rounded(F.col("value") / 7).alias("mean"), trends.rounded(F.col("k") / 8, 2).cast("double").alias("half"))
 
 
+
+
+# against the declarations
+
+
+@query(f"""SELECT observation_id, CASE WHEN signal = 'error' THEN 'unknown_signal' ELSE array_to_string(list_sort(list_filter([
+    CASE WHEN k % 7 = 0 THEN CASE WHEN signal = 'view' THEN 'missing:weight' END WHEN k % 7 = 1 THEN 'not_a_number:weight' WHEN k % 4 = 3 THEN 'invalid_units:weight' WHEN NOT w BETWEEN 2 AND 60 THEN 'out_of_range:weight' END,
+    CASE WHEN k % 5 = 0 THEN 'not_boolean:flag' END, CASE WHEN k % 3 = 0 THEN 'not_a_member:mood' END], lambda x: x IS NOT NULL)), ',') END AS problems,
+  CASE WHEN signal <> 'error' AND k % 7 > 1 AND k % 4 < 3 AND w BETWEEN 2 AND 60 THEN round(w, 6) END AS weight, signal <> 'error' AND k % 7 > 0 AND k % 4 IN (0, 1, 3) AS converted, CASE WHEN signal <> 'error' AND k % 5 > 0 THEN 'true' END AS flag, CASE WHEN signal <> 'error' AND k % 3 > 0 THEN 'good' END AS mood
+  FROM (SELECT *, CASE k % 4 WHEN 0 THEN value * 0.45359237::DOUBLE WHEN 1 THEN value * 0.001::DOUBLE ELSE value END AS w FROM {EV})""")
+def manifest_ingest(s, d):
+    """view needs a weight, click may have one; coordinates are restricted, `extra` isn't declared, error isn't a signal."""
+    from ..operators import manifest
+
+    k = F.col("k")
+    dims = [(g, f, t, u, lo, hi, n, p, e) for g, need in (("view", False), ("click", True), ("purchase", True), ("search", True), ("signup", True), ("login", True), ("logout", True), ("add_to_cart", True)) for f, t, u, lo, hi, n, p, e in (
+        ("weight", "number", "kg", 2.0, 60.0, need, "personal", []), ("flag", "boolean", None, None, None, True, "public", []), ("mood", "enum", None, None, None, True, "public", ["good", "bad"]), ("coordinate", "object", None, None, None, True, "restricted", []))]
+    dims = s.createDataFrame(dims, "signal string, field string, type string, unit string, low double, high double, nullable boolean, privacy string, enum array<string>")
+    unit = F.when(k % 4 == 0, "lb").when(k % 4 == 1, "g").when(k % 4 == 2, "kg").otherwise("stone")
+    weight = F.when(k % 7 == 1, "heavy").when(k % 7 > 0, F.col("value").cast("string"))
+    values = F.create_map(F.lit("weight"), weight, F.lit("flag"), F.when(k % 5 == 0, "perhaps").otherwise("True"), F.lit("mood"), F.when(k % 3 == 0, "odd").otherwise("good"), F.lit("coordinate"), F.lit("1,2"), F.lit("extra"), F.lit("x"))
+    rows = event_facts(s, d).withColumns({"availability": F.lit("observed"), "values": values, "units": F.create_map(F.lit("weight"), unit)})
+    got = manifest.normalised(rows, dims)
+    at = lambda m, f: F.try_element_at(m, F.lit(f))
+    converted = F.coalesce(F.map_contains_key("source_units", F.lit("weight")) & F.try_element_at("source_values", F.lit("weight")).isNotNull(), F.lit(False))
+    return got.select("observation_id", F.array_join("problems", ",").alias("problems"), F.round(at("stored", "weight").cast("double"), 6).alias("weight"), converted.alias("converted"), at("stored", "flag").alias("flag"), at("stored", "mood").alias("mood"))
+
+
+@query(f"SELECT observation_id, CASE k % 4 WHEN 0 THEN 'Asia/Shanghai' WHEN 2 THEN 'UTC' END AS zone, CASE k % 4 WHEN 0 THEN 'declared' WHEN 1 THEN 'declared' WHEN 2 THEN 'host' ELSE 'missing' END AS zone_source, CASE WHEN k % 4 = 1 THEN 'unknown_zone' END AS zone_problem FROM {EV}")
+def zone_validation(s, d):
+    from ..operators import manifest
+
+    k = F.col("k")
+    rows = event_facts(s, d).withColumns({"timezone": F.when(k % 4 == 0, "Asia/Shanghai").when(k % 4 == 1, "Mars/Base"), "host_zone": F.when(k % 4 < 3, "UTC")})
+    return manifest.known_zones(rows, s.createDataFrame([("Asia/Shanghai",), ("UTC",)], "zone string")).select("observation_id", "zone", "zone_source", "zone_problem")
+
+
+@query(f"""SELECT observation_id, 'v2:' || sha256('{{"k":"' || k || '","s":"' || signal || '"}}') AS digest, 'o-' || observation_id AS id FROM {EV}""")
+def semantic_digests(s, d):
+    from ..operators import manifest
+
+    rows = event_facts(s, d).withColumn("n", F.col("observation_id"))
+    got = manifest.with_ids(rows, F.concat(F.lit("o-"), F.col("n").cast("string")))
+    return got.select(F.col("n").alias("observation_id"), manifest.semantic_digest(F.create_map(F.lit("s"), F.col("signal"), F.lit("k"), F.col("k").cast("string"))).alias("digest"), F.col("observation_id").alias("id"))
+
+
+@query(f"""WITH p AS (SELECT subject, signal, list(v ORDER BY local_date) AS vs FROM (SELECT subject, signal, local_date, max(cents) / 100.0::DOUBLE AS v FROM {EV} GROUP BY ALL) GROUP BY ALL), q AS (SELECT *, vs[-1] AS cur, list_sort(CASE WHEN len(vs) > 1 THEN vs[:-2] ELSE vs END) AS base FROM p),
+  f AS (SELECT *, CASE WHEN len(base) % 2 = 1 THEN base[len(base) // 2 + 1] ELSE (base[len(base) // 2] + base[len(base) // 2 + 1]) / 2 END AS m FROM q WHERE len(base) >= 2), g AS (SELECT *, round_even(abs(round_even(cur - m, 3)) / greatest(abs(m), 1), 6) AS magnitude FROM f),
+  r AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY magnitude DESC, signal) AS place FROM g QUALIFY place <= 3), t AS (SELECT user_id AS subject, event_type AS signal, max(ts) AS seen FROM events WHERE event_type <> 'click' GROUP BY ALL)
+  SELECT r.subject, r.signal, r.place::INT AS place, magnitude, CASE WHEN fresh THEN cur END AS current, CASE WHEN NOT fresh THEN cur END AS last_known, CASE WHEN NOT fresh THEN seen END AS as_of FROM (SELECT r.*, t.seen, coalesce(date_sub('second', t.seen, TIMESTAMP '{NOW}') <= 172800, false) AS fresh FROM r LEFT JOIN t ON t.subject = r.subject AND t.signal = r.signal) r""")
+def notable_with_freshness(s, d):
+    from .catalogue import daily_max
+
+    keys = ("subject", "signal", "field")
+    trend = trends.fluctuating(daily_max(s, d).withColumn("field", F.lit("v")), keys)
+    reports = event_facts(s, d).where("signal <> 'click'").groupBy("subject", "signal").agg(F.max("occurred_at").alias("reported_at")).withColumn("field", F.lit("v"))
+    ttl = event_facts(s, d).select("signal").distinct().withColumn("ttl_seconds", F.lit(172_800))
+    got = trends.notable_readings(trend, reports, ttl, F.lit(NOW).cast("timestamp_ntz"), 3)
+    return got.select("subject", "signal", "place", "magnitude", "current", "last_known", "as_of")
+
+
+@query(f"""WITH v AS (SELECT *, lag(value) OVER (PARTITION BY subject, local_date ORDER BY occurred_at, observation_id) AS p FROM {EV} WHERE signal = 'view'), h AS (SELECT subject, local_date, count(*) AS fired, max(occurred_at) AS at FROM v WHERE p < 20 AND value >= 20 GROUP BY ALL)
+  SELECT v.subject, strftime(v.local_date, '%Y-%m-%d') || '@v2' AS scope, arg_max(v.value, (v.occurred_at, v.observation_id)) AS previous, coalesce(any_value(h.fired), 0) AS fired, any_value(h.at) AS last_fired_at FROM v LEFT JOIN h USING (subject, local_date) GROUP BY v.subject, v.local_date""")
+def rule_states(s, d):
+    return rules.states(event_facts(s, d), rules.Definition("r", "view", "threshold_crossing", 20.0, version=2, fire="every"))
+
+
+@query(f"""WITH x AS (SELECT subject, local_date, 'a' || (k % 3) AS artist, 't' || (k % 11) AS track, signal <> 'error' AS p, date_diff('microsecond', occurred_at, lead(occurred_at) OVER (PARTITION BY subject, local_date ORDER BY occurred_at, observation_id)) AS us FROM {EV}),
+  t AS (SELECT subject, local_date, sum(us) AS us FROM x WHERE p AND us IS NOT NULL GROUP BY ALL), a AS (SELECT *, row_number() OVER (PARTITION BY subject, local_date ORDER BY us DESC, artist) AS n FROM (SELECT subject, local_date, artist, sum(us) AS us FROM x WHERE p AND us IS NOT NULL GROUP BY ALL)),
+  h AS (SELECT subject, local_date, string_agg(track, ',' ORDER BY track) AS titles FROM (SELECT *, row_number() OVER (PARTITION BY subject, local_date ORDER BY track) AS n FROM (SELECT DISTINCT subject, local_date, track FROM x WHERE p)) WHERE n <= 4 GROUP BY ALL)
+  SELECT b.subject, b.local_date, round(t.us::DOUBLE / 60000000, 2) AS total_minutes, round(a.us::DOUBLE / 60000000, 2) AS most_minutes, h.titles FROM (SELECT DISTINCT subject, local_date FROM x) b LEFT JOIN t USING (subject, local_date) LEFT JOIN (SELECT * FROM a WHERE n = 1) a USING (subject, local_date) LEFT JOIN h USING (subject, local_date)""")
+def listening_digest(s, d):
+    from ..operators import daily
+
+    rows = event_facts(s, d).withColumns({"artist": F.concat(F.lit("a"), (F.col("k") % 3).cast("string")), "track": F.concat(F.lit("t"), (F.col("k") % 11).cast("string"))})
+    got = daily.listening(rows, "track", "artist", F.col("signal") != "error", titles=4)
+    return got.select("subject", "local_date", "total_minutes", F.array_max(F.map_values("by_artist")).alias("most_minutes"), F.array_join("distinct_titles", ",").alias("titles"))
+
+
+@query(f"""WITH x AS (SELECT subject, local_date, occurred_at, observation_id, unnest([0, 1]) AS pos, k FROM {EV}), y AS (SELECT *, CASE WHEN pos = 0 THEN 'e' || (k % 5) ELSE 'meet' || '|' || (k % 3) END AS event_key FROM x), z AS (SELECT *, row_number() OVER (PARTITION BY subject, local_date, event_key ORDER BY occurred_at, observation_id, pos) AS n FROM y)
+  SELECT subject, local_date, event_key, row_number() OVER (PARTITION BY subject, local_date ORDER BY occurred_at, observation_id, pos)::INT AS place FROM z WHERE n = 1""")
+def event_lists(s, d):
+    from ..operators import daily
+
+    none = F.lit(None).cast("string")
+    k = F.col("k")
+    one = F.struct(F.concat(F.lit("e"), (k % 5).cast("string")).alias("id"), F.lit("t").alias("title"), none.alias("start_time"))
+    two = F.struct(none.alias("id"), F.lit("meet").alias("title"), (k % 3).cast("string").alias("start_time"))
+    rows = event_facts(s, d).withColumn("items", F.array(one, two))
+    return daily.listed_events(rows, "items", ("subject", "local_date")).select("subject", "local_date", "event_key", "place")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'accepted' END AS status, event_id % 3 = 1 AS refused FROM events")
+def receipt_finalize(s, d):
+    from ..operators import ingest
+
+    e = read(s, d, "events").select("event_id", F.col("user_id").alias("subject"), F.lit("app").alias("producer"), F.col("event_id").alias("report_id"), F.col("event_type").alias("payload_digest"))
+    receipts = e.where("event_id % 3 < 2").select("subject", "producer", "report_id", F.when(F.col("event_id") % 3 == 0, F.col("payload_digest")).otherwise("other").alias("payload_digest"), F.lit("accepted").alias("status"))
+    return ingest.finalised(e, receipts).select("event_id", "status", "refused")
+
+
+@query(f"SELECT count(*) AS n FROM (SELECT DISTINCT subject, signal, source_event_id FROM {FACTS} WHERE source_event_id % 10 IN (3, 4))")
+def retraction_record(s, d):
+    rows = revised(s, d).select("subject", "signal", F.lit("app").alias("source"), "source_event_id").distinct()
+    held, new = rows.where("source_event_id % 10 = 3"), rows.where("source_event_id % 10 IN (3, 4)")
+    return corrections.noted(held, new.unionByName(new)).agg(F.count("*").alias("n"))
