@@ -161,9 +161,9 @@ def _allowed() -> np.ndarray:
 _OK = _allowed()
 
 
-def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
-    m = x.max(axis=axis, keepdims=True)
-    return (m + np.log(np.exp(x - m).sum(axis=axis, keepdims=True))).squeeze(axis)
+def _outer(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sum over time and batch of the outer products of two arrays (time, batch, width)."""
+    return a.reshape(-1, a.shape[2]).T @ b.reshape(-1, b.shape[2])
 
 
 class Tagger:
@@ -207,20 +207,21 @@ class Tagger:
         """Loss, and its gradients by label scores u (time, batch, labels) and by transitions."""
         T, N, _ = u.shape
         trans = np.where(_OK, self.p["trans"], -1e4)
-        first = np.zeros(TAGS)
-        first[2::2] = -1e4
-        a = np.empty((T, N, TAGS))
-        a[0] = u[0] + first
-        for t in range(1, T):
-            a[t] = _logsum(a[t - 1][:, :, None] + trans, 1) + u[t]
-        z = _logsum(a[-1], 1)
-        b, du, dtrans = np.zeros((N, TAGS)), np.empty((T, N, TAGS)), np.zeros((TAGS, TAGS))
-        for t in range(T - 1, -1, -1):
-            du[t] = np.exp(a[t] + b - z[:, None])
-            if t:
-                step = trans + (u[t] + b)[:, None, :]
-                dtrans += np.exp(a[t - 1][:, :, None] + step - z[:, None, None]).sum(0)
-                b = _logsum(step, 2)
+        step, top = np.exp(trans), u.max(axis=2, keepdims=True)
+        eu = np.exp(u - top)
+        eu[0, :, 2::2] = 0  # nothing begins inside
+        a, b, c = np.empty((T, N, TAGS)), np.ones((T, N, TAGS)), np.empty((T, N, 1))
+        for t in range(T):  # each place's sums are scaled to 1; the scales' logarithms make up the total
+            a[t] = (a[t - 1] @ step if t else 1) * eu[t]
+            c[t] = a[t].sum(axis=1, keepdims=True)
+            a[t] /= c[t]
+        z = (np.log(c) + top).sum(axis=(0, 2))
+        dtrans = np.zeros((TAGS, TAGS))
+        for t in range(T - 1, 0, -1):
+            on = b[t] * eu[t] / c[t]
+            dtrans += step * (a[t - 1].T @ on)
+            b[t - 1] = on @ step.T
+        du = a * b
         tt, nn = np.meshgrid(np.arange(T), np.arange(N), indexing="ij")
         gold = (u[tt, nn, y].sum(0) + trans[y[:-1], y[1:]].sum(0)).sum()
         du[tt, nn, y] -= 1
@@ -239,7 +240,7 @@ class Tagger:
                 h = np.concatenate([self._run(e, "f", kf), self._run(e[::-1], "b", kb)[::-1]], axis=2)
                 loss, du, dtrans = self._crf((h @ p["out"] + p["bias"]).astype(np.float64), by)
                 total.append(loss)
-                g = {"trans": dtrans, "bias": du.sum((0, 1)), "out": np.einsum("tnh,tnk->hk", h, du)}
+                g = {"trans": dtrans, "bias": du.sum((0, 1)), "out": _outer(h, du)}
                 dh, de = du @ p["out"].T, np.zeros_like(e)
                 for d, kept, up, src in (("f", kf, dh[:, :, :H], e), ("b", kb, dh[::-1, :, H:], e[::-1])):
                     dz = np.empty((*up.shape[:2], 4 * H), np.float32)
@@ -253,7 +254,7 @@ class Tagger:
                         nc = dc * s[:, H : 2 * H]
                         nh = dz[t] @ p[f"wh{d}"].T
                     ph = np.stack([k[2] for k in kept])
-                    g |= {f"wh{d}": np.einsum("tnh,tnk->hk", ph, dz), f"wx{d}": np.einsum("tnh,tnk->hk", src, dz), f"b{d}": dz.sum((0, 1))}
+                    g |= {f"wh{d}": _outer(ph, dz), f"wx{d}": _outer(src, dz), f"b{d}": dz.sum((0, 1))}
                     back = dz @ p[f"wx{d}"].T
                     de += back if d == "f" else back[::-1]
                 g["emb"] = np.zeros_like(p["emb"])

@@ -93,6 +93,23 @@ def test_automaton_spans_of_other_rules_and_what_it_cannot_parse():
             Automaton([(bad, bad, False)])
 
 
+def test_crf_gradients_are_those_of_differences():
+    model, rng, e = pii.Tagger(), np.random.default_rng(1), 1e-5
+    trans = rng.standard_normal((pii.TAGS, pii.TAGS))
+    model.p["trans"] = trans
+    u, y = rng.standard_normal((6, 3, pii.TAGS)), np.zeros((6, 3), int)
+    y[1], y[2] = 1, 2
+    loss, du, dtrans = model._crf(u, y)
+    for at in ((0, 0, 0), (1, 2, 1), (5, 1, 7)):
+        moved = u.copy()
+        moved[at] += e
+        assert np.isclose((model._crf(moved, y)[0] - loss) / e, du[at], atol=1e-4)
+    for at in ((0, 1), (1, 2), (3, 0)):
+        model.p["trans"] = trans.copy()
+        model.p["trans"][at] += e
+        assert np.isclose((model._crf(u, y)[0] - loss) / e, dtrans[at], atol=1e-3)
+
+
 def test_tagger_learns_and_adds_only_what_base_rules_miss():
     model = pii.trained()
     x, y = pii.labelled(np.random.default_rng(5), 300)
