@@ -34,6 +34,8 @@ CUT = 38.2396
 PRIOR = 200
 #: Concentration steps that every start takes, and most of those that the best one takes after them.
 FIRST_STEPS, MORE_STEPS = 2, 8
+#: Documents whose features one task reads in a step.
+TASK_ROWS = 20_000
 STARTS = ("spread", "plain", "sign")
 _P = range(len(FEATURES))
 _PAIRS = [(i, j) for i in _P for j in range(i + 1)]
@@ -163,7 +165,7 @@ def _starts(rows: DataFrame) -> DataFrame:
     z = [(F.col(f"q_{f}") / SCALE - F.col(f"m{i}")) / F.col(f"w{i}") for i, f in enumerate(FEATURES)]
     norm = F.greatest(reduce(lambda a, b: a + b, [a * a for a in z]), F.lit(1e-6))
     signs = [F.sum(F.round(z[i] * z[j] / norm * 2**20).cast("long")).alias(f"z{i}_{j}") for i, j in _PAIRS]
-    got = _on(_on(rows, spread, _KEY).groupBy(*_KEY).agg(*_sums(), *signs), spread, _KEY)
+    got = save(_on(_on(rows, spread, _KEY).groupBy(*_KEY).agg(*_sums(), *signs), spread, _KEY))
     mean = {f"p_m{i}": F.col(f"m{i}") for i in _P}
     of_spread = got.withColumns(mean | {f"p_c{i}_{j}": F.col(f"w{i}") * F.col(f"w{i}") if i == j else F.lit(0.0) for i, j in _PAIRS})
     sign = {
@@ -172,7 +174,7 @@ def _starts(rows: DataFrame) -> DataFrame:
     kinds = (of_spread, _estimate(got, 1.0), got.withColumns(mean | sign))
     parts = [_factored(x).select(*_KEY, F.lit(k).alias("start"), *_MODEL) for k, x in enumerate(kinds)]
     out = save(reduce(DataFrame.unionByName, parts))
-    forget(spread)
+    forget(spread, got)
     return out
 
 
@@ -236,13 +238,16 @@ def _levels(measured: DataFrame) -> DataFrame:
 
 def fit(measured: DataFrame) -> DataFrame:
     """The model: a row per (q_lang, q_source) of measured with a document that passes the base rules; an empty one of an empty table."""
-    found = _searched(_levels(measured))
+    features = measured.select("q_lang", "q_source", "q_base_failed", *(f"q_{f}" for f in FEATURES))
+    # each step reads these few columns again: from few files, as many as a task should read rows
+    features = save(features.coalesce(max(1, measured.count() // TASK_ROWS)))
+    found = _searched(_levels(features))
     at = lambda k: found.where(F.col("level") == k)
     top = at(2).first()  # one row
     languages = _shrunk(at(1), {c: F.lit(top[c] if top else 0.0) for c in _SHARED})
     named = languages.select("q_lang", *(F.col(c).alias(f"a_{c}") for c in _SHARED))
     out = save(_factored(_shrunk(_on(at(0), named, ("q_lang",)), {c: F.col(f"a_{c}") for c in _SHARED})))
-    forget(found)
+    forget(found, features)
     return out
 
 
