@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
 
 import numpy as np
@@ -51,8 +52,9 @@ def release() -> None:
         pass
 
 
-#: Tables made by save() that are still there.
+#: Tables made by save() that are still there, and those that each thread made.
 _SAVED: set[str] = set()
+_OWN = threading.local()
 
 
 def save(df: DataFrame) -> DataFrame:
@@ -60,6 +62,7 @@ def save(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/daymark/{uuid.uuid4().hex}"
     _SAVED.add(path)
+    _OWN.__dict__.setdefault("made", set()).add(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._daymark_path = path
@@ -79,6 +82,15 @@ def forget(*saved: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
+def saved_alone(make) -> DataFrame:
+    """make()'s table saved, and the tables that were made on the way to it deleted."""
+    before = set(getattr(_OWN, "made", ()))
+    out = save(make())
+    for path in (_OWN.made - before - {out._daymark_path}) & _SAVED:
+        _delete(out.sparkSession, path)
+    return out
+
+
 def sweep(spark: SparkSession) -> None:
     """Delete every table made by save() that is still there: for a caller who has written the operators' results out.
 
