@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from daymark.llm import minhash, packing, pii, quality, toxicity
-from daymark.llm.common import save, table
+from daymark.llm.common import forget, saved_alone, table
 from daymark.llm.queries import tokenizer_file
 
 
@@ -45,10 +45,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over the table documents, each written to the shared folder and read by the next."""
+    """The stages over the table documents, each written to the shared folder and read by the next; what a stage has read is deleted."""
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = save(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        left = saved_alone(lambda docs=docs, stage=stage: stage(spark, docs, sf_dir))
+        forget(docs)
+        docs = left
+    return STAGES[-1][1](spark, docs, sf_dir)
