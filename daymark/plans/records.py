@@ -181,17 +181,14 @@ def as_of_text(s, d):
 # retractions, conflicts and evidence
 
 
-@query(f"""WITH l AS (SELECT * FROM {FACTS} f WHERE k % 6 > 0 AND NOT EXISTS (SELECT 1 FROM {GONE} g WHERE g.subject = f.subject AND g.signal = f.signal AND g.source_event_id = f.source_event_id)),
-  c AS (SELECT *, row_number() OVER (PARTITION BY subject, signal, source_event_id ORDER BY revision DESC, occurred_at DESC, observation_id DESC) AS n FROM (SELECT * REPLACE (CASE WHEN subject % 2 = 0 THEN source_event_id END AS source_event_id) FROM l)),
-  a AS (SELECT subject, signal, arg_max(observation_id, (occurred_at, observation_id)) AS observation_id, arg_max(value, (occurred_at, observation_id)) AS value FROM l WHERE subject % 2 = 1 GROUP BY ALL),
-  b AS (SELECT subject, signal, arg_max(observation_id, (occurred_at, observation_id)) AS observation_id, arg_max(value, (occurred_at, observation_id)) AS value FROM c WHERE subject % 2 = 0 AND (revision IS NULL AND NOT EXISTS (SELECT 1 FROM c x WHERE x.subject = c.subject AND x.signal = c.signal AND x.source_event_id = c.source_event_id AND x.revision IS NOT NULL) OR n = 1) GROUP BY ALL)
-  SELECT k.subject, k.signal, m.observation_id, m.value, CASE WHEN m.subject IS NULL THEN 'no_data' ELSE 'observed' END AS availability FROM (SELECT DISTINCT subject, signal FROM {EV}) k LEFT JOIN (SELECT * FROM a UNION ALL SELECT * FROM b) m ON m.subject = k.subject AND m.signal = k.signal""")
+@query(f"""WITH l AS (SELECT * FROM {FACTS} f WHERE NOT EXISTS (SELECT 1 FROM {GONE} g WHERE g.subject = f.subject AND g.signal = f.signal AND g.source_event_id = f.source_event_id)),
+  c AS (SELECT *, max(revision) OVER (PARTITION BY subject, signal, source_event_id) AS top, row_number() OVER (PARTITION BY subject, signal, source_event_id ORDER BY revision DESC NULLS LAST, occurred_at DESC, observation_id DESC) AS n FROM l),
+  m AS (SELECT subject, signal, arg_max(observation_id, (occurred_at, observation_id)) AS observation_id, arg_max(value, (occurred_at, observation_id)) AS value FROM c WHERE (top IS NULL OR n = 1) AND k % 6 > 0 GROUP BY ALL)
+  SELECT k.subject, k.signal, m.observation_id, m.value, CASE WHEN m.subject IS NULL THEN 'no_data' ELSE 'observed' END AS availability FROM (SELECT DISTINCT subject, signal FROM {EV}) k LEFT JOIN m ON m.subject = k.subject AND m.signal = k.signal""")
 def retraction_reselect(s, d):
-    """Odd subjects send no source ids, so nothing of theirs is a revision or can be retracted by one; every sixth row isn't observed."""
-    rows = corrections.without_retracted(revised(s, d), gone(s, d))
-    rows = rows.withColumns({"source_event_id": F.when(F.col("subject") % 2 == 0, F.col("source_event_id")), "availability": F.when(F.col("k") % 6 > 0, "observed").otherwise("unavailable")})
-    all_ = revised(s, d).select("subject", "signal").distinct().join(rows, ["subject", "signal"], "left")
-    return corrections.reselected(all_, gone(s, d).limit(0), ("subject", "signal")).select("subject", "signal", "observation_id", "value", "availability")
+    """Every sixth row isn't observed."""
+    rows = revised(s, d).withColumn("availability", F.when(F.col("k") % 6 > 0, "observed").otherwise("unavailable"))
+    return corrections.reselected(rows, gone(s, d)).select("subject", "signal", "observation_id", "value", "availability")
 
 
 @query(f"""WITH h AS (SELECT subject, local_date, observation_id, source_event_id % 10 = 3 AS gone, source_event_id, signal, value, occurred_at FROM {FACTS} WHERE signal = 'view'),
@@ -214,9 +211,9 @@ def event_dependencies(s, d):
 @query(f"SELECT DISTINCT subject, signal, source_event_id, NOT (signal IN ('view', 'click') AND source_event_id % 20 = 3) AS refused FROM {FACTS} WHERE source_event_id % 10 = 3")
 def retraction_refusal(s, d):
     dims = s.createDataFrame([("view", "source_event_id"), ("click", "source_event_id"), ("error", "singleton")], "signal string, identity string")
-    given = gone(s, d).distinct()
-    asked = given.withColumn("source_event_id", F.when(F.col("source_event_id") % 20 == 3, F.col("source_event_id")))
-    return corrections.refuse_unsupported(asked.withColumn("k", F.lit(0)).drop("k").withColumn("source_event_id", F.col("source_event_id")).join(given.withColumnRenamed("source_event_id", "asked"), ["subject", "signal"]).where("source_event_id = asked OR source_event_id IS NULL AND asked % 20 <> 3").distinct(), dims).select("subject", "signal", F.col("asked").alias("source_event_id"), "refused").distinct()
+    asked = gone(s, d).distinct().withColumn("asked", F.col("source_event_id"))
+    asked = asked.withColumn("source_event_id", F.when(F.col("asked") % 20 == 3, F.col("asked")))
+    return corrections.refuse_unsupported(asked, dims).select("subject", "signal", F.col("asked").alias("source_event_id"), "refused")
 
 
 CONFLICTS = "(SELECT event_id, user_id AS subject, 'c' || event_id AS conflict_id, event_type AS signal, ts AS created_at, CASE WHEN event_id % 5 = 0 THEN 'resolved' ELSE 'pending' END AS status, (event_id % 9)::VARCHAR AS candidate_revision FROM events)"
