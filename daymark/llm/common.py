@@ -241,3 +241,26 @@ def map_texts(df: DataFrame, added: str, run, text: str = "text", keep_text: boo
                 lo += len(run_of)
 
     return df.mapInArrow(trimmed(batches), schema)
+
+
+def map_rows(df: DataFrame, schema: str, run, text: str = "text") -> DataFrame:
+    """The rows that run makes of df's: run(columns) gets a dict of lists and returns the lists of `schema` (DDL), one value a row.
+
+    A call holds a few million characters of the column `text` together, or one longer text.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    out = to_arrow_schema(StructType.fromDDL(schema))
+
+    def batches(source):
+        for batch in source:
+            lo = 0
+            for texts in slabs(batch.column(batch.schema.get_field_index(text)).to_pylist()):
+                columns = batch.slice(lo, len(texts)).to_pydict()
+                yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(run(columns), out, strict=True)], schema=out)
+                lo += len(texts)
+
+    return df.mapInArrow(trimmed(batches), schema)

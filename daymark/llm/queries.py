@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, minhash, packing, pii, quality, quality_sql, secrets, sentences, toxicity, urls, vectors
+from . import chat, fim, fingerprints, minhash, negatives, packing, pii, quality, quality_sql, secrets, sentences, toxicity, urls, vectors
 from .common import table
 
 
@@ -60,6 +61,22 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label=label)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transform(table(spark, sf_dir, "documents"))
+    again = F.sha2(fim.restored(F.col("form"), F.col("output")), 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), again.alias("restored_sha256"))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = fingerprints.compare_edited(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -71,6 +88,9 @@ QUERIES = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_quality_rules": op9_quality_rules,
     "op10_secret_scans": op10_secret_scans,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_fingerprints": op13_fingerprints,
 }
 #: All pairs: for the small tables on which the driver compares.
 LINKS_SQL = f"""WITH RECURSIVE g AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
@@ -79,4 +99,4 @@ LINKS_SQL = f"""WITH RECURSIVE g AS MATERIALIZED (SELECT row_number() OVER () AS
   reach AS (SELECT r AS x, r AS y FROM g UNION SELECT reach.x, p.y FROM reach JOIN p ON reach.y = p.x),
   c AS (SELECT reach.x AS r, min(g.vec_id) AS component_id FROM reach JOIN g ON g.r = reach.y GROUP BY reach.x), n AS (SELECT x AS r, count(*) AS n_links FROM p GROUP BY x)
   SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM g JOIN c USING (r) LEFT JOIN n USING (r)"""
-ORACLE_SQL: dict[str, str] = {"op1_embedding_dedup": LINKS_SQL, "op9_quality_rules": quality_sql.sql()}
+ORACLE_SQL: dict[str, str] = {"op1_embedding_dedup": LINKS_SQL, "op9_quality_rules": quality_sql.sql(), "op11_hard_negatives": negatives.SQL, "op12_fill_in_middle": fim.SQL}
