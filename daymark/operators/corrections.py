@@ -11,7 +11,8 @@ from ..functions import scalars
 from .current import canonical_revisions, compare_revisions, current
 from .rules import folded
 
-FACT = ("subject", "signal", "source_event_id")
+#: What a fact is: a source's id says nothing about another source's.
+FACT = ("subject", "signal", "source", "source_event_id")
 
 
 def without_retracted(facts: DataFrame, retractions: DataFrame, keys: Sequence[str] = FACT) -> DataFrame:
@@ -32,9 +33,10 @@ def first_deliveries(facts: DataFrame, identity: Sequence[str], arrival: Sequenc
     return facts.groupBy(*identity).agg(F.min_by(F.struct(*cols), F.struct(*arrival)).alias("x")).select(*identity, "x.*")
 
 
-def new_facts(batch: DataFrame, known: DataFrame, identity: Sequence[str]) -> DataFrame:
-    """A batch without what is known, each identity once."""
-    return batch.dropDuplicates(list(identity)).join(known.select(*identity).distinct(), list(identity), "left_anti")
+def new_facts(batch: DataFrame, known: DataFrame, identity: Sequence[str], arrival: Sequence[str] = ("observation_id",)) -> DataFrame:
+    """A batch without what is known, each identity once: its first by arrival."""
+    fresh = batch.join(known.select(*identity).distinct(), list(identity), "left_anti")
+    return first_deliveries(fresh, identity, arrival).select(batch.columns)
 
 
 def decide(facts: DataFrame, revision: str, digest: str, keys: Sequence[str] = FACT, arrival: Sequence[str] = ("received_at", "observation_id")) -> DataFrame:
@@ -77,11 +79,25 @@ def affected_days(facts: DataFrame, retractions: DataFrame, keys: Sequence[str]
 
 
 def invalidate_events(events: DataFrame, retractions: DataFrame) -> DataFrame:
-    """Events that depend on a retracted fact: invalidated while pending, their values blanked."""
-    marks = retractions.select("subject", "signal", "source_event_id").distinct().withColumn("gone", F.lit(True))
-    rows = events.join(marks, ["subject", "signal", "source_event_id"], "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
-    state = F.when(F.col("gone") & F.col("state").isin("pending", "claimed", "unknown"), "invalidated").otherwise(F.col("state"))
-    return rows.withColumns({"state": state, "value": F.when(~F.col("gone"), F.col("value"))})
+    """Events (with `started`: whether dispatch has begun) of retracted facts: values blanked, undelivered ones invalidated.
+
+    Whether a begun dispatch arrived can't be known, so such an event is unknown and keeps its token, lease and
+    reservation for the receipt; an invalidated one gives them up. Of the columns token, lease_until and reservation
+    those that events have are kept so.
+    """
+    marks = retractions.select(*FACT).distinct().withColumn("gone", F.lit(True))
+    rows = events.join(marks, list(FACT), "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
+    return scrubbed(rows, F.col("gone"))
+
+
+def scrubbed(events: DataFrame, gone: Column) -> DataFrame:
+    """Events of which those that are gone lose their value, and what a dispatch that hasn't begun holds."""
+    waits = gone & F.col("state").isin("pending", "claimed")
+    begun = F.coalesce("started", F.lit(False))
+    state = F.when(waits & begun, "unknown").when(waits, "invalidated").otherwise(F.col("state"))
+    held = {"token": ~gone | (state == "unknown"), "lease_until": ~gone | (state == "unknown"), "reservation": ~gone | state.isin("unknown", "delivered")}
+    out = {c: F.when(keep, F.col(c)) for c, keep in held.items() if c in events.columns}
+    return events.withColumns(out | {"state": state, "value": F.when(~gone, F.col("value"))})
 
 
 def blocked(facts: DataFrame, pending: DataFrame, revision: Column) -> DataFrame:
@@ -98,10 +114,20 @@ def reselected(facts: DataFrame, retractions: DataFrame, keys: Sequence[str] = (
 
 
 def dependents(events: DataFrame, retractions: DataFrame, depends: str = "fact_dependencies") -> DataFrame:
-    """events with gone: whether any of their dependencies (array<struct<signal, source_event_id>>) is a retracted fact of the subject."""
-    refs = events.select("event_id", "subject", F.explode(depends).alias("d")).select("event_id", "subject", "d.signal", "d.source_event_id")
-    hit = refs.join(retractions.select(*FACT).distinct(), list(FACT), "left_semi").select("event_id").distinct().withColumn("gone", F.lit(True))
-    return events.join(hit, "event_id", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
+    """events with gone: whether any of their dependencies (array<struct<signal, source, source_event_id>>) is a retracted fact of the subject.
+
+    An event that recorded none, or says that they aren't all (`dependencies_complete` false, where it has that column),
+    can't be shown to be independent: it is gone as soon as any fact of its subject and signal is retracted.
+    """
+    refs = events.select("event_id", "subject", F.explode(depends).alias("d")).select("event_id", "subject", "d.signal", "d.source", "d.source_event_id")
+    hit = refs.join(retractions.select(*FACT).distinct(), list(FACT), "left_semi").select("event_id").distinct().withColumn("_named", F.lit(True))
+    touched = retractions.select("subject", "signal").distinct().withColumn("_touched", F.lit(True))
+    vague = F.coalesce(F.size(depends), F.lit(0)) <= 0
+    if "dependencies_complete" in events.columns:
+        vague = vague | ~F.coalesce("dependencies_complete", F.lit(False))
+    rows = events.join(hit, "event_id", "left").join(touched, ["subject", "signal"], "left")
+    gone = F.coalesce("_named", F.lit(False)) | (vague & F.coalesce("_touched", F.lit(False)))
+    return rows.withColumn("gone", gone).select(*events.columns, "gone")
 
 
 def replayed(facts: DataFrame, retractions: DataFrame, definition, evaluate) -> DataFrame:
@@ -128,7 +154,7 @@ def refuse_unsupported(retractions: DataFrame, dims: DataFrame) -> DataFrame:
 
 def noted(retractions: DataFrame, new: DataFrame) -> DataFrame:
     """The retraction table with new ones; the same fact of the same source is retracted once."""
-    keys = ["subject", "signal", "source", "source_event_id"]
+    keys = list(FACT)
     return retractions.unionByName(new.dropDuplicates(keys).join(retractions.select(*keys), keys, "left_anti"))
 
 

@@ -145,5 +145,6 @@ def representative(strategy: Column, total: Column, total_sum: Column, n: Column
 
 def rebuild(facts: DataFrame, retractions: DataFrame, days: DataFrame | None = None) -> DataFrame:
     """The facts that a rebuild folds: not retracted, observed, and of the affected days if given."""
-    rows = facts.join(retractions.select("subject", "signal", "source_event_id").distinct(), ["subject", "signal", "source_event_id"], "left_anti").where("availability = 'observed'")
+    fact = ["subject", "signal", "source", "source_event_id"]
+    rows = facts.join(retractions.select(*fact).distinct(), fact, "left_anti").where("availability = 'observed'")
     return rows if days is None else rows.join(days.distinct(), ["subject", "signal", "local_date"], "left_semi")

@@ -96,12 +96,15 @@ def synced(mirror: DataFrame, items: DataFrame, tombstones: DataFrame, sync: Syn
     """The mirror after a round. mirror: keys, columns, subject, source, last_seen_sync_id; items: the same without these three, which the round stamps.
 
     A failed round changes nothing. Tombstones always delete. A full round also deletes what it covers and didn't see,
-    of its own source; items of unknown start are never covered.
+    of its own source; items of unknown start are never covered. Of an item that a round gives twice the greatest row,
+    column by column, is taken, so that a round that is run again gives the same mirror.
     """
     if sync.error is not None:
         return mirror
     stamp = {"subject": F.lit(sync.subject), "source": F.lit(sync.source), "last_seen_sync_id": F.lit(sync.sync_id)}
-    fresh = items.dropDuplicates(list(keys)).withColumns(stamp).select(mirror.columns)
+    rest = [c for c in items.columns if c not in keys]
+    once = items.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("x")).select(*keys, "x.*") if rest else items.distinct()
+    fresh = once.withColumns(stamp).select(mirror.columns)
     own = (F.col("subject") == F.lit(sync.subject)) & (F.col("source") == sync.source)
     mine, others = mirror.where(own), mirror.where(~F.coalesce(own, F.lit(False)))
     merged = mine.join(fresh.select(*keys), list(keys), "left_anti").unionByName(fresh)

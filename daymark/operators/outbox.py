@@ -53,18 +53,21 @@ def apply_receipts(events: DataFrame, receipts: DataFrame) -> DataFrame:
 
 
 def claimable(events: DataFrame, now: Column) -> DataFrame:
-    """Pending events that are due, and claimed ones whose lease ended before dispatch started."""
+    """Pending events, and claimed ones whose lease has ended, if they are due, not invalidated, and no dispatch of them has begun."""
+    return events.where(_takeable(events, now))
+
+
+def _takeable(events: DataFrame, now: Column) -> Column:
     due = F.coalesce(F.col("next_attempt_at") <= now, F.lit(True))
-    expired = (F.col("state") == "claimed") & (F.col("lease_until") < now) & ~F.col("started")
-    return events.where(((F.col("state") == "pending") & due) | expired)
+    expired = F.coalesce((F.col("state") == "claimed") & (F.col("lease_until") <= now), F.lit(False))
+    valid = ~F.coalesce("invalidated", F.lit(False)) if "invalidated" in events.columns else F.lit(True)
+    return ((F.col("state") == "pending") | expired) & due & valid & ~F.coalesce("started", F.lit(False))
 
 
 def claimed(events: DataFrame, now: Column, worker: str, lease_seconds: int) -> DataFrame:
     """All events after a claiming round: claimable ones are claimed (attempt + 1, token, lease, reservation); claims whose lease ended after dispatch began are unknown."""
-    due = F.coalesce(F.col("next_attempt_at") <= now, F.lit(True))
-    ended = F.coalesce((F.col("state") == "claimed") & (F.col("lease_until") <= now), F.lit(False))
-    lost = ended & F.col("started")
-    take = ((F.col("state") == "pending") | (ended & ~F.col("started"))) & due
+    lost = F.coalesce((F.col("state") == "claimed") & (F.col("lease_until") <= now), F.lit(False)) & F.col("started")
+    take = _takeable(events, now)
     attempt = F.when(take, F.col("attempt") + 1).otherwise(F.col("attempt"))
     return events.withColumns({
         "state": F.when(lost, "unknown").when(take, "claimed").otherwise(F.col("state")), "attempt": attempt,

@@ -102,18 +102,55 @@ def hits(facts: DataFrame, d: Definition, value: str = "value", order: Sequence[
 
 
 def cooled(hit: DataFrame, scope: Sequence[str], seconds: float, order: Sequence[str]) -> DataFrame:
-    """Hits at least `seconds` after the last one that counted, in order of a scope.
+    """Hits at least `seconds` after the last one that counted, in order of a scope."""
+    return spaced(hit, scope, order, order[0], F.lit(float(seconds)))
 
-    Hits stream through sorted by scope, so a task holds one time, however many hits a scope has.
-    """
-    micros = int(seconds * 1_000_000)
 
-    def keep(held, at):
-        due = held is None or at - held >= micros
-        return (at if due else held), due
+def spaced(rows: DataFrame, keys: Sequence[str], order: Sequence[str], at: str, seconds: Column) -> DataFrame:
+    """Of each key's rows in order the first, and then always the first that is `seconds` or more after the last one kept.
+
+    Rows stream through sorted by key, so a task holds one time, however many rows a key has; inside a batch the search
+    jumps from kept row to kept row.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    names, n_keys = rows.columns, len(keys)
+    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(at).cast("timestamp_ntz"))
+
+    def starts(batch: pa.RecordBatch, last: list | None) -> tuple[np.ndarray, list]:
+        """Whether each row begins another key than the row before it, and the last row's key."""
+        new = np.zeros(batch.num_rows, bool)
+        for i in range(n_keys):
+            column = batch.column(f"_k{i}")
+            a, b = column.slice(1), column.slice(0, len(column) - 1)
+            new[1:] |= pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False)
+            new[1:] |= pc.xor(pc.is_null(a), pc.is_null(b)).to_numpy(zero_copy_only=False)
+        now = [batch.column(f"_k{i}") for i in range(n_keys)]
+        new[0] = last is None or [c[0].as_py() for c in now] != last
+        return new, [c[len(c) - 1].as_py() for c in now]
 
-    at = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("occurred_at"))
-    return folded(hit, scope, order, at, keep)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new, last = starts(batch, last)
+            t, gap = batch.column("_x").to_numpy(), batch.column("_gap").to_numpy()
+            keep = np.zeros(len(t), bool)
+            edges = [*np.flatnonzero(new).tolist(), len(t)]
+            if edges[0] > 0:  # the first rows go on with the key of the last batch
+                edges = [0, *edges]
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                i = lo if new[lo] or held is None else lo + int(np.searchsorted(t[lo:hi], held + gap[lo]))
+                while i < hi:
+                    keep[i], held = True, int(t[i])
+                    i += max(1, int(np.searchsorted(t[i:hi], held + gap[i])))
+            yield pa.RecordBatch.from_arrays(batch.columns[: len(names)], names=names).filter(pa.array(keep))
+
+    marked = rows.select(*names, *(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), micros.alias("_x"), (seconds * 1_000_000).cast("long").alias("_gap"))
+    return marked.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, rows.schema)
 
 
 def folded(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, keep: Callable) -> DataFrame:
@@ -165,9 +202,16 @@ def scheduled_streaks(days: DataFrame, definitions: DataFrame, through: Column,
     inside = days.where((F.col("completeness") == "complete") & (F.col("local_date") <= through) & (F.col("local_date") >= F.date_sub(through, longest)))
     rows = inside.join(definitions, "signal")
     keys = ["subject", "definition_id"]
-    good = rows.where(F.coalesce(holds, F.lit(False))).select(*keys, "periods", "local_date").distinct()
+    return runs_through(rows.withColumn("passes", holds), (*keys, "periods"), through, longest).drop("periods")
+
+
+def runs_through(days: DataFrame, keys: Sequence[str], through: Column, longest: int = 90) -> DataFrame:
+    """Per key (periods among them) the run of passing days (local_date, passes) that ends with `through`: length, the length
+    a day before, both up to `longest`, and fires: periods are reached on that day."""
+    inside = (F.col("local_date") <= through) & (F.col("local_date") >= F.date_sub(through, longest))
+    good = days.where(inside & F.coalesce("passes", F.lit(False))).select(*keys, "local_date").distinct()
     island = F.date_sub(F.col("local_date"), F.row_number().over(Window.partitionBy(*keys).orderBy("local_date")))
-    runs = good.withColumn("island", island).groupBy(*keys, "periods", "island").agg(F.count("*").alias("length"), F.max("local_date").alias("last"))
+    runs = good.withColumn("island", island).groupBy(*keys, "island").agg(F.count("*").alias("length"), F.max("local_date").alias("last"))
     ending = runs.where(F.col("last") == through)
     length, before = F.least("length", F.lit(longest)), F.least(F.col("length") - 1, F.lit(longest))  # one day more was read
     return ending.select(*keys, length.cast("long").alias("length"), before.cast("long").alias("previous_length"), ((length >= F.col("periods")) & (before < F.col("periods"))).alias("fires"))

@@ -153,18 +153,20 @@ def revision_compare(s, d):
     return rows.distinct().withColumn("compared", current.compare_revisions(F.col("a"), F.col("b")))
 
 
-FACTS = f"(SELECT *, observation_id % 3000 AS source_event_id, CASE WHEN observation_id % 3000 % 4 > 0 THEN k END AS revision FROM {EV})"
+#: Facts of two sources that give the same ids to different things.
+FACTS = f"(SELECT *, CASE WHEN k % 2 = 0 THEN 'app' ELSE 'watch' END AS source, observation_id % 16 AS source_event_id, CASE WHEN observation_id % 4 > 0 THEN k END AS revision FROM {EV})"
 
 
 def revised(s, d):
-    """Facts that several observations revise."""
-    return event_facts(s, d).withColumn("source_event_id", F.col("observation_id") % 3000).withColumn("revision", F.when(F.col("source_event_id") % 4 > 0, F.col("k")))
+    """Facts of two sources that several observations revise; ids of the two mean different things."""
+    rows = event_facts(s, d).withColumn("source", F.when(F.col("k") % 2 == 0, "app").otherwise("watch"))
+    return rows.withColumn("source_event_id", F.col("observation_id") % 16).withColumn("revision", F.when(F.col("observation_id") % 4 > 0, F.col("k")))
 
 
-@query(f"""SELECT observation_id, source_event_id, revision FROM (SELECT *, max(revision) OVER (PARTITION BY source_event_id) AS top,
-  row_number() OVER (PARTITION BY source_event_id ORDER BY revision DESC NULLS LAST, occurred_at DESC, observation_id DESC) AS n FROM {FACTS}) WHERE top IS NULL OR n = 1""")
+@query(f"""SELECT observation_id, source, source_event_id, revision FROM (SELECT *, max(revision) OVER (PARTITION BY subject, signal, source, source_event_id) AS top,
+  row_number() OVER (PARTITION BY subject, signal, source, source_event_id ORDER BY revision DESC NULLS LAST, occurred_at DESC, observation_id DESC) AS n FROM {FACTS}) WHERE top IS NULL OR n = 1""")
 def canonical_revision(s, d):
-    return current.canonical_revisions(revised(s, d), ["source_event_id"]).select("observation_id", "source_event_id", "revision")
+    return current.canonical_revisions(revised(s, d), corrections.FACT).select("observation_id", "source", "source_event_id", "revision")
 
 
 @query(f"""SELECT subject, signal, count(DISTINCT k % 10) AS contents FROM (SELECT *, max(local_date) OVER (PARTITION BY subject, signal) AS top FROM {EV}) WHERE local_date = top GROUP BY ALL HAVING contents > 1""")
@@ -181,20 +183,23 @@ def dimension_keys(s, d):
 # corrections
 
 
+RETRACTED = "source = 'app' AND source_event_id % 5 = 3"
+
+
 def gone(s, d):
-    """Every tenth fact is retracted."""
-    return revised(s, d).where("source_event_id % 10 = 3").select("subject", "signal", "source_event_id")
+    """A fifth of one source's facts is retracted; the other's of the same ids aren't."""
+    return revised(s, d).where(RETRACTED).select(*corrections.FACT)
 
 
-GONE = f"(SELECT DISTINCT subject, signal, source_event_id FROM {FACTS} WHERE source_event_id % 10 = 3)"
+GONE = f"(SELECT DISTINCT subject, signal, source, source_event_id FROM {FACTS} WHERE {RETRACTED})"
 
 
-@query(f"SELECT subject, signal, local_date, sum(cents)::BIGINT AS total, count(*) AS n FROM {FACTS} f WHERE NOT EXISTS (SELECT 1 FROM {GONE} g WHERE g.subject = f.subject AND g.signal = f.signal AND g.source_event_id = f.source_event_id) GROUP BY ALL")
+@query(f"SELECT subject, signal, local_date, sum(cents)::BIGINT AS total, count(*) AS n FROM {FACTS} f WHERE NOT EXISTS (SELECT 1 FROM {GONE} g WHERE g.subject = f.subject AND g.signal = f.signal AND g.source = f.source AND g.source_event_id = f.source_event_id) GROUP BY ALL")
 def daily_without_retracted(s, d):
     return daily.daily_sum(corrections.without_retracted(revised(s, d), gone(s, d)), "cents")
 
 
-@query(f"""SELECT observation_id, source_event_id % 10 = 3 AS retracted, CASE WHEN source_event_id % 10 = 3 THEN 'unavailable' ELSE 'observed' END AS availability, CASE WHEN source_event_id % 10 <> 3 THEN value END AS value FROM {FACTS}""")
+@query(f"""SELECT observation_id, {RETRACTED} AS retracted, CASE WHEN {RETRACTED} THEN 'unavailable' ELSE 'observed' END AS availability, CASE WHEN NOT ({RETRACTED}) THEN value END AS value FROM {FACTS}""")
 def retracted_timeline(s, d):
     return corrections.timeline(revised(s, d).withColumn("availability", F.lit("observed")), gone(s, d)).select("observation_id", "retracted", "availability", "value")
 
@@ -231,15 +236,18 @@ def relative_jump_sequential(s, d):
     return corrections.jump_conflicts_sequential(event_facts(s, d), 5.0)
 
 
-@query(f"SELECT DISTINCT subject, signal, local_date FROM {FACTS} WHERE source_event_id % 10 = 3")
+@query(f"SELECT DISTINCT subject, signal, local_date FROM {FACTS} WHERE {RETRACTED}")
 def affected_days(s, d):
     return corrections.affected_days(revised(s, d), gone(s, d))
 
 
-@query(f"""SELECT observation_id, CASE WHEN source_event_id % 10 = 3 AND k % 3 = 0 THEN 'invalidated' WHEN k % 3 = 0 THEN 'pending' ELSE 'delivered' END AS state, CASE WHEN source_event_id % 10 <> 3 THEN value END AS value FROM {FACTS}""")
+@query(f"""SELECT observation_id, CASE WHEN was IN ('pending', 'claimed') AND {RETRACTED} THEN CASE WHEN begun THEN 'unknown' ELSE 'invalidated' END ELSE was END AS state, CASE WHEN NOT ({RETRACTED}) THEN value END AS value,
+  CASE WHEN NOT ({RETRACTED}) OR (was = 'claimed' AND begun) THEN 't' || k END AS token FROM (SELECT *, CASE k % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'claimed' ELSE 'delivered' END AS was, k % 3 = 1 AND k % 5 < 2 AS begun FROM {FACTS})""")
 def event_invalidation(s, d):
-    events = revised(s, d).withColumn("state", F.when(F.col("k") % 3 == 0, "pending").otherwise("delivered"))
-    return corrections.invalidate_events(events, gone(s, d)).select("observation_id", "state", "value")
+    k = F.col("k")
+    state = F.when(k % 3 == 0, "pending").when(k % 3 == 1, "claimed").otherwise("delivered")
+    events = revised(s, d).withColumns({"state": state, "started": (k % 3 == 1) & (k % 5 < 2), "token": F.concat(F.lit("t"), k.cast("string"))})
+    return corrections.invalidate_events(events, gone(s, d)).select("observation_id", "state", "value", "token")
 
 
 @query("""SELECT event_id, CASE WHEN n = 1 THEN 'accepted' WHEN c = f THEN 'duplicate' ELSE 'conflict' END AS claim FROM (SELECT event_id, c, first_value(c) OVER w AS f, row_number() OVER w AS n
@@ -459,10 +467,10 @@ def outbox_next_state(s, d):
     return outbox.apply_receipts(events, receipts).select("event_id", "state", "next_attempt_at")
 
 
-@query(f"""SELECT event_id FROM (SELECT *, CASE event_id % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'claimed' ELSE 'delivered' END AS state FROM events) WHERE (state = 'pending' AND (event_id % 2 = 0 OR ts + INTERVAL 15 DAY <= TIMESTAMP '{NOW}')) OR (state = 'claimed' AND ts + INTERVAL 10 DAY < TIMESTAMP '{NOW}' AND event_id % 4 > 0)""")
+@query(f"""SELECT event_id FROM (SELECT *, CASE event_id % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'claimed' ELSE 'delivered' END AS state FROM events) WHERE (event_id % 2 = 0 OR ts + INTERVAL 15 DAY <= TIMESTAMP '{NOW}') AND event_id % 7 > 0 AND event_id % 4 > 0 AND (state = 'pending' OR (state = 'claimed' AND ts + INTERVAL 10 DAY <= TIMESTAMP '{NOW}'))""")
 def outbox_claimable(s, d):
     e = read(s, d, "events").withColumn("state", F.when(F.col("event_id") % 3 == 0, "pending").when(F.col("event_id") % 3 == 1, "claimed").otherwise("delivered"))
-    e = e.withColumns({"next_attempt_at": F.when(F.col("event_id") % 2 == 1, F.expr("ts + INTERVAL 15 DAY")), "lease_until": F.expr("ts + INTERVAL 10 DAY"), "started": F.col("event_id") % 4 == 0})
+    e = e.withColumns({"next_attempt_at": F.when(F.col("event_id") % 2 == 1, F.expr("ts + INTERVAL 15 DAY")), "lease_until": F.expr("ts + INTERVAL 10 DAY"), "started": F.col("event_id") % 4 == 0, "invalidated": F.col("event_id") % 7 == 0})
     return outbox.claimable(e, now()).select("event_id")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..operators import corrections, current, daily, ingest, outbox, retention, rules, trends
 from ..sources.facts import event_facts, read
-from .catalogue import EV, NOW, SERIES, daily_max, now, query
+from .catalogue import EV, FACTS, NOW, SERIES, daily_max, now, query, revised
 
 CODES = "CASE k % 5 WHEN 0 THEN 'validation_failed' WHEN 1 THEN 'fact_conflict' WHEN 2 THEN 'fact_revision_details_incomplete' ELSE 'stale_fact_revision' END"
 
@@ -103,10 +103,10 @@ def availability_states(s, d):
     return event_facts(s, d).select("observation_id", scalars.availability(data).alias("availability"))
 
 
-@query(f"""SELECT f.observation_id FROM {EV} f JOIN (SELECT subject, signal, max(k) AS held FROM {EV} WHERE observation_id % 50 = 0 GROUP BY ALL) p USING (subject, signal) WHERE f.k <= p.held""")
+@query(f"""SELECT f.observation_id FROM {FACTS} f JOIN (SELECT subject, signal, source, source_event_id, max(k) AS held FROM {FACTS} WHERE k % 3 = 0 GROUP BY ALL) p USING (subject, signal, source, source_event_id) WHERE f.k <= p.held""")
 def blocked_by_pending(s, d):
-    rows = event_facts(s, d).withColumn("source_event_id", F.lit("x")).withColumn("revision", F.col("k"))
-    return corrections.blocked(rows, rows.where("observation_id % 50 = 0"), F.col("revision")).select("observation_id")
+    rows = revised(s, d).withColumn("revision", F.col("k"))
+    return corrections.blocked(rows, rows.where("k % 3 = 0"), F.col("revision")).select("observation_id")
 
 
 @query(f"SELECT subject, signal, local_date, CASE signal WHEN 'view' THEN CASE WHEN n > 0 THEN total / n END WHEN 'click' THEN total::DOUBLE ELSE top END AS representative FROM (SELECT subject, signal, local_date, sum(cents)::BIGINT AS total, count(*) AS n, max(cents)::DOUBLE AS top FROM {EV} GROUP BY ALL)")

@@ -8,7 +8,7 @@ from ..functions import scalars
 from ..operators import attribution, corrections, generations, mirrors, outbox, projection, retention, rules, trends
 from ..signals import SIGNALS
 from ..sources.facts import event_facts, read
-from .catalogue import EV, FACTS, GONE, NOW, ZONES, gone, query, revised, zone
+from .catalogue import EV, FACTS, GONE, NOW, RETRACTED, ZONES, gone, query, revised, zone
 
 D0, D1 = "2024-01-05", "2024-01-20"
 
@@ -181,8 +181,8 @@ def as_of_text(s, d):
 # retractions, conflicts and evidence
 
 
-@query(f"""WITH l AS (SELECT * FROM {FACTS} f WHERE NOT EXISTS (SELECT 1 FROM {GONE} g WHERE g.subject = f.subject AND g.signal = f.signal AND g.source_event_id = f.source_event_id)),
-  c AS (SELECT *, max(revision) OVER (PARTITION BY subject, signal, source_event_id) AS top, row_number() OVER (PARTITION BY subject, signal, source_event_id ORDER BY revision DESC NULLS LAST, occurred_at DESC, observation_id DESC) AS n FROM l),
+@query(f"""WITH l AS (SELECT * FROM {FACTS} f WHERE NOT EXISTS (SELECT 1 FROM {GONE} g WHERE g.subject = f.subject AND g.signal = f.signal AND g.source = f.source AND g.source_event_id = f.source_event_id)),
+  c AS (SELECT *, max(revision) OVER (PARTITION BY subject, signal, source, source_event_id) AS top, row_number() OVER (PARTITION BY subject, signal, source, source_event_id ORDER BY revision DESC NULLS LAST, occurred_at DESC, observation_id DESC) AS n FROM l),
   m AS (SELECT subject, signal, arg_max(observation_id, (occurred_at, observation_id)) AS observation_id, arg_max(value, (occurred_at, observation_id)) AS value FROM c WHERE (top IS NULL OR n = 1) AND k % 6 > 0 GROUP BY ALL)
   SELECT k.subject, k.signal, m.observation_id, m.value, CASE WHEN m.subject IS NULL THEN 'no_data' ELSE 'observed' END AS availability FROM (SELECT DISTINCT subject, signal FROM {EV}) k LEFT JOIN m ON m.subject = k.subject AND m.signal = k.signal""")
 def retraction_reselect(s, d):
@@ -191,7 +191,7 @@ def retraction_reselect(s, d):
     return corrections.reselected(rows, gone(s, d)).select("subject", "signal", "observation_id", "value", "availability")
 
 
-@query(f"""WITH h AS (SELECT subject, local_date, observation_id, source_event_id % 10 = 3 AS gone, source_event_id, signal, value, occurred_at FROM {FACTS} WHERE signal = 'view'),
+@query(f"""WITH h AS (SELECT subject, local_date, observation_id, {RETRACTED} AS gone, source_event_id, signal, value, occurred_at FROM {FACTS} WHERE signal = 'view'),
   t AS (SELECT DISTINCT subject, local_date FROM h WHERE gone), r AS (SELECT h.* FROM h JOIN t USING (subject, local_date)),
   b AS (SELECT subject, local_date, arg_min(observation_id, (occurred_at, observation_id)) AS o FROM r WHERE value >= 20 GROUP BY ALL), a AS (SELECT subject, local_date, arg_min(observation_id, (occurred_at, observation_id)) AS o FROM r WHERE value >= 20 AND NOT gone GROUP BY ALL)
   SELECT subject, local_date, o AS observation_id, CASE WHEN bool_or(w = 0) AND bool_or(w = 1) THEN 'kept' WHEN bool_or(w = 0) THEN 'withdrawn' ELSE 'added' END AS change FROM (SELECT *, 0 AS w FROM b UNION ALL SELECT *, 1 AS w FROM a) GROUP BY ALL""")
@@ -201,18 +201,21 @@ def rule_replay(s, d):
     return corrections.replayed(revised(s, d), gone(s, d), rules.Definition("r", "view", "at_least", 20.0), rules.hits)
 
 
-@query(f"SELECT observation_id AS event_id, (source_event_id % 10 = 3) OR ((source_event_id + 1) % 10 = 3 AND EXISTS (SELECT 1 FROM {GONE} g WHERE g.subject = f.subject AND g.signal = f.signal AND g.source_event_id = f.source_event_id + 1)) AS gone FROM {FACTS} f")
+@query(f"""SELECT observation_id AS event_id, CASE WHEN k % 7 > 1 THEN ({RETRACTED}) OR EXISTS (SELECT 1 FROM {GONE} g WHERE g.subject = f.subject AND g.signal = f.signal AND g.source = f.source AND g.source_event_id = f.source_event_id + 1)
+  ELSE EXISTS (SELECT 1 FROM {GONE} g WHERE g.subject = f.subject AND g.signal = f.signal) END AS gone FROM {FACTS} f""")
 def event_dependencies(s, d):
-    rows = revised(s, d)
-    two = F.array(F.struct("signal", "source_event_id"), F.struct("signal", (F.col("source_event_id") + 1).alias("source_event_id")))
-    return corrections.dependents(rows.select(F.col("observation_id").alias("event_id"), "subject", two.alias("fact_dependencies")), gone(s, d)).select("event_id", "gone")
+    """Events of two facts each; some recorded none or not all."""
+    rows, k = revised(s, d), F.col("k")
+    two = F.array(F.struct("signal", "source", "source_event_id"), F.struct("signal", "source", (F.col("source_event_id") + 1).alias("source_event_id")))
+    events = rows.select(F.col("observation_id").alias("event_id"), "subject", "signal", F.when(k % 7 > 0, two).alias("fact_dependencies"), (k % 7 > 1).alias("dependencies_complete"))
+    return corrections.dependents(events, gone(s, d)).select("event_id", "gone")
 
 
-@query(f"SELECT DISTINCT subject, signal, source_event_id, NOT (signal IN ('view', 'click') AND source_event_id % 20 = 3) AS refused FROM {FACTS} WHERE source_event_id % 10 = 3")
+@query(f"SELECT DISTINCT subject, signal, source_event_id, NOT (signal IN ('view', 'click') AND source_event_id = 3) AS refused FROM {FACTS} WHERE {RETRACTED}")
 def retraction_refusal(s, d):
     dims = s.createDataFrame([("view", "source_event_id"), ("click", "source_event_id"), ("error", "singleton")], "signal string, identity string")
     asked = gone(s, d).distinct().withColumn("asked", F.col("source_event_id"))
-    asked = asked.withColumn("source_event_id", F.when(F.col("asked") % 20 == 3, F.col("asked")))
+    asked = asked.withColumn("source_event_id", F.when(F.col("asked") == 3, F.col("asked")))
     return corrections.refuse_unsupported(asked, dims).select("subject", "signal", F.col("asked").alias("source_event_id"), "refused")
 
 
@@ -367,7 +370,7 @@ MID = "2024-01-15 00:00:00"
 
 
 @query(f"""SELECT event_id, CASE WHEN ended AND started THEN 'unknown' WHEN take THEN 'claimed' ELSE state END AS state, attempt + CASE WHEN take THEN 1 ELSE 0 END AS attempt, CASE WHEN take THEN 'z:' || (attempt + 1) ELSE token END AS token, CASE WHEN take THEN 'resv_' || event_id || '_' || (attempt + 1) ELSE 'resv' END AS reservation FROM
-  (SELECT *, ((state = 'pending') OR (ended AND NOT started)) AND coalesce(next_attempt_at <= TIMESTAMP '{MID}', true) AS take FROM (SELECT *, coalesce(state = 'claimed' AND lease_until <= TIMESTAMP '{MID}', false) AS ended FROM {OUT}))""")
+  (SELECT *, (state = 'pending' OR ended) AND NOT started AND NOT invalidated AND coalesce(next_attempt_at <= TIMESTAMP '{MID}', true) AS take FROM (SELECT *, coalesce(state = 'claimed' AND lease_until <= TIMESTAMP '{MID}', false) AS ended FROM {OUT}))""")
 def outbox_claim(s, d):
     got = outbox.claimed(outbox_rows(s, d), F.lit(MID).cast("timestamp_ntz"), "z", 60)
     return got.select("event_id", "state", "attempt", "token", "reservation")
@@ -587,8 +590,8 @@ def receipt_finalize(s, d):
     return ingest.finalised(e, receipts).select("event_id", "status", "refused")
 
 
-@query(f"SELECT count(*) AS n FROM (SELECT DISTINCT subject, signal, source_event_id FROM {FACTS} WHERE source_event_id % 10 IN (3, 4))")
+@query(f"SELECT count(*) AS n FROM (SELECT DISTINCT subject, signal, source, source_event_id FROM {FACTS} WHERE source_event_id % 10 IN (3, 4))")
 def retraction_record(s, d):
-    rows = revised(s, d).select("subject", "signal", F.lit("app").alias("source"), "source_event_id").distinct()
+    rows = revised(s, d).select(*corrections.FACT).distinct()
     held, new = rows.where("source_event_id % 10 = 3"), rows.where("source_event_id % 10 IN (3, 4)")
     return corrections.noted(held, new.unionByName(new)).agg(F.count("*").alias("n"))

@@ -15,7 +15,7 @@ from daymark.engine import Engine
 from daymark.functions import scalars
 from daymark.operators import attribution, corrections, current, daily, ingest, mirrors, outbox, projection, retention, rules, trends
 
-FACTS = "subject long, signal string, occurred_at timestamp_ntz, observation_id long, value double, local_date date, availability string, source_event_id string, state string"
+FACTS = "subject long, signal string, occurred_at timestamp_ntz, observation_id long, value double, local_date date, availability string, source string, source_event_id string, state string"
 
 
 def at(day, hour=0, minute=0):
@@ -24,7 +24,7 @@ def at(day, hour=0, minute=0):
 
 def facts(spark, rows):
     """rows: (day, hour, value, state)."""
-    return spark.createDataFrame([(1, "m", at(d, h), i, v, dt.date(2024, 1, d), "observed", f"e{i}", s) for i, (d, h, v, s) in enumerate(rows)], FACTS)
+    return spark.createDataFrame([(1, "m", at(d, h), i, v, dt.date(2024, 1, d), "observed", "app", f"e{i}", s) for i, (d, h, v, s) in enumerate(rows)], FACTS)
 
 
 def test_folds(spark):
@@ -36,7 +36,7 @@ def test_folds(spark):
     assert {r.local_date.day: r.main_value for r in daily.main_of_day(df).collect()} == {1: 9.0, 2: 1.0}
     assert {r.local_date.day: r.total for r in daily.cumulative_latest(df).collect()} == {1: 9.0, 2: 1.0}
     assert daily.numeric_dist(df.limit(0)).count() == 0
-    kept = daily.rebuild(df, df.where("observation_id = 0").select("subject", "signal", "source_event_id"), df.where("observation_id = 2").select("subject", "signal", "local_date"))
+    kept = daily.rebuild(df, df.where("observation_id = 0").select(*corrections.FACT), df.where("observation_id = 2").select("subject", "signal", "local_date"))
     assert sorted(r.observation_id for r in kept.collect()) == [1, 2, 3]
 
 
@@ -156,7 +156,7 @@ def test_built_in_declarations(spark):
 def test_pages_retention_and_subjects(spark):
     assert [retention.page_size(x) for x in (None, 0, 10_000, -5, 7)] == [50, 50, 500, 1, 7]
     df = facts(spark, [(d, 1, 1.0, None) for d in range(1, 11)])
-    engine = Engine(df, df.where("observation_id = 9").select("subject", "signal", "source_event_id"))
+    engine = Engine(df, df.where("observation_id = 9").select(*corrections.FACT))
     plan = spark.createDataFrame([("m", 3, -1)], "signal string, detail_days int, aggregate_days int")
     assert engine.run_retention(plan, F.lit(at(11))).count() == 7 and engine.run_retention(plan, F.lit(at(11)), dry_run=False).count() == 3
     kept, cut = engine.export_subject(1)
@@ -262,9 +262,11 @@ def test_facade_reads_days_and_trends(spark):
 
 
 def test_refusals_and_permissions(spark):
-    texts = ['bad "a \\" b" at -3.5e7', "it's 'x' v2 and 12", "x" * 300, None, "  two   words\n"]
+    texts = ['bad "a \\" b" at -3.5e7', "it's 'x' v2 and 12", "x" * 300, None, "  two   words\n", "a-5 x1 -5 (7) 1 2", 'a "b \'c\' d" e', "open 'quote", '"a\\\\" 3']
     got = [r[0] for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").orderBy("k").select(scalars.sanitized_problem(F.col("t"))).collect()]
     assert got[0] == f"bad {scalars.REDACTED} at {scalars.REDACTED}" and got[2] == "x" * 253 + "..." and got[3] is None and got[4] == "two words"
+    r = scalars.REDACTED
+    assert got[5:] == [f"a-{r} x1 {r} ({r}) {r} {r}", f"a {r} e", "open 'quote", f"{r} {r}"]
     values = ["off", "FALSE ", "0", "denied", "on", "", None, "whatever"]
     got = [r[0] for r in spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v string").orderBy("k").select(projection.refusal(F.col("v"))).collect()]
     assert got == ["switch_off"] * 3 + ["not_permitted"] + [None] * 4
