@@ -7,7 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .operators import corrections, current, daily, generations, mirrors, retention, rules, trends
+from . import store
+from .operators import corrections, current, daily, generations, mirrors, refold, retention, rules, ruleset, trends
 
 
 class Engine:
@@ -52,14 +53,33 @@ class Engine:
         mean = F.when(F.col("n") > 0, trends.rounded(F.col("sum_value") / F.col("n")))
         return folded.select(*daily.DAY, mean.alias("value"), F.lit("complete").alias("completeness"), F.lit(True).alias("has_data"))
 
-    def get_trend(self, subject, signal: str, field: str, start: Column, end: Column) -> DataFrame:
-        """The trend by the field's declared model, with days that have data, lack it, or are incomplete; see trends.with_coverage()."""
-        rows = self.get_daily(subject, signal, start, end).withColumn("field", F.lit(field))
-        return trends.with_coverage(rows, self._table("dims"), start, end)
+    def get_documents(self, subject, signal: str, start: Column, end: Column) -> DataFrame:
+        """A day's document of every aggregated field, folded from details by the declarations; see refold.documents()."""
+        rows = self._of(self.all_facts, subject, [signal])
+        return refold.documents(rows, self._table("dims"), self.retractions).where(F.col("local_date").between(start, end))
 
-    def recompute(self, scopes: DataFrame, kept_from: Column) -> DataFrame:
-        """Generations built anew for scopes; days whose details may be gone are incomplete."""
-        return generations.rebuilt(self._table("aggregates"), scopes, kept_from)
+    def get_trend(self, subject, signal: str, field: str, start: Column, end: Column) -> DataFrame:
+        """The trend of one field by its declared model, with days that have data, lack it, or are incomplete; see trends.with_coverage().
+
+        Facts with `fields` give each field its own series; days that the active generation lists as incomplete aren't
+        read. Facts of one value a signal have that one series, which is the declared field's.
+        """
+        if "fields" in self.all_facts.columns:
+            rows = refold.representative(self.get_documents(subject, signal, start, end)).where(F.col("field") == field)
+            complete = F.lit("complete")
+            if "generations" in self.tables:
+                gaps = generations.active(self._of(self._table("generations"), subject, [signal])).select("subject", "signal", F.explode("incomplete").alias("local_date")).distinct().withColumn("gap", F.lit(True))
+                rows, complete = rows.join(gaps, ["subject", "signal", "local_date"], "left"), F.when(F.col("gap"), "incomplete").otherwise("complete")
+            return trends.with_coverage(rows.withColumn("completeness", complete), self._table("dims"), start, end)
+        return trends.with_coverage(self.get_daily(subject, signal, start, end).withColumn("field", F.lit(field)), self._table("dims"), start, end)
+
+    def recompute(self, scopes: DataFrame, today: Column, allow_incomplete: bool = False) -> tuple[DataFrame, DataFrame]:
+        """(days, generations) built anew from details for scopes; days whose details may be gone make a generation incomplete."""
+        return refold.generation(self.all_facts, self._table("dims"), scopes, today, self.retractions, allow_incomplete)
+
+    def evaluate_stored(self, definitions: DataFrame, through: Column, now: Column) -> ruleset.Evaluation:
+        """Stored definitions (ruleset.parsed()) over all facts in one pass: events with stable ids, and states."""
+        return ruleset.evaluate(self.facts, definitions, through, now, store.kept)
 
     def apply_retractions(self, retractions: DataFrame) -> dict[str, DataFrame]:
         """What follows from retractions: facts left, current rows chosen again, days to rebuild, events and whether they hang on one."""
@@ -74,8 +94,16 @@ class Engine:
     def sync_mirror(self, collection: str, items: DataFrame, tombstones: DataFrame, sync: mirrors.Sync, keys) -> DataFrame:
         return mirrors.synced(self._table(collection), items, tombstones, sync, keys)
 
-    def list_calendar(self, subject, start: Column, end: Column) -> DataFrame:
-        return mirrors.calendar(self._of(self._table("calendar"), subject), start, end)
+    def list_calendar(self, subject, start: Column, end: Column, size: int | None = None, after: tuple[int, int] = (0, 0)) -> DataFrame:
+        """A page of calendar items that start in start..end, or at an unknown time (last). A table with a column
+        `recurrence` (a rule as JSON) has its series expanded in the window, behind a cursor of series and occurrence."""
+        rows = self._of(self._table("calendar"), subject)
+        if "recurrence" not in rows.columns:
+            return mirrors.calendar(rows, start, end)
+        rule = mirrors.parse_recurrence(rows, "recurrence").withColumn("problem", F.when(F.col("recurrence").isNotNull(), F.col("problem")))
+        series = rule.withColumns({"start": F.to_date("start_at"), "freq": F.when(F.col("recurrence").isNotNull(), F.col("freq"))})
+        inside = F.col("freq").isNotNull() | F.col("start_at").isNull() | F.col("start_at").between(start, end)
+        return mirrors.expanded_page(series.where(inside), ("start_at", "source_event_id"), F.to_date(start), F.to_date(end), retention.page_size(size), after)
 
     def list_reminders(self, subject, completed: bool = False) -> DataFrame:
         return mirrors.reminders(self._of(self._table("reminders"), subject), completed)

@@ -27,32 +27,49 @@ def fluctuating(series: DataFrame, keys: Sequence[str], day: str = "local_date",
 
     A key's series is one row a day, so that its array stays as small as the days it covers.
     """
-    points = series.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(day, value))).alias("pts"))
-    values = F.transform("pts", lambda x: x[value])
-    rows = points.withColumns({"n_days": F.size("pts"), "current": F.element_at(values, -1), "base": F.array_sort(F.when(F.size("pts") > 1, F.slice(values, 1, F.greatest(F.size("pts") - 1, F.lit(1)))).otherwise(values))})
-    base = F.col("base")
-    rows = rows.withColumns({"baseline_median": median(base), "p25": nearest_rank(base, 0.25), "p75": nearest_rank(base, 0.75), "baseline_n": F.size(base).cast("long")})
-    delta = F.col("current") - F.col("baseline_median")
-    direction = F.when(delta > 0, "up").when(delta < 0, "down").otherwise("flat")
-    return rows.select(*keys, F.col("n_days").cast("long").alias("n_days"), "current", "baseline_median", "p25", "p75", "baseline_n", delta.alias("delta"), direction.alias("direction"))
+    rows = series.where(F.col(value).isNotNull()).groupBy(*keys).agg(_points(day, value).alias("pts"))
+    rows = rows.withColumn("base", _baseline(F.col("pts")))
+    return rows.select(*keys, F.size("pts").cast("long").alias("n_days"), *(c.alias(n) for n, c in _fluctuation(F.col("pts"), F.col("base")).items()))
+
+
+def _points(day: str, value: str) -> Column:
+    return F.array_sort(F.collect_list(F.struct(F.col(day).alias("d"), F.col(value).alias("v"))))
+
+
+def _baseline(pts: Column) -> Column:
+    """The sorted values of all days but the last; of the only day if there is one."""
+    values = F.transform(pts, lambda x: x["v"])
+    return F.array_sort(F.when(F.size(pts) > 1, F.slice(values, 1, F.greatest(F.size(pts) - 1, F.lit(1)))).otherwise(values))
+
+
+def _fluctuation(pts: Column, base: Column) -> dict[str, Column]:
+    current = F.try_element_at(pts, F.lit(-1))["v"]
+    delta = current - median(base)
+    return {
+        "current": current, "baseline_median": median(base), "p25": nearest_rank(base, 0.25), "p75": nearest_rank(base, 0.75), "baseline_n": F.size(base).cast("long"), "delta": delta,
+        "direction": F.when(delta > 0, "up").when(delta < 0, "down").otherwise("flat"),
+    }
 
 
 def drifting(series: DataFrame, keys: Sequence[str], day: str = "local_date", value: str = "value") -> DataFrame:
     """First and last point, change a month over all and over the last third (two points at least, if there are four)."""
-    rows = series.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(day).alias("d"), F.col(value).alias("v")))).alias("pts"))
-    rows = rows.where(F.size("pts") >= 2)
+    rows = series.where(F.col(value).isNotNull()).groupBy(*keys).agg(_points(day, value).alias("pts")).where(F.size("pts") >= 2)
+    return rows.select(*keys, F.size("pts").cast("long").alias("n_points"), *(c.alias(n) for n, c in _drift(F.col("pts")).items()))
+
 
+def _drift(pts: Column) -> dict[str, Column]:
     def rate(a, b):
         days = F.date_diff(b["d"], a["d"])
         return F.when(days > 0, (b["v"] - a["v"]) / days * DAYS_PER_MONTH)
 
-    n = F.size("pts")
-    first, last = F.get("pts", F.lit(0)), F.element_at("pts", -1)
-    recent = F.get("pts", n - F.greatest(F.lit(2), F.floor(n / 3).cast("int")))
-    rows = rows.select(*keys, n.cast("long").alias("n_points"), first["v"].alias("first_value"), last["v"].alias("last_value"), (last["v"] - first["v"]).alias("total_delta"),
-                       rate(first, last).alias("per_month"), F.when(n >= 4, rate(recent, last)).alias("recent_per_month"))
-    steeper = (F.col("per_month") * F.col("recent_per_month") > 0) & (F.abs("recent_per_month") > F.abs("per_month"))
-    return rows.withColumn("accelerating", F.coalesce(steeper, F.lit(False)))
+    n = F.size(pts)
+    first, last = F.get(pts, F.lit(0)), F.try_element_at(pts, F.lit(-1))
+    recent = F.get(pts, n - F.greatest(F.lit(2), F.floor(n / 3).cast("int")))
+    per_month, late = rate(first, last), F.when(n >= 4, rate(recent, last))
+    steeper = (per_month * late > 0) & (F.abs(late) > F.abs(per_month))
+    return {
+        "first_value": first["v"], "last_value": last["v"], "total_delta": last["v"] - first["v"], "per_month": per_month, "recent_per_month": late, "accelerating": F.coalesce(steeper, F.lit(False)),
+    }
 
 
 def cyclical(dates: DataFrame, keys: Sequence[str], today: Column, day: str = "local_date") -> DataFrame:
@@ -64,6 +81,14 @@ def cyclical(dates: DataFrame, keys: Sequence[str], today: Column, day: str = "l
     return rows.withColumn("days_since", since.cast("long")).withColumn("overdue", F.greatest(F.lit(0), since - F.col("typical")).cast("long"))
 
 
+def _cycle(days: Column, today: Column) -> dict[str, Column]:
+    """The same from a sorted array of distinct days."""
+    gaps = F.array_sort(F.zip_with(F.slice(days, 2, F.size(days)), F.slice(days, 1, F.greatest(F.size(days) - 1, F.lit(0))), lambda b, a: F.date_diff(b, a)))
+    typical = F.bround(median(gaps)).cast("long")
+    since = F.date_diff(today, F.try_element_at(days, F.lit(-1))).cast("long")
+    return {"typical": typical, "days_since": since, "overdue": F.greatest(F.lit(0), since - typical).cast("long")}
+
+
 def notable(trend: DataFrame, subject: Sequence[str], most: int = 8) -> DataFrame:
     """The `most` largest relative changes of a subject among series with a baseline of two days at least."""
     rows = trend.where("baseline_n >= 2").withColumn("magnitude", F.abs("delta") / F.greatest(F.abs("baseline_median"), F.lit(1.0)))
@@ -99,24 +124,27 @@ def with_coverage(rows: DataFrame, dims: DataFrame, start: Column, end: Column)
     there is no reading: unknown, hidden, empty, or no model.
     """
     keys = ["subject", "signal", "field"]
-    inside = rows.where(F.col("local_date").between(start, end))
     complete = F.col("completeness") == "complete"
     span = F.date_diff(end, start) + 1
-    covered = inside.groupBy(*keys).agg(F.count_if(complete).alias("days_with_data"), F.count_if(~complete).alias("days_incomplete"))
+    # one aggregation: a series is as long as its days, and models are expressions over it
+    covered = rows.where(F.col("local_date").between(start, end)).groupBy(*keys).agg(
+        F.count_if(complete).alias("days_with_data"), F.count_if(~complete).alias("days_incomplete"), F.array_sort(F.collect_list(F.when(complete, F.struct(F.col("local_date").alias("d"), F.col("value").alias("v"))))).alias("all"),
+    )
     covered = covered.withColumn("days_missing", F.greatest(F.lit(0), span - F.col("days_with_data") - F.col("days_incomplete")).cast("long"))
     known = covered.join(dims.select("signal", "field", "unit", "trend", "visibility"), ["signal", "field"], "left")
     reason = (
         F.when(F.col("trend").isNull(), "not_declared").when(F.col("visibility") == "never", "not_visible").when(F.col("days_with_data") == 0, "no_data").when(F.col("trend") == "none", "no_model")
     )
-    known = known.withColumns({"reason": reason, "model": F.when(reason.isNull() | (reason == "no_data"), F.col("trend")).otherwise("none")}).drop("trend", "visibility")
-    read = inside.where(complete).join(known.where("reason IS NULL").select(*keys, "model"), keys)
-    flat = fluctuating(read.where("model = 'fluctuating'"), keys).select(*keys, "current", "baseline_median", "p25", "p75", "baseline_n", rounded(F.col("delta")).alias("delta"), "direction")
-    drift = drifting(read.where("model = 'drifting'"), keys).select(*keys, "first_value", "last_value", rounded(F.col("total_delta")).alias("total_delta"), rounded(F.col("per_month")).alias("per_month"), "accelerating")
-    cycle = cyclical(read.where("model = 'cyclical'"), keys, end).select(*keys, "typical", "days_since", "overdue")
-    out = known.select(*keys, "model", "reason", "unit", "days_with_data", "days_missing", "days_incomplete")
-    for part in (flat, drift, cycle):
-        out = out.join(part, keys, "left")
-    return out
+    known = known.withColumns({"reason": reason, "model": F.when(reason.isNull() | (reason == "no_data"), F.col("trend")).otherwise("none"), "pts": F.filter("all", lambda p: p["v"].isNotNull())})
+    known = known.withColumn("base", _baseline(F.col("pts")))
+    read = lambda model, least: F.col("reason").isNull() & (F.col("model") == model) & (F.size("pts") >= least)
+    flat, drift = _fluctuation(F.col("pts"), F.col("base")), _drift(F.col("pts"))
+    cycle = _cycle(F.array_distinct(F.transform("all", lambda p: p["d"])), end)
+    flat["delta"], drift["total_delta"], drift["per_month"] = rounded(flat["delta"]), rounded(drift["total_delta"]), rounded(drift["per_month"])
+    del drift["recent_per_month"]
+    shown = [F.when(read("fluctuating", 1), c).alias(n) for n, c in flat.items()] + [F.when(read("drifting", 2), c).alias(n) for n, c in drift.items()]
+    shown += [F.when(F.col("reason").isNull() & (F.col("model") == "cyclical"), c).alias(n) for n, c in cycle.items()]
+    return known.select(*keys, "model", "reason", "unit", "days_with_data", "days_missing", "days_incomplete", *shown)
 
 
 def latched(days: DataFrame, keys: Sequence[str], abnormal: Column, least: int, day: str = "local_date") -> DataFrame:

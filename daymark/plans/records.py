@@ -22,11 +22,11 @@ def day(text):
 #: A generation per subject and signal, of some days, in some state.
 GEN = """(SELECT subject, signal, 'daily' AS kind, 'g' || g AS generation_id, 1 AS aggregation_version, DATE '2024-01-01' + (g % 3)::INT AS start, DATE '2024-01-20' + (g % 5)::INT AS "end",
   ['complete', 'active', 'building', 'failed', 'incomplete'][1 + (subject + g) % 5] AS status, TIMESTAMP '2024-02-01 00:00:00' + to_hours((g * 7 % 5)::INT) AS created_at
-  FROM (SELECT DISTINCT user_id AS subject, event_type AS signal FROM events WHERE user_id < 200), (SELECT unnest([0, 1, 2, 3, 4]) AS g))"""
+  FROM (SELECT DISTINCT user_id AS subject, event_type AS signal FROM events), (SELECT unnest([0, 1, 2, 3, 4]) AS g))"""
 
 
 def gens(s, d):
-    base = read(s, d, "events").where("user_id < 200").select(F.col("user_id").alias("subject"), F.col("event_type").alias("signal")).distinct()
+    base = read(s, d, "events").select(F.col("user_id").alias("subject"), F.col("event_type").alias("signal")).distinct()
     rows = base.select("subject", "signal", F.lit("daily").alias("kind"), F.explode(F.array(*(F.lit(g) for g in range(5)))).alias("g"))
     state = F.element_at(F.array(*map(F.lit, ("complete", "active", "building", "failed", "incomplete"))), (1 + (F.col("subject") + F.col("g")) % 5).cast("int"))
     rows = rows.select(
@@ -60,12 +60,12 @@ def generation_insert(s, d):
     return generations.offered(g.where("subject % 3 <> 0"), new).select("subject", "signal", "generation_id", "decision")
 
 
-DAILY = f"(SELECT subject, signal, local_date, sum(cents)::BIGINT AS value, count(*) AS observations FROM {EV} WHERE subject < 200 GROUP BY ALL)"
+DAILY = f"(SELECT subject, signal, local_date, sum(cents)::BIGINT AS value, count(*) AS observations FROM {EV} GROUP BY ALL)"
 
 
 def daily_rows(s, d, generation="g1"):
     """Days of generation rows: every seventh is recomputed without observations."""
-    rows = event_facts(s, d).where("subject < 200").groupBy("subject", "signal", "local_date").agg(F.sum("cents").alias("value"), F.count("*").alias("observations"))
+    rows = event_facts(s, d).groupBy("subject", "signal", "local_date").agg(F.sum("cents").alias("value"), F.count("*").alias("observations"))
     empty = F.dayofmonth("local_date") % 7 == 0
     return rows.withColumns({
         "kind": F.lit("daily"), "generation_id": F.lit(generation), "aggregation_version": F.lit(1), "completeness": F.when(F.dayofmonth("local_date") % 9 == 0, "incomplete").otherwise("complete"),
@@ -332,15 +332,23 @@ def reminder_scan(s, d):
     return mirrors.reminders(mirror_rows(s, d).withColumnRenamed("start_at", "due_at"), key="item").select("item", "due_at")
 
 
-@query(f"""WITH b AS (SELECT item, d0, row_number() OVER (ORDER BY d0, item) - 1 AS base FROM (SELECT item, start_at::DATE AS d0 FROM {MIRROR} WHERE start_at IS NOT NULL AND subject < 100)), x AS (SELECT b.*, t::DATE AS occurs_on FROM b, LATERAL (SELECT unnest(generate_series(b.d0::TIMESTAMP, TIMESTAMP '2024-02-10', INTERVAL 3 DAY)) AS t)),
-  y AS (SELECT base, item, occurs_on, row_number() OVER (PARTITION BY base ORDER BY occurs_on) - 1 AS inner_ FROM x WHERE occurs_on >= DATE '2024-01-20')
-  SELECT item, occurs_on, base::INT AS base, inner_::INT AS "inner" FROM y WHERE base > 3 OR (base = 3 AND inner_ >= 2) ORDER BY base, inner_ LIMIT 40""")
+@query(f"""WITH b AS (SELECT *, row_number() OVER (ORDER BY d0, item) - 1 AS base FROM (SELECT item, start_at::DATE AS d0, item % 5 AS f, item % 3 + 1 AS every, CASE WHEN item % 11 = 0 THEN 12 END AS most FROM {MIRROR} WHERE start_at IS NOT NULL)),
+  r AS (SELECT b.*, t::DATE AS occurs_on FROM b, LATERAL (SELECT unnest(generate_series(b.d0::TIMESTAMP, TIMESTAMP '2024-02-10', INTERVAL 1 DAY)) AS t) WHERE f < 3),
+  h AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY occurs_on) AS nth FROM r WHERE CASE f WHEN 0 THEN (occurs_on - d0) % every = 0 WHEN 1 THEN isodow(occurs_on) IN (1, 4) AND ((date_trunc('week', occurs_on)::DATE - date_trunc('week', d0)::DATE) // 7) % every = 0 ELSE day(occurs_on) = day(d0) AND ((year(occurs_on) - year(d0)) * 12 + month(occurs_on) - month(d0)) % every = 0 END),
+  y AS (SELECT base, item, occurs_on, true AS expanded FROM h WHERE occurs_on >= DATE '2024-01-20' AND (most IS NULL OR nth <= most) UNION ALL SELECT base, item, CASE WHEN f = 3 THEN d0 END, false FROM b WHERE f >= 3),
+  z AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY occurs_on) - 1 AS inner_ FROM y)
+  SELECT item, occurs_on, CASE WHEN occurs_on IS NOT NULL THEN strftime(occurs_on, '%Y-%m-%d') || 'T10:30:00+02:00' END AS occurs_at, expanded, base::INT AS base, inner_::INT AS "inner" FROM z WHERE base > 20 OR (base = 20 AND inner_ >= 2) ORDER BY base, inner_ LIMIT 400""")
 def calendar_page_expanded(s, d):
-    rows = mirror_rows(s, d).where("start_at IS NOT NULL AND subject < 100")
-    none = F.lit(None)
-    series = rows.select("item", F.to_date("start_at").alias("start"), F.lit("daily").alias("freq"), F.lit(3).alias("interval"), none.cast("array<int>").alias("byweekday"), none.cast("date").alias("until"), none.cast("int").alias("count"))
-    got = mirrors.expanded_page(series, ("start", "item"), day("2024-01-20"), day("2024-02-10"), 40, (3, 2))
-    return got.select("item", "occurs_on", "base", "inner")
+    """Series of all kinds, some with a count, some single, some that can't be expanded."""
+    f = F.col("item") % 5
+    rows = mirror_rows(s, d).where("start_at IS NOT NULL")
+    series = rows.select(
+        "item", F.to_date("start_at").alias("start"), F.when(f == 0, "daily").when(f == 1, "weekly").when(f == 2, "monthly").alias("freq"), (F.col("item") % 3 + 1).cast("int").alias("interval"),
+        F.when(f == 1, F.array(F.lit(0), F.lit(3))).alias("byweekday"), F.lit(None).cast("date").alias("until"), F.when(F.col("item") % 11 == 0, 12).alias("count"), F.when(f == 4, "freq").alias("problem"),
+        F.concat(F.to_date("start_at").cast("string"), F.lit("T10:30:00+02:00")).alias("start_text"),
+    )
+    got = mirrors.expanded_page(series, ("start", "item"), day("2024-01-20"), day("2024-02-10"), 400, (20, 2))
+    return got.select("item", "occurs_on", "occurs_at", "expanded", "base", "inner")
 
 
 @query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'weekly' WHEN 1 THEN NULL WHEN 2 THEN NULL WHEN 3 THEN NULL ELSE 'daily' END AS freq, CASE event_id % 5 WHEN 0 THEN 2 WHEN 4 THEN 1 END AS "interval", CASE WHEN event_id % 5 = 4 THEN DATE '2024-03-01' END AS until,
@@ -403,10 +411,10 @@ def page_with_more(s, d):
     return retention.page_with_more(event_facts(s, d).where("signal = 'view'"), ("occurred_at", "observation_id"), 20).select("observation_id", "place", "more")
 
 
-@query(f"SELECT collection, count(*) > 200 AS truncated FROM (SELECT signal AS collection FROM {EV} WHERE signal IN ('view', 'click') AND subject < 100 UNION ALL SELECT 'all' FROM {EV}) GROUP BY ALL")
+@query(f"SELECT collection, count(*) > 200 AS truncated FROM (SELECT signal AS collection FROM {EV} WHERE signal IN ('view', 'click') UNION ALL SELECT 'all' FROM {EV}) GROUP BY ALL")
 def export_truncated(s, d):
     rows = event_facts(s, d)
-    tables = {"all": rows, "view": rows.where("signal = 'view' AND subject < 100"), "click": rows.where("signal = 'click' AND subject < 100")}
+    tables = {"all": rows, "view": rows.where("signal = 'view'"), "click": rows.where("signal = 'click'")}
     return retention.drained(tables, ("occurred_at", "observation_id"), 200)[1]
 
 

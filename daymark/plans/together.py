@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import store
-from ..operators import ruleset
+from ..operators import refold, ruleset, trends
 from ..sources.facts import event_facts, read
-from .catalogue import EV, NOW, now, query
+from .catalogue import EV, FACTS, NOW, RETRACTED, gone, now, query, revised
 
 # Fixed values of the fixture: fifty definitions, two for each nation, over all conditions and lifecycles.
 SIGNAL_LIST = ("view", "click", "purchase", "error", "signup")
@@ -158,3 +158,83 @@ def daily_counter_arrival(s, d):
     return counters.arrival_fold(
         event_facts(s, d), ("observation_id",), F.col("local_date"), at=F.when(k % 4 > 0, k * 7 % 13), revision=F.when(k % 3 == 0, (k % 8).cast("string")), epoch=F.when(k % 6 == 1, F.concat(F.lit("e"), (k % 5).cast("string"))), keys=("subject", "signal"),
     )
+
+
+# rebuilds from details
+
+
+#: Declarations of the fixture: signal, field, aggregation, identity, state_field, detail_days, storage, unit, trend, visibility.
+DECLARED = (
+    ("view", "value", "numeric_dist", "source_event_id", None, -1, "current_timeline_aggregate", "cents", "fluctuating", "always"),
+    ("view", "k", "daily_total", "source_event_id", None, -1, "current_timeline_aggregate", "count", "drifting", "always"),
+    ("click", "value", "daily_sum", "source_event_id", None, 10, "current_timeline_aggregate", "cents", "fluctuating", "never"),
+    ("click", "state", "duration_by_state", "source_event_id", None, 10, "current_timeline_aggregate", None, "none", "always"),
+    ("purchase", "k", "occurrence_count", "source_event_id", None, -1, "current_timeline_aggregate", "count", "cyclical", "on_demand"),
+    ("purchase", "place", "main_of_day", "source_event_id", None, -1, "current_timeline_aggregate", None, "none", "always"),
+    ("error", "value", "duration_sum_by_state", "deterministic_digest", "state", -1, "current_only", "minutes", "none", "always"),
+    ("signup", "items", "event_list", "deterministic_digest", None, -1, "current_timeline_aggregate", None, "none", "always"),
+)
+DIMS = "signal string, field string, aggregation string, identity string, state_field string, detail_days int, storage string, unit string, trend string, visibility string"
+DETAILS = f"""(SELECT * FROM (SELECT *, max(revision) OVER w AS top, row_number() OVER (PARTITION BY subject, signal, source, source_event_id ORDER BY revision DESC NULLS LAST, occurred_at DESC, observation_id DESC) AS nth FROM {FACTS}
+  WINDOW w AS (PARTITION BY subject, signal, source, source_event_id)) WHERE (signal IN ('error', 'signup') OR top IS NULL OR nth = 1) AND NOT ({RETRACTED}) AND k % 6 > 0)"""
+#: Documents by strategy: each by a statement of its own.
+DOCS = f"""(WITH x AS MATERIALIZED (SELECT * FROM {DETAILS}), dwell AS (SELECT subject, signal, local_date, held, sum(date_diff('microsecond', occurred_at, until))::BIGINT AS us FROM
+    (SELECT *, 's' || k % 3 AS held, lead(occurred_at) OVER (PARTITION BY subject, signal, local_date ORDER BY occurred_at, observation_id) AS until FROM x WHERE signal = 'click') WHERE until IS NOT NULL GROUP BY ALL),
+  spent AS (SELECT subject, signal, local_date, 's' || k % 3 AS held, sum(cents)::DOUBLE AS m FROM x WHERE signal = 'error' GROUP BY ALL)
+  SELECT subject, signal, local_date, 'value' AS field, 'numeric_dist' AS strategy, min(cents)::DOUBLE AS min_value, max(cents)::DOUBLE AS max_value, sum(cents)::DOUBLE AS sum_value, count(*) AS n, NULL::DOUBLE AS total, NULL::VARCHAR AS main_value, NULL::VARCHAR AS minutes, NULL::VARCHAR AS events FROM x WHERE signal = 'view' GROUP BY ALL
+  UNION ALL SELECT subject, signal, local_date, 'k', 'daily_total', NULL, NULL, NULL, NULL, arg_max(k, (occurred_at, k))::DOUBLE, NULL, NULL, NULL FROM x WHERE signal = 'view' GROUP BY ALL
+  UNION ALL SELECT subject, signal, local_date, 'value', 'daily_sum', NULL, NULL, NULL, count(*), sum(cents)::DOUBLE, NULL, NULL, NULL FROM x WHERE signal = 'click' GROUP BY ALL
+  UNION ALL SELECT c.subject, c.signal, c.local_date, 'state', 'duration_by_state', NULL, NULL, NULL, NULL, NULL, NULL, coalesce((SELECT string_agg(held || '=' || round(us / 60000000.0::DOUBLE, 2), ',' ORDER BY held) FROM dwell w WHERE w.subject = c.subject AND w.local_date = c.local_date), ''), NULL FROM (SELECT DISTINCT subject, signal, local_date FROM x WHERE signal = 'click') c
+  UNION ALL SELECT subject, signal, local_date, 'k', 'occurrence_count', NULL, NULL, NULL, NULL, sum(k)::DOUBLE, NULL, NULL, NULL FROM x WHERE signal = 'purchase' GROUP BY ALL
+  UNION ALL SELECT subject, signal, local_date, 'place', 'main_of_day', NULL, NULL, NULL, NULL, NULL, '"p' || arg_max(k % 7, (occurred_at, observation_id)) || '"', NULL, NULL FROM x WHERE signal = 'purchase' GROUP BY ALL
+  UNION ALL SELECT subject, signal, local_date, 'value', 'duration_sum_by_state', NULL, NULL, NULL, NULL, sum(m), NULL, string_agg(held || '=' || m, ',' ORDER BY held), NULL FROM spent GROUP BY ALL
+  UNION ALL SELECT subject, signal, local_date, 'items', 'event_list', NULL, NULL, NULL, NULL, NULL, NULL, NULL, string_agg(id, ',' ORDER BY first, id) FROM (SELECT subject, signal, local_date, id, min((occurred_at, observation_id)) AS first FROM (SELECT *, unnest(['e' || k % 4, 'f' || k % 3]) AS id FROM x WHERE signal = 'signup') GROUP BY ALL) GROUP BY ALL)"""
+
+
+def declarations(s):
+    return s.createDataFrame(DECLARED, DIMS)
+
+
+def detailed(s, d):
+    """Facts of two sources with revisions, their fields as scalar texts."""
+    k = F.col("k")
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    text = lambda prefix, n: F.concat(F.lit(prefix), (k % n).cast("string"))
+    items = F.concat(F.lit('[{"id":"'), text("e", 4), F.lit('","title":"t"},{"identifier":"'), text("f", 3), F.lit('"},{"note":"none"}]'))
+    fields = F.create_map(F.lit("value"), F.col("cents").cast("double").cast("string"), F.lit("k"), k.cast("double").cast("string"), F.lit("state"), quoted(text("s", 3)), F.lit("place"), quoted(text("p", 7)), F.lit("items"), items)
+    return revised(s, d).withColumns({"fields": fields, "availability": F.when(k % 6 > 0, "observed").otherwise("unavailable")})
+
+
+@query(f"SELECT * FROM {DOCS}")
+def documents_refold(s, d):
+    """Every field's day by its declared strategy, from canonical, observed facts that aren't retracted."""
+    docs = refold.documents(detailed(s, d), declarations(s), gone(s, d))
+    shown = F.array_join(F.transform(F.map_entries("minutes"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    ids = F.array_join(F.transform("events", lambda e: F.coalesce(F.get_json_object(e, "$.id"), F.get_json_object(e, "$.identifier"))), ",")
+    return docs.withColumns({"minutes": shown, "events": ids})
+
+
+@query(f"""WITH x AS MATERIALIZED (SELECT subject, signal, local_date, count(*) AS n FROM {DETAILS} GROUP BY ALL), g AS (SELECT subject, signal, local_date::DATE AS local_date FROM (SELECT DISTINCT subject, signal FROM {EV}), (SELECT unnest(generate_series(TIMESTAMP '2024-01-05', TIMESTAMP '2024-01-30', INTERVAL 1 DAY)) AS local_date))
+  SELECT g.subject, g.signal, g.local_date, coalesce(n, 0) AS observations, CASE WHEN g.signal = 'error' OR (g.signal = 'click' AND g.local_date < DATE '2024-01-21') THEN 'incomplete' ELSE 'complete' END AS completeness,
+  CASE WHEN n IS NULL THEN 0 WHEN g.signal IN ('error', 'signup') THEN 1 ELSE 2 END::INT AS n_fields, CASE WHEN g.signal IN ('click', 'error') THEN 'incomplete' ELSE 'complete' END AS status FROM g LEFT JOIN x ON x.subject = g.subject AND x.signal = g.signal AND x.local_date = g.local_date""")
+def generation_refold(s, d):
+    """A generation of every subject and signal built from details; days whose details may be gone are marked."""
+    facts = detailed(s, d)
+    day = lambda t: F.lit(t).cast("date")
+    scopes = facts.select("subject", "signal").distinct().withColumns({"kind": F.lit("daily"), "generation_id": F.lit("g9"), "aggregation_version": F.lit(2), "start": day("2024-01-05"), "end": day("2024-01-30")})
+    days, built = refold.generation(facts, declarations(s), scopes, day("2024-01-31"), gone(s, d), allow_incomplete=True)
+    rows = days.join(built.select("subject", "signal", "status"), ["subject", "signal"])
+    return rows.select("subject", "signal", "local_date", "observations", "completeness", F.coalesce(F.size("fields"), F.lit(0)).alias("n_fields"), "status")
+
+
+@query(f"""WITH r AS MATERIALIZED (SELECT subject, signal, field, local_date, CASE strategy WHEN 'numeric_dist' THEN round_even(sum_value / n, 3) WHEN 'main_of_day' THEN NULL ELSE round_even(total, 3) END AS v FROM {DOCS}),
+  c AS (SELECT subject, signal, field, count(*) AS days_with_data, list({{'d': local_date, 'v': v}} ORDER BY local_date) FILTER (v IS NOT NULL) AS pts, list(local_date ORDER BY local_date) AS ds FROM r GROUP BY ALL),
+  m AS (SELECT *, CASE signal || '.' || field WHEN 'view.value' THEN 'fluctuating' WHEN 'view.k' THEN 'drifting' WHEN 'purchase.k' THEN 'cyclical' ELSE 'none' END AS model, list_sort(list_transform(CASE WHEN len(pts) > 1 THEN pts[:-2] ELSE pts END, lambda p: p.v)) AS base, list_sort(list_transform(range(1, len(ds)), lambda i: ds[i + 1] - ds[i])) AS gaps FROM c)
+  SELECT subject, signal, field, days_with_data, model, CASE WHEN signal = 'click' AND field = 'value' THEN 'not_visible' WHEN model = 'none' THEN 'no_model' END AS reason, CASE WHEN model = 'fluctuating' THEN pts[-1].v END AS current, CASE WHEN model = 'fluctuating' THEN len(base) END AS baseline_n,
+  CASE WHEN model = 'drifting' AND len(pts) >= 2 THEN round_even(pts[-1].v - pts[1].v, 3) END AS total_delta, CASE WHEN model = 'cyclical' AND len(gaps) > 0 THEN round_even(CASE WHEN len(gaps) % 2 = 1 THEN gaps[len(gaps) // 2 + 1] ELSE (gaps[len(gaps) // 2] + gaps[len(gaps) // 2 + 1]) / 2.0 END, 0)::BIGINT END AS typical,
+  CASE WHEN model = 'cyclical' THEN DATE '2024-01-30' - ds[-1] END AS days_since FROM m""")
+def trend_by_field(s, d):
+    """Each field's trend by its own model, over days rebuilt from details."""
+    rows = refold.representative(refold.documents(detailed(s, d), declarations(s), gone(s, d))).withColumn("completeness", F.lit("complete"))
+    got = trends.with_coverage(rows, declarations(s), F.lit("2024-01-01").cast("date"), F.lit("2024-01-30").cast("date"))
+    return got.select("subject", "signal", "field", "days_with_data", "model", "reason", "current", "baseline_n", "total_delta", "typical", "days_since")
