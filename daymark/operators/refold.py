@@ -72,11 +72,11 @@ def documents(facts: DataFrame, dims: DataFrame, retractions: DataFrame | None =
     micros = F.timestamp_diff("MICROSECOND", F.col("occurred_at"), F.col("until"))
     dwells, sums = s == "duration_by_state", s == "duration_sum_by_state"
     listed = F.when(s == "event_list", _events(F.col("text")))
-    rows = rows.withColumn("e", F.explode_outer(listed))
+    rows = rows.select("*", F.posexplode_outer(listed).alias("place", "e"))
     rows = rows.withColumns({
         "bucket": F.when(dwells, F.col("held")).when(sums, _state_label(F.col("state"))).when(s == "event_list", F.col("e.key")), "micros": F.when(dwells, micros),
     })
-    at = F.struct("occurred_at", "observation_id")
+    at = F.struct("occurred_at", "observation_id", "place")
     held = rows.groupBy(*DAY, "field", "strategy", "bucket").agg(
         F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("x").alias("sum"), F.count("x").alias("n"), F.max(F.when(F.col("x").isNotNull(), F.struct("occurred_at", "x"))).alias("newest"),
         F.max(F.when(F.col("text").isNotNull(), F.struct("occurred_at", "observation_id", "text"))).alias("main"), F.sum("micros").alias("micros"), F.min_by("e.event", at).alias("event"), F.min(at).alias("since"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import store
-from ..operators import refold, ruleset, trends
+from ..operators import publishing, refold, ruleset, trends
 from ..sources.facts import event_facts, read
 from .catalogue import EV, FACTS, NOW, RETRACTED, gone, now, query, revised
 
@@ -238,3 +238,61 @@ def trend_by_field(s, d):
     rows = refold.representative(refold.documents(detailed(s, d), declarations(s), gone(s, d))).withColumn("completeness", F.lit("complete"))
     got = trends.with_coverage(rows, declarations(s), F.lit("2024-01-01").cast("date"), F.lit("2024-01-30").cast("date"))
     return got.select("subject", "signal", "field", "days_with_data", "model", "reason", "current", "baseline_n", "total_delta", "typical", "days_since")
+
+
+# changes of several tables
+
+
+#: Aggregates that are there: views (an active generation), clicks (of another version) and no others; and a batch of writes.
+HELD = f"(SELECT subject, signal, 'daily' AS kind, 'g1' AS generation_id, CASE signal WHEN 'view' THEN 1 ELSE 2 END AS aggregation_version, local_date, sum(cents)::BIGINT AS value FROM {EV} WHERE signal IN ('view', 'click') AND local_date < DATE '2024-01-20' AND day(local_date) % 3 <> 0 GROUP BY ALL)"
+WRITES = f"""(SELECT subject, signal, 'daily' AS kind, CASE WHEN signal = 'error' THEN 'legacy-v1' ELSE 'g1' END AS generation_id, 1 AS aggregation_version, local_date, arg_max(cents, observation_id) AS value, count(*) AS writes, max(observation_id) AS ord,
+  CASE WHEN arg_max(k, observation_id) % 6 = 0 THEN 'incomplete' ELSE 'complete' END AS c FROM {EV} WHERE signal IN ('view', 'click', 'error') AND local_date >= DATE '2024-01-15' GROUP BY ALL)"""
+#: Each scope's generation after the batch.
+GENS_AFTER = f"""(WITH h AS (SELECT subject, signal, list(DISTINCT local_date) AS ds FROM {HELD} GROUP BY ALL), w AS (SELECT subject, signal, list(DISTINCT local_date) AS ds, arg_min(c, (ord, local_date)) AS c1, arg_min(local_date, (ord, local_date)) AS d1 FROM {WRITES} GROUP BY ALL),
+  b AS (SELECT coalesce(h.subject, w.subject) AS subject, coalesce(h.signal, w.signal) AS signal, h.ds AS hd, w.ds AS wd, c1, d1 FROM h FULL JOIN w ON w.subject = h.subject AND w.signal = h.signal),
+  a AS (SELECT *, CASE WHEN hd IS NOT NULL THEN 'active' WHEN c1 = 'complete' THEN 'active' ELSE 'incomplete' END AS status, CASE WHEN hd IS NOT NULL AND (signal = 'click' OR wd IS NULL) THEN hd WHEN hd IS NOT NULL THEN list_distinct(list_concat(hd, wd)) WHEN c1 = 'complete' THEN wd ELSE [d1] END AS acc FROM b)
+  SELECT subject, signal, status, list_min(acc) AS start, list_max(acc) AS "end", acc, CASE WHEN hd IS NOT NULL AND (signal = 'click' OR wd IS NULL) THEN []::DATE[] WHEN status = 'active' THEN list_filter(list_transform(range(0, list_max(acc) - list_min(acc) + 1), lambda i: list_min(acc) + i::INT), lambda d: NOT list_contains(acc, d)) ELSE [d1] END AS bad FROM a)"""
+
+
+def merge_fixture(s, d):
+    rows, view = event_facts(s, d), F.col("signal") == "view"
+    base = lambda df, generation, version: df.withColumns({"kind": F.lit("daily"), "generation_id": generation, "aggregation_version": version, "reasons": F.array().cast("array<string>")})
+    days = rows.where("signal IN ('view', 'click') AND local_date < '2024-01-20' AND dayofmonth(local_date) % 3 <> 0").groupBy("subject", "signal", "local_date").agg(F.sum("cents").alias("value"))
+    held = base(days, F.lit("g1"), F.when(view, 1).otherwise(2)).withColumns({"completeness": F.lit("complete"), "version": F.lit(0).cast("long"), "ord": F.lit(None).cast("long")})
+    none = F.array().cast("array<date>")
+    gens = held.groupBy("subject", "signal", "kind", "generation_id", "aggregation_version").agg(F.min("local_date").alias("start"), F.max("local_date").alias("end"), F.array_sort(F.collect_set("local_date")).alias("accounted"))
+    gens = gens.withColumns({"incomplete": none, "reasons": F.array().cast("array<string>"), "status": F.lit("active")})
+    batch = base(rows.where("signal IN ('view', 'click', 'error') AND local_date >= '2024-01-15'").select("subject", "signal", "local_date", F.col("cents").alias("value"), F.col("observation_id").alias("ord"), F.when(F.col("k") % 6 == 0, "incomplete").otherwise("complete").alias("completeness")), F.when(F.col("signal") != "error", "g1"), F.lit(1))
+    return held, gens, batch
+
+
+@query(f"""WITH a AS MATERIALIZED (SELECT * FROM {GENS_AFTER}), w AS (SELECT * FROM {WRITES} WHERE signal <> 'click'), h AS (SELECT * FROM {HELD})
+  SELECT coalesce(h.subject, w.subject) AS subject, coalesce(h.signal, w.signal) AS signal, coalesce(h.generation_id, w.generation_id) AS generation_id, coalesce(h.local_date, w.local_date) AS local_date, coalesce(w.value, h.value) AS value,
+  CASE WHEN w.subject IS NULL THEN 0 WHEN h.subject IS NULL THEN w.writes - 1 ELSE w.writes END AS version, CASE WHEN w.subject IS NULL THEN 'complete' WHEN list_contains(a.bad, w.local_date) THEN 'incomplete' ELSE w.c END AS completeness
+  FROM h FULL JOIN w ON w.subject = h.subject AND w.signal = h.signal AND w.local_date = h.local_date LEFT JOIN a ON a.subject = coalesce(h.subject, w.subject) AND a.signal = coalesce(h.signal, w.signal)""")
+def aggregate_merge(s, d):
+    """Aggregates after a batch: versions go up with each write, rows of another version than their generation's are refused."""
+    held, gens, batch = merge_fixture(s, d)
+    rows, _ = publishing.merged(held, publishing.merged_generations(gens, batch, "ord"), batch, "ord")
+    return rows.select("subject", "signal", "generation_id", "local_date", "value", "version", "completeness")
+
+
+@query(f"""SELECT subject, signal, status, start, "end", len(acc) AS n_accounted, len(bad) AS n_incomplete FROM {GENS_AFTER}""")
+def aggregate_merge_generations(s, d):
+    """Their generations: ranges grow, gaps are incomplete, unknown ones begin."""
+    _, gens, batch = merge_fixture(s, d)
+    got = publishing.merged_generations(gens, batch, "ord")
+    return got.select("subject", "signal", "status", "start", "end", F.size("accounted").cast("long").alias("n_accounted"), F.size("incomplete").cast("long").alias("n_incomplete"))
+
+
+@query(f"""WITH g AS (SELECT subject, signal, local_date FROM {HELD}), l AS (SELECT * FROM g WHERE signal = 'click' OR local_date >= DATE '2024-01-12'), x AS (SELECT subject, signal, count(*) AS n FROM l GROUP BY ALL)
+  SELECT k.subject, k.signal, coalesce(n, 0) AS n_rows, CASE WHEN n IS NULL THEN 'complete' ELSE 'active' END AS status, coalesce(n, 0) AS n_accounted, (SELECT min(local_date) FROM g WHERE g.subject = k.subject AND g.signal = k.signal AND (n IS NULL OR k.signal = 'click' OR local_date >= DATE '2024-01-12')) AS start
+  FROM (SELECT DISTINCT subject, signal FROM g) k LEFT JOIN x ON x.subject = k.subject AND x.signal = k.signal""")
+def retention_reconcile(s, d):
+    """Deleted days leave the accounts of active generations; one without days is active no more."""
+    held, gens, _ = merge_fixture(s, d)
+    cut = s.createDataFrame([("view", "2024-01-12"), ("click", None)], "signal string, before string").withColumn("before", F.col("before").cast("date"))
+    rows, after = publishing.reconciled(held, gens, cut)
+    n = rows.groupBy("subject", "signal").agg(F.count("*").alias("n_rows"))
+    got = after.join(n, ["subject", "signal"], "left")
+    return got.select("subject", "signal", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), "status", F.size("accounted").cast("long").alias("n_accounted"), "start")

@@ -102,7 +102,8 @@ class Store:
         rows = change.rows.withColumn("_part", F.col(change.by).cast("string"))
         if change.parts is not None:
             rows = rows.where(F.col("_part").isin([str(p) for p in change.parts]))
-        rows.repartition("_part", F.pmod(F.xxhash64(*change.rows.columns), F.lit(16))).write.mode("overwrite").partitionBy("_part").parquet(f"{self.root}/{folder}")
+        plain = [f.name for f in change.rows.schema if isinstance(f.dataType, T.AtomicType)]  # a part of very many rows is several files
+        rows.repartition("_part", F.pmod(F.xxhash64(*plain), F.lit(16))).write.mode("overwrite").partitionBy("_part").parquet(f"{self.root}/{folder}")
         made = [f.getPath().getName() for f in self._fs.listStatus(self._path(f"{self.root}/{folder}")) if f.isDirectory()]
         return {self.spark._jvm.org.apache.hadoop.fs.Path(n).getName().removeprefix("_part="): f"{folder}/{n}" for n in made if n.startswith("_part=")}
 

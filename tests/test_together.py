@@ -137,3 +137,199 @@ def test_counter_fold_edge_cases(spark):
     by = {r.subject: r.total for r in counters.arrival_fold(df, ("observation_id",), F.lit(1), at=F.col("at")).collect()}
     assert by == {1: 5.0, None: 1.0, 2: 2.0}
     assert fold(df.limit(0)).collect() == []
+
+
+# rebuilds, paging, stores
+
+
+def test_instances_are_counted_as_they_are_expanded(spark):
+    from daymark.operators import mirrors
+
+    rng = random.Random(3)
+    rows = []
+    for i in range(300):
+        start = dt.date(2023, 1, 1) + dt.timedelta(days=rng.randrange(400))
+        rows.append((i, start, rng.choice(["daily", "weekly", "monthly"]), rng.randrange(1, 5), rng.choice([None, [0, 3], [6], [2, 2, 5]]), rng.choice([None, start + dt.timedelta(days=90)]), rng.choice([None, 1, 7]), start.isoformat() + "T09:15:00+01:00"))
+    df = spark.createDataFrame(rows, "i int, start date, freq string, interval int, byweekday array<int>, until date, count int, start_text string")
+    low, high = dt.date(2023, 11, 5), dt.date(2024, 3, 31)
+    want = {}
+    for i, start, freq, every, days, until, count, _ in rows:
+        hits, day = [], start
+        while day <= min(high, until or high):
+            monday = lambda d: d - dt.timedelta(days=d.weekday())
+            if freq == "daily":
+                ok = (day - start).days % every == 0
+            elif freq == "weekly":
+                ok = day.weekday() in (days or [start.weekday()]) and (monday(day) - monday(start)).days // 7 % every == 0
+            else:
+                ok = day.day == start.day and ((day.year - start.year) * 12 + day.month - start.month) % every == 0
+            hits += [day] * ok
+            day += dt.timedelta(days=1)
+        want[i] = [d for d in hits[: count or len(hits)] if d >= low][:200]
+    got = {}
+    for r in mirrors.expand(df, F.lit(low), F.lit(high)).collect():
+        got.setdefault(r.i, []).append(r.occurs_on)
+        assert r.occurs_at == r.occurs_on.isoformat() + "T09:15:00+01:00"
+    assert {i: sorted(v) for i, v in got.items()} == {i: v for i, v in want.items() if v}
+    counts = {r.i: r.n for r in df.select("i", mirrors._in_window(F.lit(low), F.lit(high), 200)[1].alias("n")).collect()}
+    assert counts == {i: len(v) for i, v in want.items()}
+    everything = [(i, k) for i in range(300) for k in range(len(want[i]))]
+    pages, after = [], (0, 0)
+    for _ in range(3):  # each page goes on where the last one ended, inside a series or between two
+        page = mirrors.expanded_page(df.repartition(5), ("i",), F.lit(low), F.lit(high), 37, after).select("base", "inner").collect()
+        pages += [(r.base, r.inner) for r in page]
+        after = (page[-1].base, page[-1].inner + 1)
+    assert pages == everything[: len(pages)] and len(pages) == 111
+
+
+def retraction_tables(spark):
+    at = lambda d, h: dt.datetime(2024, 1, d, h)
+    day = lambda d: dt.date(2024, 1, d)
+    rows = []
+    for n, (source, event, d, h, v, rev) in enumerate([("app", "a", 1, 1, 5.0, "1"), ("app", "a", 2, 2, 7.0, "2"), ("watch", "a", 1, 3, 9.0, None), ("app", "b", 1, 4, 2.0, None), ("app", "c", 3, 5, 4.0, None)]):
+        rows.append((1, "m", source, event, n, at(d, h), day(d), "observed", rev, {"v": str(v)}, "m"))
+    facts = spark.createDataFrame(rows, "subject long, signal string, source string, source_event_id string, observation_id long, occurred_at timestamp_ntz, local_date date, availability string, revision string, fields map<string,string>, dimension string")
+    dims = spark.createDataFrame([("m", "v", "daily_sum", "source_event_id", None, -1, "current_timeline_aggregate")], "signal string, field string, aggregation string, identity string, state_field string, detail_days int, storage string")
+    ref = lambda source, event: [("m", source, event)]
+    events = spark.createDataFrame(
+        [("e1", 1, "m", ref("app", "c"), True, "pending", False, 1.0, day(3), "t1"), ("e2", 1, "m", ref("app", "c"), True, "claimed", True, 2.0, day(3), "t2"), ("e3", 1, "m", ref("watch", "c"), True, "pending", False, 3.0, day(3), "t3"), ("e4", 1, "m", None, False, "delivered", True, 4.0, day(2), "t4"), ("e5", 2, "m", ref("app", "c"), True, "pending", False, 5.0, day(3), "t5")],
+        "event_id string, subject long, signal string, fact_dependencies array<struct<signal:string,source:string,source_event_id:string>>, dependencies_complete boolean, state string, started boolean, value double, local_date date, token string",
+    )
+    return facts, dims, events
+
+
+def test_a_correction_is_seen_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    from daymark import store
+    from daymark.operators import corrections, current, publishing, refold
+
+    facts, dims, events = retraction_tables(spark)
+    new = spark.createDataFrame([(1, "m", "app", "c"), (1, "m", "app", "zz")], "subject long, signal string, source string, source_event_id string")
+    s = store.Store(spark, str(tmp_path / "s"))
+    assert s.snapshot().number == 0
+    docs = refold.documents(facts, dims)
+    now = current.current(refold.details(facts, dims), ["subject", "signal", "dimension"]).select("subject", "signal", "dimension", "observation_id", "occurred_at", "fields", F.lit("observed").alias("availability"))
+    change = store.Change
+    s.publish("first", {"facts": change(facts, "local_date"), "retractions": change(new.limit(0)), "documents": change(docs, "local_date"), "current": change(now), "events": change(events, "local_date")})
+    seen = lambda: ({r.event_id: (r.state, r.value, r.token) for r in s.table("events").collect()}, {r.local_date.day: r.total for r in s.table("documents").collect()}, [r.observation_id for r in s.table("current").collect()], s.table("retractions").count())
+    before = seen()
+    assert before[1] == {1: 11.0, 2: 7.0, 3: 4.0} and before[2] == [4]
+    real, calls = store.Store._write, []
+
+    def dies(self, *args):
+        calls.append(1)
+        if len(calls) == 3:
+            raise RuntimeError("lost")
+        return real(self, *args)
+
+    monkeypatch.setattr(store.Store, "_write", dies)
+    with pytest.raises(RuntimeError):
+        publishing.publish_retractions(s, "r1", new, dims)
+    assert seen() == before and s.snapshot().number == 1  # two tables were written, none is seen
+    monkeypatch.setattr(store.Store, "_write", real)
+    flip = store.Store._flip
+
+    def halts(self, number, change_id, tables):
+        assert self._claims(self._path(f"{self.root}/_numbers/{number}"), change_id) or True
+        raise RuntimeError("lost between the mark and the list")
+
+    (tmp_path / "s" / "_numbers").mkdir(exist_ok=True)
+    monkeypatch.setattr(store.Store, "_flip", halts)
+    with pytest.raises(RuntimeError):
+        publishing.publish_retractions(s, "r1", new, dims)
+    assert seen() == before
+    monkeypatch.setattr(store.Store, "_flip", flip)
+    with pytest.raises(store.Overtaken):  # another change can't take the number that r1 holds
+        s.publish("other", {"current": change(now)})
+    done = publishing.publish_retractions(s, "r1", new, dims)
+    after = seen()
+    assert done.number == 2 and after[1] == {1: 11.0, 2: 7.0} and after[2] == [1] and after[3] == 2
+    assert after[0] == {"e1": ("invalidated", None, None), "e2": ("unknown", None, "t2"), "e3": ("pending", 3.0, "t3"), "e4": ("delivered", None, None), "e5": ("pending", 5.0, "t5")}
+    kept = s.snapshot().tables["events"]["folders"]
+    assert publishing.publish_retractions(s, "r1", new, dims).number == 2 and s.snapshot().tables["events"]["folders"] == kept  # again: nothing more
+    assert {r.event_id for r in s.table("events", s.snapshot(1)).where("state = 'pending'").collect()} == {"e1", "e3", "e5"}  # older readers keep their list
+    with pytest.raises(store.Overtaken):
+        s.publish("late", {"current": change(now)}, s.snapshot(1))
+    assert s.table("facts", parts=["2024-01-01"]).count() == 3
+    assert corrections.affected_days(facts, new).count() == 1
+
+
+def test_merges_and_retention_are_published_by_parts(spark, tmp_path):
+    from daymark import store
+    from daymark.operators import publishing
+
+    day = lambda d: dt.date(2024, 1, d)
+    rows = [(1, "m", "daily", "g1", 1, day(d), "complete", [], 0, 1.0 * d) for d in (1, 2, 3)]
+    cols = "subject long, signal string, kind string, generation_id string, aggregation_version int, local_date date, completeness string, reasons array<string>"
+    held = spark.createDataFrame(rows, cols + ", version long, value double")
+    gens = spark.createDataFrame([(1, "m", "daily", "g1", 1, day(1), day(3), [day(1), day(2), day(3)], [], [], "active")], "subject long, signal string, kind string, generation_id string, aggregation_version int, start date, end date, accounted array<date>, incomplete array<date>, reasons array<string>, status string")
+    facts = spark.createDataFrame([("m", 1, day(d)) for d in (1, 2, 3, 6)], "signal string, observation_id int, local_date date")
+    s = store.Store(spark, str(tmp_path / "s"))
+    s.publish("0", {"aggregates": store.Change(held, "local_date"), "generations": store.Change(gens), "facts": store.Change(facts, "local_date")})
+    batch = spark.createDataFrame([(1, "m", "daily", "g1", 1, day(6), "complete", [], 60.0, 1), (1, "m", "daily", "g1", 1, day(2), "complete", [], 21.0, 2), (1, "m", "daily", "g1", 1, day(2), "complete", [], 22.0, 3), (2, "m", "daily", None, 1, day(2), "incomplete", ["x"], 5.0, 4)], cols + ", value double, ord int")
+    old = s.snapshot().tables["aggregates"]["folders"]
+    batch = batch.withColumn("version", F.lit(None).cast("long")).select(*[c for c in batch.columns if c != "ord"], "ord")
+    publishing.publish_merge(s, "1", batch, "ord")
+    new = s.snapshot().tables["aggregates"]["folders"]
+    assert new["2024-01-01"] == old["2024-01-01"] and new["2024-01-02"] != old["2024-01-02"] and set(new) == {"2024-01-01", "2024-01-02", "2024-01-03", "2024-01-06"}
+    got = {(r.subject, r.local_date.day): (r.value, r.version, r.completeness) for r in s.table("aggregates").collect()}
+    assert got == {(1, 1): (1.0, 0, "complete"), (1, 2): (22.0, 2, "complete"), (1, 3): (3.0, 0, "complete"), (1, 6): (60.0, 0, "complete"), (2, 2): (5.0, 0, "incomplete")}
+    g = {r.subject: r for r in s.table("generations").collect()}
+    assert [d.day for d in g[1].incomplete] == [4, 5] and g[1].reasons == ["unaccounted_bootstrap_gap"] and g[1].end == day(6)
+    assert (g[2].generation_id, g[2].status, g[2].reasons) == ("legacy-v1", "incomplete", ["x"])
+    plan = spark.createDataFrame([("m", 4, 2)], "signal string, detail_days int, aggregate_days int")
+    publishing.publish_retention(s, "2", plan, F.lit(dt.datetime(2024, 1, 7)))
+    assert sorted(r.local_date.day for r in s.table("facts").collect()) == [3, 6] and [r.local_date.day for r in s.table("aggregates").collect()] == [6]
+    g = {r.subject: r for r in s.table("generations").collect()}
+    assert (g[1].start, [d.day for d in g[1].accounted], [d.day for d in g[1].incomplete]) == (day(5), [6], [5]) and g[2].status == "incomplete"
+
+
+def test_identities_are_filled_in_and_contradictions_kept(spark):
+    from daymark.operators import publishing
+
+    day = dt.date(2024, 1, 1)
+    schema = "subject int, signal string, source string, digest string, fact_key string, dimension_key string, local_date date, content_digest string"
+    held = [(1, "m", "s", "a", None, None, None, None), (1, "m", "s", "b", "f", None, None, None), (1, "m", "s", "c", "f", "d", day, "x"), (1, "m", "s", "d", "f", None, None, None), (1, "m", "s", "e", None, None, None, None)]
+    new = [(1, "m", "s", "a", "f", "d", day, "x"), (1, "m", "s", "b", "f", "d", day, None), (1, "m", "s", "c", "g", "d", day, "x"), (1, "m", "s", "d", "g", "d", None, None)]
+    got = {r.digest: r for r in publishing.backfilled(spark.createDataFrame(held, schema), spark.createDataFrame(new, schema)).collect()}
+    assert {k: (r.fact_key, r.dimension_key, r.local_date, r.conflict) for k, r in got.items()} == {"a": ("f", "d", day, False), "b": ("f", "d", day, False), "c": ("f", "d", day, True), "d": ("f", None, None, True), "e": (None, None, None, False)}
+
+
+def test_documents_of_odd_facts(spark):
+    from daymark.operators import refold
+
+    facts, dims, _ = retraction_tables(spark)
+    assert refold.documents(facts.limit(0), dims).collect() == []
+    kinds = [("duration_by_state", ['"walk"', "true", None, '{"state":"run"}', '"walk"']), ("event_list", ['[{"id":"1"},{"id":"1","x":2},{"note":"n"}]', "no list", None, '[{"title":"t"}]', "[]"]), ("main_of_day", ["1.0", None, '"x"', None, None]), ("numeric_dist", ["1.0", '"x"', "true", None, "3.0"])]
+    for strategy, texts in kinds:
+        rows = [(1, "m", "s", None, i, dt.datetime(2024, 1, 1, i), dt.date(2024, 1, 1), "observed", None, {"v": t}) for i, t in enumerate(texts)]
+        df = spark.createDataFrame(rows, "subject long, signal string, source string, source_event_id string, observation_id long, occurred_at timestamp_ntz, local_date date, availability string, revision string, fields map<string,string>")
+        (doc,) = refold.documents(df, dims.withColumn("aggregation", F.lit(strategy))).collect()
+        if strategy == "duration_by_state":
+            assert doc.minutes == {"walk": 60.0, "focused": 120.0, "run": 60.0}
+        elif strategy == "event_list":
+            assert [json.loads(e) for e in doc.events] == [{"id": "1"}, {"title": "t"}]
+        elif strategy == "main_of_day":
+            assert doc.main_value == '"x"'
+        else:
+            assert (doc.min_value, doc.max_value, doc.sum_value, doc.n) == (1.0, 3.0, 4.0, 2)
+
+
+def test_spaced_rows_are_those_of_a_loop(spark):
+    from daymark.operators import rules
+
+    rng = random.Random(5)
+    rows = [(rng.choice([None, "a", "b"]), i, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=rng.randrange(4000))) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, i int, t timestamp_ntz")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r.i for r in rules.spaced(df, ("g",), ("t", "i"), "t", F.lit(300.0)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = set()
+    for g in (None, "a", "b"):
+        last = None
+        for _, i, t in sorted((r for r in rows if r[0] == g), key=lambda r: (r[2], r[1])):
+            if last is None or (t - last).total_seconds() >= 300:
+                want.add(i)
+                last = t
+    assert got == want
