@@ -2,8 +2,9 @@
 
 The model's labels are begin/inside tags of four kinds. Whatever is accepted as one (see plausible()) holds an anchor: an
 e-mail address `@`, a phone or card number a digit, an IPv6 address a digit or a colon between letters a-f or colons.
-So windows are laid only over anchors and what stands near them, and lose no span; all of a text is searched for anchors. Overlapping windows give each character averaged label scores, and one Viterbi pass
-over each joined region settles the spans.
+So windows are laid over anchors, the whole runs without blanks that hold an `@`, and what stands near them; all of a text is searched for anchors. Overlapping windows give each character averaged
+label scores, and one Viterbi pass over each joined region settles the spans. The last window of a region ends where it ends, so that a text's end looks like any other place; a text shorter than a window is
+filled up with line ends, which training has too.
 """
 
 from __future__ import annotations
@@ -102,7 +103,15 @@ def labelled(rng: np.random.Generator, n: int) -> tuple[np.ndarray, np.ndarray]:
     """n windows of synthetic text with labelled spans: personal data of each kind among prose, dates, sums and codes."""
     digit = lambda k: "".join(map(str, rng.integers(0, 10, k)))
     pick = lambda x: x[rng.integers(len(x))]
-    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 9)))
+    plain = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 9)))
+
+    def word() -> str:
+        """Small letters, now and then some that aren't ASCII."""
+        w = plain()
+        if rng.random() < 0.15:
+            at = int(rng.integers(len(w)))
+            w = w[:at] + pick("äöüßéèñçøłő") + w[at + 1 :]
+        return w
 
     def card() -> str:
         body = digit(15)
@@ -146,6 +155,11 @@ def labelled(rng: np.random.Generator, n: int) -> tuple[np.ndarray, np.ndarray]:
         if tags[0] and tags[0] % 2 == 0:  # a span cut at the window's start still begins there
             tags[0] -= 1
         x[i], y[i] = symbols(text[cut : cut + WINDOW]), tags
+        if rng.random() < 0.25:  # a short text: it ends behind a piece, and line ends fill the window
+            ends = [t for t in range(8, WINDOW) if y[i][t] == 0]
+            if ends:
+                x[i][ends[rng.integers(len(ends))] :] = 11
+                y[i][int(np.flatnonzero(x[i] != 11)[-1]) + 1 :] = 0
     return x, y
 
 
@@ -292,7 +306,10 @@ class Tagger:
         for i, text in enumerate(texts):
             region = None
             for m in _ANCHOR.finditer(text):
-                a, b = max(0, m.start() - STRIDE) // STRIDE * STRIDE, m.start() + STRIDE + 1
+                a, b = m.start(), m.end()
+                if m[0] == "@":  # a name or a host may be long
+                    a, b = _run(text, a)
+                a, b = max(0, a - STRIDE) // STRIDE * STRIDE, b + STRIDE
                 if region and a <= region[1]:
                     region[1] = b
                 else:
@@ -301,6 +318,8 @@ class Tagger:
                     region = [a, b]
             if region:
                 jobs.append((i, region[0], min(len(text), region[1])))
+        # a region is a window long at least, where its text is
+        jobs = [(i, max(0, min(a, b - WINDOW)), min(len(texts[i]), max(b, max(0, min(a, b - WINDOW)) + WINDOW))) for i, a, b in jobs]
         queue, held = [], 0
         for job in [*jobs, None]:
             if job:
@@ -315,7 +334,8 @@ class Tagger:
         wins, at = [], []
         for k, (i, a, b) in enumerate(jobs):
             sym = symbols(texts[i][a:b])
-            for lo in range(0, max(1, len(sym) - STRIDE), STRIDE):
+            last = max(0, len(sym) - WINDOW)
+            for lo in [*range(0, last, STRIDE), last]:
                 part = sym[lo : lo + WINDOW]
                 wins.append(np.pad(part, (0, WINDOW - len(part)), constant_values=11))
                 at.append((k, lo, len(part)))
@@ -335,8 +355,20 @@ class Tagger:
                 out[i].append((a + int(s), a + int(t), KINDS[(int(tags[s]) - 1) // 2]))
 
 
+_BLANK = re.compile(r"\s")
+
+
+def _run(text: str, at: int) -> tuple[int, int]:
+    """The run of characters without blanks around a place."""
+    end = _BLANK.search(text, at)
+    a = at
+    while a > 0 and not text[a - 1].isspace():
+        a -= 1
+    return a, end.start() if end else len(text)
+
+
 @lru_cache(maxsize=2)
-def trained(windows: int = 3000, seed: int = 11) -> Tagger:
+def trained(windows: int = 8000, seed: int = 11) -> Tagger:
     """The tagger after training on `windows` synthetic windows."""
     model = Tagger()
     model.train(*labelled(np.random.default_rng(seed), windows))
@@ -362,7 +394,7 @@ def plausible(piece: str, kind: str) -> bool:
 
 
 def marked_spans(model: Tagger, texts: list[str]) -> list[list[tuple[int, int, str, bool]]]:
-    """Base spans (true), and plausible model spans that touch none of them (false), by start, then kind."""
+    """Base spans (true), and plausible model spans (false) that touch none of them or reach further than all of their kind that they touch, by start, then kind."""
     out = []
     for text, base, more in zip(texts, map(base_spans, texts), model.spans(texts), strict=True):
         ends = np.maximum.accumulate([b for _, b, _ in base]) if base else []
@@ -370,12 +402,23 @@ def marked_spans(model: Tagger, texts: list[str]) -> list[list[tuple[int, int, s
         spans = [(*s, True) for s in base]
         for a, b, kind in more:
             before = bisect_left(starts, b)  # base spans that begin before this one ends
-            if plausible(text[a:b], kind) and not (before and ends[before - 1] > a):
+            if plausible(text[a:b], kind) and not (before and ends[before - 1] > a and not _outgrown(base, before, a, b, kind)):
                 spans.append((a, b, kind, False))
         out.append(sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]))))
     return out
 
 
+def _outgrown(base: list[tuple[int, int, str]], before: int, a: int, b: int, kind: str) -> bool:
+    """Whether a span holds every base span that it touches, all of its kind, and is none of them: an address of which the rule takes the ASCII end."""
+    touched = []
+    for s in reversed(base[:before]):
+        if s[1] > a:
+            touched.append(s)
+        elif s[1] < a - WINDOW:  # spans are short beside this, but for a run of digits, which no address holds
+            break
+    return all(a <= s[0] and s[1] <= b and s[2] == kind and s[:2] != (a, b) for s in touched)
+
+
 def all_spans(model: Tagger, texts: list[str]) -> list[list[tuple[int, int, str]]]:
     """marked_spans() without the marks."""
     return [[s[:3] for s in spans] for spans in marked_spans(model, texts)]

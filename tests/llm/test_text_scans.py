@@ -198,3 +198,48 @@ def test_url_model_and_edge_cases(spark):
     got = sorted(((r.page_id, r.host, r.path, r.rule, r.verdict) for r in urls.judge(rows).collect()), key=str)
     want = [(1, "", "", None, "allow"), (2, "", "", None, "allow"), (3, "sub.example.org", "/es/1", "example.org/es/", "block")] + [(3, "sub.example.org", "/es/1", "example.org/es/", "block"), (None, "x.com", "/de/", "com/de/", "block")]
     assert got == sorted(want, key=str)
+
+
+def _words(rng, n):
+    out = ""
+    while len(out) < n:
+        out += "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 8))) + " "
+    return out[:n].strip()
+
+
+@pytest.mark.parametrize("shape", ["bracketed", "dotted", "dashed", "address", "card"])
+def test_model_recall_by_place_and_length(shape):
+    """Shapes that no base rule takes, alone, at the start, at the end and inside of texts shorter and longer than a window."""
+    rng, model = random.Random(8), pii.trained()
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    name = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 8)))
+
+    def made():
+        if shape == "address":
+            a = name()
+            at = rng.randrange(len(a))
+            return a[:at] + rng.choice("äöüéß") + a[at + 1 :] + "@" + name() + ".com", "email"
+        if shape == "card":
+            body = digits(15)
+            body += next(str(x) for x in range(10) if pii.luhn(body + str(x)))
+            return ".".join(body[i : i + 4] for i in range(0, 16, 4)), "card"
+        a, b, c = digits(3), digits(3), digits(4)
+        return {"bracketed": f"({a}) {b}-{c}", "dotted": f"{a}.{b}.{c}", "dashed": f"{a}-{b}-{c}"}[shape], "phone"
+
+    for before, after in ((0, 0), (5, 0), (30, 0), (62, 0), (70, 0), (200, 0), (0, 90), (20, 5), (20, 90), (200, 200)):
+        texts, want = [], []
+        for _ in range(60):
+            piece, kind = made()
+            front, back = _words(rng, before), _words(rng, after)
+            front = front + " " if front else ""
+            texts.append(front + piece + (" " + back if back else ""))
+            want.append((len(front), len(front) + len(piece), kind))
+        found = [w in spans for w, spans in zip(want, pii.all_spans(model, texts), strict=True)]
+        assert sum(found) / len(found) >= 0.95, (before, after, sum(found))
+
+
+def test_long_addresses_are_taken_whole():
+    for name in ("jürgen.löwenstein_wertheim.freudenberg.grünewald.österreich.bäcker", "größe.müller" * 5, "übermütigkeitsbeauftragterfürdiesüddeutschenländereien"):
+        text = f"to {name}@bücher.example.com, please"
+        spans = pii.all_spans(pii.trained(), [text])[0]
+        assert (3, text.index(","), "email") in spans and pii.mask(text, spans) == "to [EMAIL], please"
