@@ -12,6 +12,7 @@ numbers (1/1024 steps) and so sums do not depend on order, and a step that chang
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,8 +33,8 @@ CONSISTENCY = 1.48
 CUT = 38.2396
 #: Documents that an estimate's parent counts for when the two are put together.
 PRIOR = 200
-#: Concentration steps that every start takes, and most of those that the best one takes after them.
-FIRST_STEPS, MORE_STEPS = 2, 8
+#: Concentration steps that every start takes; the best one goes on till it gets no less.
+FIRST_STEPS = 2
 #: Documents whose features one task reads in a step.
 TASK_ROWS = 20_000
 STARTS = ("spread", "plain", "sign")
@@ -195,7 +196,10 @@ def _least(models: DataFrame) -> DataFrame:
 
 
 def _searched(rows: DataFrame) -> DataFrame:
-    """Per group the estimate of least determinant: all starts take FIRST_STEPS, the best one goes on while it gets less."""
+    """Per group the estimate of least determinant: all starts take FIRST_STEPS, the best one goes on while any group's gets less.
+
+    A group's determinants fall and it has finitely many sets of nearest documents, so the search ends by itself.
+    """
     model = _starts(rows)
     for _ in range(FIRST_STEPS):
         new = _step(rows, model)
@@ -203,7 +207,7 @@ def _searched(rows: DataFrame) -> DataFrame:
         model = new
     best = _least(model)
     forget(model)
-    for k in range(MORE_STEPS):
+    for k in count():
         new = _step(rows, best)
         less = _least(best.unionByName(new.withColumn("start", F.lit(len(STARTS) + k))))
         settled = less.where(F.col("start") == len(STARTS) + k).isEmpty()

@@ -22,8 +22,6 @@ WIDTHS = (1, 2, 3)
 _WORD = re.compile(r"[^\W\d_]+")
 #: Words that a task keeps the numbers of.
 CACHE = 200_000
-#: Words of a text that training sees at most, in runs of RUN words spread evenly over the text: with the number of texts, a bound on what reaches the driver.
-MOST_WORDS, RUN = 4_096, 64
 
 
 def _buckets(word: str) -> int:
@@ -189,16 +187,6 @@ def _best_cut(z: np.ndarray, labels: np.ndarray) -> float:
     return float(edges[best[len(best) // 2]])
 
 
-def sampled(ids: np.ndarray) -> np.ndarray:
-    """All words of a text, or MOST_WORDS of a longer one, in evenly spread runs, its first and last among them."""
-    runs = -(-len(ids) // RUN)
-    if runs * RUN <= MOST_WORDS:
-        return ids
-    pick = np.linspace(0, runs - 1, MOST_WORDS // RUN).astype(np.int64)
-    at = (pick[:, None] * RUN + np.arange(RUN)).ravel()
-    return ids[at[at < len(ids)]]
-
-
 def labelled_rows(docs: DataFrame, labels: DataFrame, most: int, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", label: str = "toxic") -> DataFrame:
     """Up to `most` labelled rows of each label, chosen by a hash of doc_id, never one whose crc32(doc_id) mod 5 is 0."""
     known = labels.select(F.col(f"`{doc_id}`").alias("k"), F.col(f"`{label}`").alias("y")).where("k IS NOT NULL AND y IN (0, 1) AND crc32(cast(k AS string)) % 5 <> 0")
@@ -209,7 +197,7 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, most: int, doc_id: str = "
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = 3000, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", label: str = "toxic") -> Classifier:
-    """Train on a bounded sample: at most `most` rows of each label reach the driver, MOST_WORDS word numbers of each (4 bytes a word).
+    """Train on a bounded sample: the numbers of all words (4 bytes a word) of at most `most` rows of each label reach the driver.
 
     A quarter of the sample is held back from the weights and used to calibrate the cuts. Without rows of both
     labels the model scores everything 0.
@@ -217,7 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 3000, doc_id: str = "doc
     rows = labelled_rows(docs, labels, most, doc_id, text, lang, label)
 
     def number(words, texts):
-        return [[sampled(words(t)).astype("<u4").tobytes() for t in texts]]
+        return [[words(t).astype("<u4").tobytes() for t in texts]]
 
     got = map_texts(rows, "words binary", number, setup=Words).orderBy(F.xxhash64("k"), "k").toPandas()
     model = Classifier()

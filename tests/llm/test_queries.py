@@ -135,6 +135,10 @@ def test_toxicity(spark, docs):
     labels = duckdb.sql(f"SELECT doc_id, toxic FROM '{SF}/labels.parquet'").fetchall()
     held = [(got[i].predicted, y) for i, y in labels if i in got and got[i].held_out and y is not None]
     assert not held or np.mean([p == y for p, y in held]) > 0.7
+    # scores tell toxic documents from others, which "never toxic" doesn't
+    scores = {y: [got[i].score for i, label in labels if i in got and label == y] for y in (0, 1)}
+    if min(map(len, scores.values())) >= 5:
+        assert np.mean([[a > b for b in scores[0]] for a in scores[1]]) > 0.75
 
 
 def test_near_duplicates(spark, docs):
