@@ -184,6 +184,14 @@ def absent(current: DataFrame, now: Column, seconds: float, keys: Sequence[str]
     return last.withColumn("silent_seconds", silence.cast("long")).where(F.col("silent_seconds") >= seconds)
 
 
+def silences(facts: DataFrame, seconds: float, until: Column, keys: Sequence[str] = ("subject", "signal")) -> DataFrame:
+    """Observations behind which a key was silent for `seconds` or more: till its next one, or till `until`."""
+    times = facts.select(*keys, "occurred_at").distinct()
+    nxt = F.coalesce(F.lead("occurred_at").over(Window.partitionBy(*keys).orderBy("occurred_at")), until)
+    micros = F.timestamp_diff("MICROSECOND", F.col("occurred_at"), nxt)
+    return times.withColumn("_gap", micros).where(F.col("_gap") >= int(seconds * 1_000_000)).select(*keys, F.col("occurred_at").alias("last_seen"))
+
+
 def streak_edges(runs: DataFrame, need: int) -> DataFrame:
     """Days on which a run of passing days reaches `need`: the run of the day before was shorter. Lengths must not be cut below need."""
     return runs.where((F.col("length") >= need) & (F.col("length") - 1 < need))

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from daymark.plans import catalogue, more, records, together  # noqa: F401
+from daymark.plans import catalogue, more, records, shown, together  # noqa: F401
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events conversations".split()
