@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import board, daily, nested, rules
-from ..sources.facts import event_facts
+from ..operators import board, daily, delivery, nested, rules
+from ..sources.facts import event_facts, read
 from .catalogue import EV, NOW, now, query
 
 # nested payloads
@@ -136,3 +136,32 @@ def board_by_domain(s, d):
 def absence_silences(s, d):
     """Every silence of a week or more, the batch twin of the live rule with timers."""
     return rules.silences(event_facts(s, d), 7 * 86_400, now())
+
+
+# delivery
+
+
+class _Host:
+    """A host that answers by the event's id."""
+
+    def __call__(self, event: dict, attempt: int) -> str:
+        said = ("accepted", "duplicate", "suppressed", "rejected", "enqueue_failed", "no such status", "raises")[event["event_id"] % 7]
+        if said == "raises":
+            raise ConnectionError("lost")
+        return said
+
+
+@query("""WITH e AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'claimed' ELSE 'delivered' END AS state, event_id % 5 AS attempt, event_id % 4 = 0 AS started, event_id % 11 = 0 AS invalidated, CASE WHEN event_id % 3 = 1 THEN ts + INTERVAL 10 DAY END AS lease, CASE WHEN event_id % 2 = 1 THEN ts + INTERVAL 5 DAY END AS due FROM events),
+  t AS (SELECT *, (state = 'pending' OR (state = 'claimed' AND lease <= TIMESTAMP '2024-01-20')) AND coalesce(due <= TIMESTAMP '2024-01-20', true) AND NOT started AND NOT invalidated AS mine, coalesce(state = 'claimed' AND started AND lease <= TIMESTAMP '2024-01-20', false) AS lost FROM e)
+  SELECT event_id, CASE WHEN lost THEN 'unknown' WHEN NOT mine THEN state ELSE CASE event_id % 7 WHEN 0 THEN 'delivered' WHEN 1 THEN 'delivered' WHEN 2 THEN 'suppressed' WHEN 3 THEN 'rejected' WHEN 4 THEN CASE WHEN attempt + 1 < 5 THEN 'pending' ELSE 'dead_letter' END ELSE 'unknown' END END AS state,
+    (attempt + CASE WHEN mine THEN 1 ELSE 0 END)::INT AS attempt, CASE WHEN mine AND event_id % 7 = 4 AND attempt + 1 < 5 THEN TIMESTAMP '2024-01-20' + to_seconds((30 * 2 ** attempt)::INT) ELSE due END AS next_attempt_at, CASE WHEN mine AND event_id % 7 = 4 AND attempt + 1 < 5 THEN false ELSE started OR mine END AS started FROM t""")
+def outbox_round(s, d):
+    """A round over the whole outbox: claimed, begun, delivered in the tasks, and settled."""
+    e = read(s, d, "events")
+    i = F.col("event_id")
+    rows = e.select(
+        "event_id", F.when(i % 3 == 0, "pending").when(i % 3 == 1, "claimed").otherwise("delivered").alias("state"), (i % 5).cast("int").alias("attempt"), F.lit("old:1").alias("token"), F.when(i % 3 == 1, F.expr("ts + INTERVAL 10 DAY")).alias("lease_until"),
+        F.when(i % 2 == 1, F.expr("ts + INTERVAL 5 DAY")).alias("next_attempt_at"), (i % 4 == 0).alias("started"), (i % 11 == 0).alias("invalidated"), F.lit("r").alias("reservation"),
+    )
+    got, _ = delivery.round_(rows, _Host(), F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"), "w")
+    return got.select("event_id", "state", "attempt", "next_attempt_at", "started")

@@ -178,3 +178,24 @@ def rebuild_touched_days(store: str, fold: Callable[[DataFrame], DataFrame], out
         fold(touched).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("local_date").parquet(out)
 
     return run
+
+
+def deliver(store, wake: Callable[[dict, int], str], now: Callable[[], Column], worker: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function: put a batch's new events into the store's outbox, do one delivery round, and publish its outcome.
+
+    A batch that is run again after it was published does nothing. One that died before calls the host again for what it
+    had claimed, with the same attempt.
+    """
+    from ..operators import delivery, outbox
+    from ..store import Change
+
+    def run(batch: DataFrame, number: int) -> None:
+        change = f"{worker}-{number}"
+        if store.applied(change):
+            return
+        at = store.snapshot()
+        held = store.table("outbox", at) if "outbox" in at.tables else batch.limit(0)
+        rows, _ = delivery.round_(outbox.enqueue(held, batch.select(held.columns)), wake, now(), worker)
+        store.publish(change, {"outbox": Change(rows)}, at)
+
+    return run
