@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import store
+from . import ingestion, store
 from .operators import corrections, current, daily, generations, mirrors, refold, retention, rules, ruleset, trends
 
 
@@ -20,10 +20,29 @@ class Engine:
     """
 
     def __init__(self, facts: DataFrame, retractions: DataFrame | None = None, events: DataFrame | None = None, tables: Mapping[str, DataFrame] | None = None):
-        self.all_facts, self.retractions, self.events = facts, retractions, events
+        self.all_facts, self.retractions, self.events, self.store = facts, retractions, events, None
         self.facts = facts if retractions is None else corrections.without_retracted(facts, retractions)
         self.tables = dict(tables or {}) | {"facts": facts} | ({"events": events} if events is not None else {})
 
+    @classmethod
+    def over(cls, store: store.Store, dims: DataFrame, at: store.Snapshot | None = None) -> Engine:
+        """The facade over a snapshot (the newest) of a store that reports are taken into (ingestion.Ingestion)."""
+        at = at or store.snapshot()
+        tables = {name: store.table(name, at) for name in at.tables}
+        facts = tables.pop("facts", None)
+        if facts is None:
+            facts = store.spark.createDataFrame([], ingestion.FACTS)
+        engine = cls(facts, tables.pop("retractions", None), tables.get("outbox"), tables | {"dims": dims})
+        engine.store = store
+        return engine
+
+    def ingest(self, change_id: str, reports: DataFrame, now: Column, definitions: DataFrame | None = None, zones: DataFrame | None = None) -> Engine:
+        """Take reports (subject, received_at, payload) in as one change of the store, and the facade over what it has become."""
+        if self.store is None:
+            raise ValueError("reports are taken into a store: use Engine.over()")
+        ingestion.Ingestion(self.store, self._table("dims"), definitions, zones).run(change_id, reports, now)
+        return Engine.over(self.store, self._table("dims"))
+
     def _of(self, rows: DataFrame, subject, signals=None) -> DataFrame:
         rows = rows.where(F.col("subject") == F.lit(subject))
         return rows if signals is None else rows.where(F.col("signal").isin(*signals))

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import VariantType
 
 # How hosts write that something is off, denied or allowed.
 OFF = ("0", "false", "off", "disabled", "switch_off", "switch-off", "no")
@@ -16,6 +17,7 @@ TRIGGERS = {
     "unlock_after_absence": "returned_after_absence", "arrived_at_anchor": "anchor_changed", "photo_added": "new_photo", "scene_change": None,
     "broadcast_opened": "screen_share_started", "broadcast_closed": "screen_share_ended",
 }
+PHOTO = {"photo_id": 160, "scene": 200, "time_of_day": 80}
 HINTS = ("place_label", "motion_state", "now_playing", "locale", "broadcast_state", "broadcast_active")
 
 
@@ -46,15 +48,31 @@ def arrival(observed: Column, seen: Column) -> Column:
 
 
 def wake_facts(items: DataFrame) -> DataFrame:
-    """Wake items (trigger, wake_id, source, change_digest, origin_refs, presence_hints map) cut to the closed field set; others go."""
+    """Wake items (trigger, wake_id, source, change_digest, origin_refs, presence_hints) cut to the closed field set; others go.
+
+    presence_hints is a map of texts, or of variants, which keep their kinds: truth values, finite numbers and texts are
+    passed on, anything else isn't. A photo's photo_id, scene and time_of_day, where items have them, go with a new photo only.
+    """
     cut = lambda c, most: F.nullif(F.left(F.coalesce(c.cast("string"), F.lit("")), F.lit(most)), F.lit(""))
     rows = items.where(F.col("trigger").isin(*TRIGGERS))
     refs = F.transform(F.slice(F.coalesce("origin_refs", F.array().cast("array<string>")), 1, 10), lambda r: F.left(r, F.lit(200)))
-    hints = F.map_filter(F.transform_values("presence_hints", lambda k, v: F.left(v, F.lit(200))), lambda k, v: k.isin(*HINTS) & v.isNotNull())
+    if isinstance(items.schema["presence_hints"].dataType.valueType, VariantType):
+
+        def passed(v):
+            kind = F.schema_of_variant(v)
+            finite = kind.isin("BIGINT", "BOOLEAN") | kind.startswith("DECIMAL") | (kind.isin("DOUBLE", "FLOAT") & (F.abs(F.try_variant_get(v, "$", "double")) < float("inf")))
+            return F.when(kind == "STRING", F.to_variant_object(F.array(F.left(F.try_variant_get(v, "$", "string"), F.lit(200))))).when(finite, F.to_variant_object(F.array(v)))
+
+        # texts are cut inside a list of one, as only lists and objects are made into variants
+        hints = F.transform_values(F.map_filter("presence_hints", lambda k, v: k.isin(*HINTS)), lambda _, v: F.try_variant_get(passed(v), "$[0]", "variant"))
+        hints = F.map_filter(hints, lambda _, v: v.isNotNull())
+    else:
+        hints = F.map_filter(F.transform_values("presence_hints", lambda k, v: F.left(v, F.lit(200))), lambda k, v: k.isin(*HINTS) & v.isNotNull())
+    photo = {c: F.when(F.col("trigger") == "photo_added", cut(F.col(c), most)).alias(c) for c, most in PHOTO.items() if c in items.columns}
     says = F.create_map(*(F.lit(x) for t, s in TRIGGERS.items() if s for x in (t, s)))
     return rows.select(
-        *(c for c in items.columns if c not in ("trigger", "wake_id", "source", "change_digest", "origin_refs", "presence_hints")), "trigger", F.try_element_at(says, F.col("trigger")).alias("says"),
-        cut(F.col("wake_id"), 160).alias("wake_id"), cut(F.col("source"), 120).alias("source"), cut(F.col("change_digest"), 2000).alias("change_digest"), refs.alias("origin_refs"), hints.alias("presence_hints"),
+        *(c for c in items.columns if c not in ("trigger", "wake_id", "source", "change_digest", "origin_refs", "presence_hints", *PHOTO)), "trigger", F.try_element_at(says, F.col("trigger")).alias("says"),
+        cut(F.col("wake_id"), 160).alias("wake_id"), cut(F.col("source"), 120).alias("source"), cut(F.col("change_digest"), 2000).alias("change_digest"), refs.alias("origin_refs"), hints.alias("presence_hints"), *photo.values(),
     )
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import attribution, corrections, generations, mirrors, outbox, projection, retention, rules, trends
-from ..signals import SIGNALS
 from ..sources.facts import event_facts, read
 from .catalogue import EV, FACTS, GONE, NOW, RETRACTED, ZONES, gone, query, revised, zone
 
@@ -418,21 +417,14 @@ def export_truncated(s, d):
     return retention.drained(tables, ("occurred_at", "observation_id"), 200)[1]
 
 
-def _lookup_sql() -> str:
-    rows = []
-    for x in SIGNALS:
-        if x.fields:
-            kept = x.detail_days if x.aggregate_days is None else x.aggregate_days
-            history = x.storage not in ("current_only", "source_mirror")
-            rows.append(f"('{x.key}', {x.detail_days}, {kept}, {history}, {history and x.detail_days == -1}, {history and kept == -1})")
-    return f"SELECT * FROM (VALUES {', '.join(rows)}) t(signal, detail_days, aggregate_days, stores_history, details_forever, aggregates_forever)"
-
-
-@query(_lookup_sql())
+@query("""SELECT signal, d AS detail_days, a AS aggregate_days, h AS stores_history, h AND d = -1 AS details_forever, h AND a = -1 AS aggregates_forever FROM
+  (SELECT s_name AS signal, CASE WHEN s_suppkey % 3 = 0 THEN -1 ELSE s_suppkey % 90 END AS d, CASE WHEN s_suppkey % 5 = 0 THEN -1 ELSE s_suppkey % 400 END AS a, s_suppkey % 4 IN (1, 2) AS h FROM supplier)""")
 def retention_lookup(s, d):
-    from ..schema import dimensions
-
-    return retention.lookup(dimensions(s, SIGNALS)).drop("storage")
+    """What each signal keeps, of as many declarations as there are suppliers."""
+    n = F.col("s_suppkey")
+    storage = F.element_at(F.array(*map(F.lit, ("current_only", "current_timeline_aggregate", "current_short_timeline", "source_mirror"))), (n % 4 + 1).cast("int"))
+    dims = read(s, d, "supplier").select(F.col("s_name").alias("signal"), storage.alias("storage"), F.when(n % 3 == 0, -1).otherwise(n % 90).cast("int").alias("detail_days"), F.when(n % 5 == 0, -1).otherwise(n % 400).cast("int").alias("aggregate_days"))
+    return retention.lookup(dims).drop("storage")
 
 
 # projections
@@ -471,13 +463,17 @@ def wake_projection(s, d):
     return got.select("observation_id", "trigger", "says", "wake_id", "source", F.size("origin_refs").alias("n_refs"), F.try_element_at("presence_hints", F.lit("locale")).alias("locale"))
 
 
-@query("""SELECT * FROM (VALUES ('health', 'steps', 'steps', 600, true), ('battery', 'level_ratio', 'battery', 300, false), ('nowhere', 'x', NULL, 60, false)) t(report_key, field, storage_signal, ttl_seconds, split_off)""")
+@query("""SELECT report_key, field, CASE WHEN n % 7 = 0 THEN 'split' || n % 3 WHEN n % 2 = 0 THEN report_key END AS storage_signal, min(ttl) AS ttl_seconds, n % 7 = 0 AS split_off FROM
+  (SELECT l_suppkey AS n, 'r' || l_suppkey AS report_key, l_returnflag AS field, l_quantity::INT * 60 AS ttl FROM lineitem) GROUP BY ALL""")
 def field_routes(s, d):
-    from ..schema import dimensions
-
-    reported = s.createDataFrame([("health", "steps", "a", 900), ("health", "steps", "b", 600), ("battery", "level_ratio", "a", 300), ("nowhere", "x", "a", 60)], "report_key string, field string, capability string, ttl_seconds int")
-    splits = s.createDataFrame([("health", "steps", "steps")], "report_key string, field string, split_signal string")
-    return projection.routes(reported, splits, dimensions(s, SIGNALS))
+    """Where the fields of all reported lines are stored: split off, in their own signal, or nowhere."""
+    n = F.col("l_suppkey")
+    key = F.concat(F.lit("r"), n.cast("string")).alias("report_key")
+    lines = read(s, d, "lineitem")
+    reported = lines.select(key, F.col("l_returnflag").alias("field"), F.col("l_orderkey").cast("string").alias("capability"), (F.col("l_quantity").cast("int") * 60).alias("ttl_seconds"))
+    fields = lines.select(n, F.col("l_returnflag").alias("field")).distinct()
+    splits = fields.where("l_suppkey % 7 = 0").select(key, "field", F.concat(F.lit("split"), (n % 3).cast("string")).alias("split_signal"))
+    return projection.routes(reported, splits, fields.where("l_suppkey % 2 = 0").select(key.alias("signal"), "field"))
 
 
 @query(f"SELECT observation_id, CASE WHEN k % 5 = 0 THEN 'unavailable' WHEN k % 3 = 0 THEN 'no_observation' WHEN k % 2 = 0 THEN 'observed_zero' ELSE 'observed' END AS state FROM {EV}")

@@ -104,13 +104,13 @@ def dimensions(spark: SparkSession, signals: Iterable[Signal]) -> DataFrame:
     """A row per field: what plans join to. As large as the declarations are, some hundreds of rows."""
     rows = [
         (s.key, f.key, f.type, f.unit, _real(f.low), _real(f.high), f.nullable, f.aggregation, f.trend, f.visibility, f.privacy, f.max_relative_jump, s.storage, s.identity, s.attribution, s.ttl_seconds,
-         s.detail_days, s.detail_days if s.aggregate_days is None else s.aggregate_days, list(f.enum))
+         s.detail_days, s.detail_days if s.aggregate_days is None else s.aggregate_days, list(f.enum), s.dimensions[0] if s.dimensions else None)
         for s in signals for f in s.fields
     ]
     return spark.createDataFrame(
         rows,
         "signal string, field string, type string, unit string, low double, high double, nullable boolean, aggregation string, trend string, visibility string, privacy string, max_relative_jump double,"
-        "storage string, identity string, attribution string, ttl_seconds int, detail_days int, aggregate_days int, enum array<string>",
+        "storage string, identity string, attribution string, ttl_seconds int, detail_days int, aggregate_days int, enum array<string>, state_field string",
     )
 
 

@@ -333,3 +333,15 @@ def test_spaced_rows_are_those_of_a_loop(spark):
                 want.add(i)
                 last = t
     assert got == want
+
+
+def test_wake_facts_keep_kinds_and_photos(spark):
+    from daymark.operators import projection
+
+    rows = [("photo_added", "p" * 300, "s", "noon", '{"locale":"de","broadcast_active":true,"motion_state":1.5,"secret":1,"now_playing":{"a":1},"place_label":"' + "x" * 300 + '"}'), ("scene_change", "p", "s", "noon", '{"broadcast_state":3}'), ("other", "p", "s", "noon", "{}")]
+    df = spark.createDataFrame(rows, "trigger string, photo_id string, scene string, time_of_day string, hints string")
+    df = df.select("trigger", F.lit("w").alias("wake_id"), F.lit("x").alias("source"), F.lit("c").alias("change_digest"), F.array(F.lit("r")).alias("origin_refs"), F.try_variant_get(F.parse_json("hints"), "$", "map<string,variant>").alias("presence_hints"), "photo_id", "scene", "time_of_day")
+    got = {r.trigger: r for r in projection.wake_facts(df).withColumn("presence_hints", F.transform_values("presence_hints", lambda _, v: F.to_json(v))).collect()}
+    assert set(got) == {"photo_added", "scene_change"}
+    assert got["photo_added"].presence_hints == {"locale": '"de"', "broadcast_active": "true", "motion_state": "1.5", "place_label": '"' + "x" * 200 + '"'}
+    assert (len(got["photo_added"].photo_id), got["photo_added"].time_of_day) == (160, "noon") and got["scene_change"].photo_id is None and got["scene_change"].presence_hints == {"broadcast_state": "3"}
