@@ -39,7 +39,7 @@ def observations(reports: DataFrame, dims: DataFrame, zones: DataFrame | None =
         rows = rows.join(zones.select(F.col("zone").alias("timezone"), F.lit(True).alias("_zone")).distinct(), "timezone", "left")
     strange = F.col("timezone").isNotNull() & F.col("_zone").isNull() if zones is not None else F.lit(False)
     observed = F.col("availability") == "observed"
-    checked = nested.ingested(rows.where(observed).select("_key", "signal", "value_raw"), dims, "value_raw", "_key").select("_key", F.col("problems").alias("_payload"), F.col("value").alias("_value"), F.col("digest").alias("_digest"))
+    checked = nested.ingested(rows.where(observed).select("_key", "signal", "value_raw"), dims, "value_raw").select("_key", F.col("problems").alias("_payload"), F.col("value").alias("_value"), F.col("digest").alias("_digest"))
     rows = rows.join(checked, "_key", "left")
     ahead = F.timestamp_diff("SECOND", F.col("received_at"), F.col("occurred_at")) > ingest.FUTURE_SECONDS
     say = lambda bad, text: F.when(F.coalesce(bad, F.lit(False)), F.lit(text))

@@ -27,30 +27,29 @@ def overflows(text: Column) -> Column:
     return F.exists(F.regexp_extract_all(bare, F.lit(f"({_NUMBER})"), F.lit(1)), lambda x: F.abs(x.try_cast("double")) == float("inf"))
 
 
-def bad_numbers(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """key and `places`: where in a variant numbers that aren't finite stand, as paths like a.b[2]; rows without any are left out.
+def with_bad_numbers(rows: DataFrame, value: str, asked: Column, name: str = "places") -> DataFrame:
+    """rows with an array of the places in a variant at which numbers that aren't finite stand, as paths like a.b[2].
 
-    Containers are opened level by level in one plan, without looking at the data. For rows that overflows() has named,
-    which are few, this costs little; any others may be asked as well.
+    Containers are opened level by level inside their row, for rows that are `asked` only; numbers deeper than DEPTH are
+    told by their container.
     """
-    level = rows.select(key, F.lit("").alias("path"), F.col(value).alias("v"))
-    found = None
+    part = "array<struct<path:string,v:variant>>"
+    empty = F.array().cast(part)
+    out = rows.withColumns({"_level": F.when(asked, F.array(F.struct(F.lit("").alias("path"), F.col(value).alias("v")))).otherwise(empty), name: F.array().cast("array<string>")})
+
+    def opened(e):
+        kind, at = F.schema_of_variant(e["v"]), e["path"]
+        keyed = F.transform(F.map_entries(F.try_variant_get(e["v"], "$", "map<string,variant>")), lambda x: F.struct(F.concat(F.when(at == "", "").otherwise(F.concat(at, F.lit("."))), x["key"]).alias("path"), x["value"].alias("v")))
+        listed = F.transform(F.try_variant_get(e["v"], "$", "array<variant>"), lambda x, i: F.struct(F.concat(at, F.lit("["), i.cast("string"), F.lit("]")).alias("path"), x.alias("v")))
+        return F.when(kind.startswith("OBJECT"), keyed).when(kind.startswith("ARRAY"), listed).otherwise(empty)
+
+    leaf = lambda e: F.coalesce((F.schema_of_variant(e["v"]) == "DOUBLE") & (F.abs(F.try_variant_get(e["v"], "$", "double")) == float("inf")), F.lit(False))
     for depth in range(DEPTH + 1):
-        kind = F.schema_of_variant("v")
-        inner = kind.rlike("^(OBJECT|ARRAY)")
-        leaf = (kind == "DOUBLE") & (F.abs(F.try_variant_get("v", "$", "double")) == float("inf"))
-        bad = level.where(F.coalesce(leaf, F.lit(False))).select(key, "path")
-        found = bad if found is None else found.unionByName(bad)
-        if depth == DEPTH:
-            deep = level.where(inner & overflows(F.to_json("v"))).select(key, "path")
-            found = found.unionByName(deep)
-            break
-        opened = level.where(inner)
-        keyed = F.transform(F.map_entries(F.try_variant_get("v", "$", "map<string,variant>")), lambda e: F.struct(F.concat(F.when(F.col("path") == "", "").otherwise(F.concat("path", F.lit("."))), e["key"]).alias("path"), e["value"].alias("v")))
-        listed = F.transform(F.try_variant_get("v", "$", "array<variant>"), lambda x, i: F.struct(F.concat("path", F.lit("["), i.cast("string"), F.lit("]")).alias("path"), x.alias("v")))
-        parts = F.when(F.schema_of_variant("v").startswith("OBJECT"), keyed).otherwise(listed)
-        level = opened.select(key, F.explode(parts).alias("e")).select(key, "e.path", "e.v")
-    return found.groupBy(key).agg(F.array_sort(F.collect_list("path")).alias("places"))
+        bad = leaf if depth < DEPTH else lambda e: leaf(e) | F.coalesce(overflows(F.to_json(e["v"])), F.lit(False))
+        out = out.withColumn(name, F.concat(name, F.transform(F.filter("_level", bad), lambda e: e["path"])))
+        if depth < DEPTH:
+            out = out.withColumn("_level", F.flatten(F.transform("_level", opened)))
+    return out.withColumn(name, F.array_sort(name)).drop("_level")
 
 
 def _kind_fits(value: Column, kind: Column) -> Column:
@@ -63,7 +62,7 @@ def _kind_fits(value: Column, kind: Column) -> Column:
     )
 
 
-def ingested(raw: DataFrame, dims: DataFrame, payload: str = "payload", key: str = "observation_id") -> DataFrame:
+def ingested(raw: DataFrame, dims: DataFrame, payload: str = "payload") -> DataFrame:
     """raw (signal, payload: JSON text) with problems, `value` (variant), dropped (names), canonical and digest.
 
     dims: signal, field, type, low, high, nullable, privacy, enum. A payload must be an object of finite numbers, to its
@@ -76,8 +75,7 @@ def ingested(raw: DataFrame, dims: DataFrame, payload: str = "payload", key: str
     rows = raw.join(declared, "signal", "left").withColumn("_v", F.try_parse_json(payload))
     is_object = F.coalesce(F.schema_of_variant("_v").startswith("OBJECT"), F.lit(False))
     rows = rows.withColumns({"_object": is_object, "_bad": F.coalesce(overflows(F.col(payload)), F.lit(False)), "_m": F.when(is_object, F.try_variant_get("_v", "$", "map<string,variant>"))})
-    places = bad_numbers(rows.where("_bad AND _object"), key, "_v")
-    rows = rows.join(places, key, "left")
+    rows = with_bad_numbers(rows, "_v", F.col("_bad") & F.col("_object"))
 
     def wrong(f):
         x = F.try_element_at(F.col("_m"), f["field"])
@@ -89,7 +87,7 @@ def ingested(raw: DataFrame, dims: DataFrame, payload: str = "payload", key: str
         )
         return F.when(reason.isNotNull(), F.concat(f["field"], F.lit(": "), reason))
 
-    numbers = F.transform(F.coalesce("places", F.array().cast("array<string>")), lambda p: F.concat(p, F.lit(": invalid_numeric_value")))
+    numbers = F.transform("places", lambda p: F.concat(p, F.lit(": invalid_numeric_value")))
     checks = F.array_compact(F.transform("_fields", wrong))
     problems = (
         F.when(F.col("_fields").isNull(), F.array(F.lit("signal: not declared"))).when(~F.col("_object"), F.array(F.lit("payload: no object")))

@@ -100,14 +100,20 @@ def parsed(stored: DataFrame, dims: DataFrame | None = None, body: str = "body")
     return rows.join(dims.select("signal", "field", "unit", "aggregation"), ["signal", "field"], "left")
 
 
-def _views(definitions: DataFrame, keys: list[str]) -> DataFrame:
-    """Per signal (and subject): its views, each with the definitions that share it."""
-    shared = ["field", "scope", "preconditions"]
-    text = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("preconditions"))))
-    rows = definitions.withColumn("_text", text)  # maps are no grouping keys
-    by = rows.groupBy(*keys, "field", "scope", "_text").agg(F.first("preconditions").alias("preconditions"), F.array_sort(F.collect_list(F.struct(*_DEFINITION))).alias("definitions"))
-    view = F.concat_ws("|", F.coalesce("field", F.lit("")), "scope", "_text")
-    return by.withColumn("view", view).groupBy(*keys).agg(F.collect_list(F.struct("view", *shared, "definitions")).alias("views"))
+#: Definitions up to which the table of them is sent to every task.
+FEW = 10_000
+
+
+def _views(definitions: DataFrame) -> DataFrame:
+    """Definitions with `view`: the same for those of a signal and subject that share field, scope and precondition."""
+    text = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("preconditions"))))  # maps are no grouping keys
+    return definitions.withColumn("view", F.concat_ws("|", "signal", F.coalesce("for_subject", F.lit("")), F.coalesce("field", F.lit("")), "scope", text))
+
+
+def _seen_by(views: DataFrame, keys: list[str]) -> DataFrame:
+    """Per signal (and subject): what its views ask of a fact. The definitions stay behind: they meet the facts after the sort."""
+    by = views.groupBy(*keys, "view", "field", "scope").agg(F.first("preconditions").alias("preconditions"))
+    return by.groupBy(*keys).agg(F.collect_list(F.struct("view", "field", "scope", "preconditions")).alias("views"))
 
 
 def holds(d: Column, value: Column, before: Column) -> Column:
@@ -133,8 +139,12 @@ def passed(facts: DataFrame, definitions: DataFrame) -> DataFrame:
     """
     usable = definitions.where((F.size("problems") == 0) & F.col("enabled"))
     usable = usable.withColumn("scope", F.when(F.col("condition") == "streak", "local_day").otherwise(F.col("scope")))  # runs are made of days
-    everyone = _views(usable.where("for_subject IS NULL"), ["signal"]).withColumnRenamed("views", "_all")
-    own = _views(usable.where("for_subject IS NOT NULL").withColumn("subject", F.col("for_subject").cast(facts.schema["subject"].dataType)), ["subject", "signal"]).withColumnRenamed("views", "_own")
+    views = _views(usable)
+    everyone = _seen_by(views.where("for_subject IS NULL"), ["signal"]).withColumnRenamed("views", "_all")
+    own = _seen_by(views.where("for_subject IS NOT NULL").withColumn("subject", F.col("for_subject").cast(facts.schema["subject"].dataType)), ["subject", "signal"]).withColumnRenamed("views", "_own")
+    asking = views.groupBy("view").agg(F.array_sort(F.collect_list(F.struct(*_DEFINITION))).alias("definitions"))
+    if usable.limit(FEW + 1).count() <= FEW:
+        asking = F.broadcast(asking)
     rows = facts.select(*FACT_COLUMNS).join(everyone, "signal", "left").join(own, ["subject", "signal"], "left")
     both = F.concat(F.coalesce("_all", F.array().cast(everyone.schema["_all"].dataType)), F.coalesce("_own", F.array().cast(own.schema["_own"].dataType)))
     rows = rows.withColumn("_v", F.explode(both)).select(*FACT_COLUMNS, "_v.*")
@@ -152,6 +162,7 @@ def passed(facts: DataFrame, definitions: DataFrame) -> DataFrame:
         "before": F.lag("now").over(order), "first": F.row_number().over(order) == 1, "last": F.last("now").over(whole), "last_at": F.last("occurred_at").over(whole),
         "total": F.sum(number(F.col("now.value"))).over(day), "n": F.count(number(F.col("now.value"))).over(day),
     })
+    rows = rows.join(asking, "view")
     fires = lambda before: F.filter("definitions", lambda d: holds(d, F.col("now.value"), before))
     rows = rows.withColumn("fired", fires(F.col("before.value"))).where(F.col("first") | (F.size("fired") > 0))
     # a day's first fact comes behind the last one of the day before; other rows have no need of that, and stay spread
@@ -264,4 +275,5 @@ def evaluate(facts: DataFrame, definitions: DataFrame, through: Column, now: Col
     through: the day with which streaks end; now: the time of the evaluation. A fact that is late changes what follows
     it in time, as facts are taken by (occurred_at, observation_id).
     """
-    return Evaluation(keep(passed(facts, definitions)), through, now)
+    # the definitions are read several times, and made by a long plan
+    return Evaluation(keep(passed(facts, keep(definitions))), through, now)
