@@ -1,4 +1,5 @@
 import os
+import time
 
 os.environ.setdefault("OMP_NUM_THREADS", "1")
 
@@ -15,3 +16,21 @@ def spark(tmp_path_factory):
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
+
+
+@pytest.fixture
+def drained():
+    """Stops a query when its batch with the n new rows is done: one with state that expires by the clock makes batches without end."""
+
+    def wait(query, n, seconds=90):
+        until = time.time() + seconds
+        while query.isActive and time.time() < until:
+            done = [p["numInputRows"] for p in query.recentProgress]
+            if sum(done) >= n and done[-1] == 0:
+                query.stop()
+            time.sleep(0.1)
+        if query.exception():
+            raise query.exception()
+        assert not query.isActive
+
+    return wait

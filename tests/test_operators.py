@@ -169,7 +169,7 @@ def test_pages_retention_and_subjects(spark):
     assert [r.may_activate for r in retention.activatable(gen).orderBy(F.size("accounted")).collect()] == [False, True]
 
 
-def test_streaming_rule_equals_the_batch_rule(spark, tmp_path):
+def test_streaming_rule_equals_the_batch_rule(spark, tmp_path, drained):
     from daymark.streaming import live
 
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -177,8 +177,6 @@ def test_streaming_rule_equals_the_batch_rule(spark, tmp_path):
     df.write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in").withColumn("occurred_at", F.col("occurred_at").cast("timestamp"))
     q = live.threshold_hits(stream, 5.0).writeStream.format("memory").queryName("live_hits").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
-    from test_live import drained
-
     drained(q, df.count())
     got = sorted(r.observation_id for r in spark.table("live_hits").collect())
     want = sorted(r.observation_id for r in rules.hits(df, rules.Definition("r", "m", "threshold_crossing", 5.0, fire="every")).collect())
