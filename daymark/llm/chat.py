@@ -99,7 +99,7 @@ def tree(conversations: DataFrame, tokenizer: str, conv_id: str = "conv_id", tur
     members: conv_id, idx, key.
     Turns go by turn, then role and text; null turns come first, null roles and texts are empty, repeated rows are
     turns of their own, and a null conv_id is one conversation. An empty table gives empty ones. A conversation's
-    keys (32 characters a turn) meet in one row; its texts don't.
+    keys (32 characters a turn) meet in one row; its texts don't, so a conversation of a million turns is a row of 32 MB.
     """
     rows = conversations.select(*(F.col(f"`{c}`").alias(n) for c, n in ((conv_id, "conv_id"), (turn, "turn"), (role, "role"), (text, "text"))))
     rows = rows.withColumns({"role": F.col("role").cast("string"), "text": F.col("text").cast("string")})

@@ -172,6 +172,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     component_id is the smallest doc_id of the near-duplicate group (null for a group of null ids alone); one document of a
     group is kept, that with this id. Null texts count as empty; texts without words are equal to each other only if
     the same. Of a doc_id that occurs with several texts, that of the smallest hash is kept; repeated rows share their verdict.
+    Texts of any length are described whole; an empty table gives no rows; other columns are left out, so none can clash.
     """
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("t1", F.xxhash64("text")).withColumn("t2", F.xxhash64(F.lit(77), "text"))

@@ -168,6 +168,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, rounds: int = 3, doc_id: str
     """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, certified (as in pack()).
 
     Null and empty texts are the end id alone; an empty table gives no rows; repeated rows and null ids are packed
-    each for itself; other columns are left aside.
+    each for itself; other columns are left aside. Of pieces of one length any may come first: which sequence a piece lies
+    in isn't defined, only how full sequences are.
     """
     return pack(tokenize(docs, tokenizer, doc_id, text, capacity), rounds, capacity)

@@ -428,7 +428,7 @@ def scan_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mode
     """A row per document: doc_id, spans array<struct<kind, start, end, base>>, code points, end exclusive.
 
     Null and empty texts have none; whole texts of any length are searched; repeated rows and null ids each give
-    their own row. The model (about 10,000 numbers) goes with the task.
+    their own row. An empty table gives no rows. The model (about 10,000 numbers) goes with the task.
     """
     model = model or trained()
 
@@ -440,7 +440,7 @@ def scan_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mode
 
 
 def find(docs: DataFrame, model: Tagger | None = None) -> DataFrame:
-    """The query's columns. Counts and the digest are of the base spans; `spans` has those that the model adds as well."""
+    """The query's columns, a row per document; an empty table gives none. Counts and the digest are of the base spans; `spans` has those that the model adds as well."""
     return digest(scan_spans(docs, model=model), KINDS, KINDS)
 
 

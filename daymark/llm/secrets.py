@@ -57,7 +57,7 @@ def scan_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rule
     """A row per document: doc_id, spans array<struct<kind, start, end, base>> in code points, end exclusive.
 
     Null and empty texts have no spans; repeated rows and null ids each give their own row. The automaton is built
-    once here and sent with the task; a text is scanned whole, at any length.
+    once here and sent with the task; a text is scanned whole, at any length. An empty table gives no rows.
     """
     scanner = Scanner(rules)
     kinds = [(r.kind, r.base) for r in rules]

@@ -239,7 +239,7 @@ def score(docs: DataFrame, model: Classifier, doc_id: str = "doc_id", text: str
     """A row per document: doc_id, held_out, score, predicted (cut 0.5), flagged (by the language's own cut).
 
     Null and empty texts are scored like texts without words; repeated rows and null ids give their own rows
-    (held_out is false for a null id). Scores come from the text alone.
+    (held_out is false for a null id). Scores come from the text alone, whole at any length. An empty table gives no rows.
     """
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"))
     out = _scored(rows, model, "text", False)

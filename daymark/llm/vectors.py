@@ -200,7 +200,8 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing and are kept, as are
     vectors of different lengths towards each other. Repeated rows count as links of each other; a null vec_id
-    makes component_id the smallest other id of its group, null where there is none. An empty table gives no rows.
+    makes component_id the smallest other id of its group, null where there is none. An empty table gives no rows. Other
+    columns are left out, so none can clash.
     """
     rows = vectors.select(F.col(f"`{vec_id}`").alias("vec_id"), F.col(f"`{embedding}`").alias("vec"))
     fine = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)

@@ -325,3 +325,19 @@ def test_pipeline_runs_its_stages(spark, tmp_path):
     assert not {900, 901, 902} & set(left) and sum(i % 5 == 0 for i in left) <= 3 and len(left) > 145
     assert "[EMAIL]" in left[7].text and "@" not in left[7].text and left[7].n_chars == len(left[7].text)
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(left)
+
+
+def test_pipeline_on_empty_tables_and_clashing_names(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(i, prose(rng, 80), "en", "a", 0, "x", 1.5) for i in range(30)] + [(5, None, None, None, None, None, None), (6, "", "en", "a", 0, "", 0.0)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string, _tox_score double"
+    docs, labels = spark.createDataFrame(rows, schema), spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for name, table in (("empty", docs.limit(0)), ("odd", docs)):
+        table.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").collect() == []
+    left = spark.read.parquet(f"{tmp_path}/odd/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, left, f"{tmp_path}/odd")
+        assert left.columns == docs.columns
+    assert sorted(r.doc_id for r in left.collect()) == list(range(30))
