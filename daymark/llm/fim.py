@@ -8,6 +8,7 @@ bound prefix, middle and suffix. The draws are digits of a digest of the documen
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from functools import cache
 
 import numpy as np
@@ -27,38 +28,60 @@ _OTHER = re.compile("[^A-Za-z]")
 
 
 @cache
-def _splitter():
-    from tokenizers import Regex
+def _encode():
+    """The pre-tokenizer behind an empty vocabulary: of an encoding only offsets are used, and only those asked for become Python's."""
+    from tokenizers import Regex, Tokenizer, models
     from tokenizers.pre_tokenizers import Split
 
-    return Split(Regex(TOKEN), "isolated")
+    bare = Tokenizer(models.WordLevel({"any": 0}, unk_token="any"))
+    bare.pre_tokenizer = Split(Regex(TOKEN), "isolated")
+    return lambda text: bare.encode(text, add_special_tokens=False)
 
 
-def token_ends(text: str) -> np.ndarray:
-    """Code-point offset at which each token ends, rising; empty for an empty text.
+def _windows(text: str):
+    """(begin, end) of pieces of a text that are pre-tokenized by themselves.
 
     A text longer than WINDOW is cut behind a character that is no letter, where a token ends whatever follows; a run
     of letters longer than that stays whole.
     """
-    split, parts, at = _splitter().pre_tokenize_str, [], 0
+    at = 0
     while at < len(text):
         to = at + WINDOW
         if to < len(text):
             back = next((i for i in range(to, at, -1) if _OTHER.match(text[i - 1])), None)
             ahead = None if back else _OTHER.search(text, to)
             to = back or (ahead.end() if ahead else len(text))
-        found = split(text[at:to])
-        parts.append(np.fromiter((end for _, (_, end) in found), np.int64, len(found)) + at)
+        yield at, min(to, len(text))
         at = to
+
+
+def token_ends(text: str) -> np.ndarray:
+    """Code-point offset at which each token ends, rising; empty for an empty text."""
+    parts = [np.array([end for _, end in _encode()(text[a:b]).offsets], np.int64) + a for a, b in _windows(text)]
     return np.concatenate(parts) if parts else np.empty(0, np.int64)
 
 
 def _cut(text: str, a: int, b: int) -> tuple[int, int, int]:
-    """(n, code points before the middle, code points before the suffix) for the drawn numbers a and b."""
-    ends = token_ends(text)
-    n = len(ends)
+    """(n, code points before the middle, code points before the suffix) for the drawn numbers a and b.
+
+    Of a text of several windows only their numbers of tokens are kept, and the windows of the two places are asked again.
+    """
+    spans, upto, last = [], [0], None
+    for span in _windows(text):
+        last = _encode()(text[span[0] : span[1]])
+        spans.append(span)
+        upto.append(upto[-1] + len(last))
+    n = upto[-1]
+
+    def end(rank: int) -> int:
+        if rank == 0:
+            return 0
+        k = bisect_left(upto, rank) - 1
+        held = last if k == len(spans) - 1 else _encode()(text[spans[k][0] : spans[k][1]])
+        return spans[k][0] + held.token_to_chars(rank - upto[k] - 1)[1]
+
     lo, hi = sorted((a % (n + 1), b % (n + 1)))
-    return n, int(ends[lo - 1]) if lo else 0, int(ends[hi - 1]) if hi else 0
+    return n, end(lo), end(hi)
 
 
 def draws(doc_id: Column, salt: str) -> list[Column]:
