@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all documents that its predecessor kept; all but the last return
 documents with the columns they came with.
+
+Null and empty texts fail the base quality rules and go, if the first stage hasn't dropped them; repeated rows share a
+verdict, and near-duplicates keep one of them; empty documents give an empty table, and without labels nothing is toxic.
+Columns of any other names stay as they are, also such as stages use themselves.
 """
 
 from __future__ import annotations
