@@ -72,7 +72,8 @@ def ingested(raw: DataFrame, dims: DataFrame, payload: str = "payload") -> DataF
     that isn't declared is one problem. Keys given twice in an object make a payload malformed.
     """
     declared = dims.groupBy("signal").agg(F.collect_list(F.struct("field", "type", "low", "high", "nullable", "privacy", "enum")).alias("_fields"))
-    rows = raw.join(declared, "signal", "left").withColumn("_v", F.try_parse_json(payload))
+    # a signal holds very many rows: they stay where they are, and the declarations, which people write, come to them
+    rows = raw.join(F.broadcast(declared), "signal", "left").withColumn("_v", F.try_parse_json(payload))
     is_object = F.coalesce(F.schema_of_variant("_v").startswith("OBJECT"), F.lit(False))
     rows = rows.withColumns({"_object": is_object, "_bad": F.coalesce(overflows(F.col(payload)), F.lit(False)), "_m": F.when(is_object, F.try_variant_get("_v", "$", "map<string,variant>"))})
     rows = with_bad_numbers(rows, "_v", F.col("_bad") & F.col("_object"))

@@ -8,8 +8,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from daymark.operators import counters, decisions, ruleset
-from daymark.plans import catalogue, together
+from daymark.operators import counters, decisions, nested, ruleset
+from daymark.plans import catalogue, shown, together
 
 SF = "/root/testdata/sf0.001"
 
@@ -357,3 +357,10 @@ def test_first_clicks_of_a_subject_are_of_another_version_too(spark, tmp_path):
         cur = con.execute(catalogue.ORACLE_SQL[name])
         names = [c[0] for c in cur.description]
         assert sorted(map(repr, map(tuple, catalogue.QUERIES[name](spark, str(tmp_path)).select(names).collect()))) == sorted(map(repr, cur.fetchall()))
+
+
+def test_payloads_are_checked_where_they_are(spark):
+    raw, dims = shown.nested_rows(spark, SF), spark.createDataFrame(shown.DECLARED, shown.FIELDS)
+    plan = nested.ingested(raw, dims)._jdf.queryExecution().executedPlan().toString()
+    # four of five payloads are of one signal: dealt by it they would be checked by one task
+    assert "BroadcastHashJoin [signal" in plan and "SortMergeJoin" not in plan
