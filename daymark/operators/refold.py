@@ -1,7 +1,7 @@
 """Daily aggregates folded anew from details: every (signal, field) by its declared strategy, in one plan.
 
 Facts are taken in their canonical revisions, without retracted and unobserved ones. Fields become rows, joined to the
-declarations; one sort within a field's day serves the folds that need order, a first aggregation folds each bucket of a
+declarations, which are sent to every task, as a signal may hold most of the facts; one sort within a field's day serves the folds that need order, a first aggregation folds each bucket of a
 day (a state, an event, or the whole) and a second one makes the day's document.
 """
 
@@ -23,7 +23,7 @@ DOCUMENT = ("min_value", "max_value", "sum_value", "n", "total", "main_value", "
 
 def _declared(dims: DataFrame) -> DataFrame:
     """Signals with their identity: a row each."""
-    return dims.select("signal", "identity").distinct()
+    return F.broadcast(dims.select("signal", "identity").distinct())
 
 
 def details(facts: DataFrame, dims: DataFrame, retractions: DataFrame | None = None) -> DataFrame:
@@ -62,7 +62,7 @@ def documents(facts: DataFrame, dims: DataFrame, retractions: DataFrame | None =
     total is the last value in time; sums are rounded to 3 places and minutes to 2.
     """
     fields = dims.where("aggregation <> 'none'").select("signal", "field", F.col("aggregation").alias("strategy"), "state_field")
-    rows = details(facts, dims, retractions).join(fields, "signal").where(F.map_contains_key("fields", F.col("field")))
+    rows = details(facts, dims, retractions).join(F.broadcast(fields), "signal").where(F.map_contains_key("fields", F.col("field")))
     value = F.element_at("fields", F.col("field"))
     rows = rows.select(*DAY, "field", "strategy", "occurred_at", "observation_id", value.alias("text"), number(value).alias("x"), F.when(F.col("state_field").isNotNull(), F.element_at("fields", F.col("state_field"))).alias("state"))
     order = Window.partitionBy(*DAY, "field").orderBy("occurred_at", "observation_id")

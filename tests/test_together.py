@@ -3,12 +3,13 @@
 import datetime as dt
 import json
 import random
+import re
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from daymark.operators import counters, decisions, nested, ruleset
+from daymark.operators import counters, decisions, nested, refold, ruleset
 from daymark.plans import catalogue, shown, together
 
 SF = "/root/testdata/sf0.001"
@@ -359,6 +360,15 @@ def test_first_clicks_of_a_subject_are_of_another_version_too(spark, tmp_path):
         assert sorted(map(repr, map(tuple, catalogue.QUERIES[name](spark, str(tmp_path)).select(names).collect()))) == sorted(map(repr, cur.fetchall()))
 
 
+def test_rebuilds_deal_no_facts_by_their_signal(spark):
+    # a few signals hold all facts, so that a few tasks would sort them
+    facts, dims, gone = together.detailed(spark, SF), together.declarations(spark), together.gone(spark, SF)
+    for df in (refold.documents(facts, dims, gone), refold.coverage(facts, dims, gone)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"SortMergeJoin \[signal#\d+\], ", plan) and not re.search(r"SortMergeJoin \[signal#\d+, field#\d+\], ", plan)
+        assert "BroadcastHashJoin [signal" in plan
+
+
 def test_payloads_are_checked_where_they_are(spark):
     raw, dims = shown.nested_rows(spark, SF), spark.createDataFrame(shown.DECLARED, shown.FIELDS)
     plan = nested.ingested(raw, dims)._jdf.queryExecution().executedPlan().toString()
