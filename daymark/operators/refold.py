@@ -119,7 +119,7 @@ def generation(facts: DataFrame, dims: DataFrame, scopes: DataFrame, today: Colu
     A generation with such days is incomplete, all others are complete and may be activated.
     """
     kept = dims.select("signal", "detail_days", "storage").distinct()
-    ranges = scopes.join(kept, "signal", "left").withColumn("local_date", F.explode(generations.days(F.col("start"), F.col("end"))))
+    ranges = scopes.join(F.broadcast(kept), "signal", "left").withColumn("local_date", F.explode(generations.days(F.col("start"), F.col("end"))))
     stores = F.coalesce(F.col("storage").isin("current_timeline_aggregate", "current_short_timeline"), F.lit(False))
     expired = ~stores | ((F.col("detail_days") != PERMANENT) & (F.col("local_date") < F.date_sub(today, F.col("detail_days"))))
     ranges = ranges.withColumn("expired", expired)
