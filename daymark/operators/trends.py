@@ -131,7 +131,7 @@ def with_coverage(rows: DataFrame, dims: DataFrame, start: Column, end: Column)
         F.count_if(complete).alias("days_with_data"), F.count_if(~complete).alias("days_incomplete"), F.array_sort(F.collect_list(F.when(complete, F.struct(F.col("local_date").alias("d"), F.col("value").alias("v"))))).alias("all"),
     )
     covered = covered.withColumn("days_missing", F.greatest(F.lit(0), span - F.col("days_with_data") - F.col("days_incomplete")).cast("long"))
-    known = covered.join(dims.select("signal", "field", "unit", "trend", "visibility"), ["signal", "field"], "left")
+    known = covered.join(F.broadcast(dims.select("signal", "field", "unit", "trend", "visibility")), ["signal", "field"], "left")
     reason = (
         F.when(F.col("trend").isNull(), "not_declared").when(F.col("visibility") == "never", "not_visible").when(F.col("days_with_data") == 0, "no_data").when(F.col("trend") == "none", "no_model")
     )

@@ -363,7 +363,7 @@ def test_first_clicks_of_a_subject_are_of_another_version_too(spark, tmp_path):
 def test_rebuilds_deal_no_facts_by_their_signal(spark):
     # a few signals hold all facts, so that a few tasks would sort them
     facts, dims, gone = together.detailed(spark, SF), together.declarations(spark), together.gone(spark, SF)
-    for df in (refold.documents(facts, dims, gone), refold.coverage(facts, dims, gone), catalogue.QUERIES["generation_refold"](spark, SF)):
+    for df in (refold.documents(facts, dims, gone), refold.coverage(facts, dims, gone), catalogue.QUERIES["generation_refold"](spark, SF), catalogue.QUERIES["trend_by_field"](spark, SF)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not re.search(r"SortMergeJoin \[signal#\d+\], ", plan) and not re.search(r"SortMergeJoin \[signal#\d+, field#\d+\], ", plan)
         assert "BroadcastHashJoin [signal" in plan
