@@ -10,7 +10,7 @@ aggregations of what the pass has left.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -165,9 +165,11 @@ def passed(facts: DataFrame, definitions: DataFrame) -> DataFrame:
     rows = rows.join(asking, "view")
     fires = lambda before: F.filter("definitions", lambda d: holds(d, F.col("now.value"), before))
     rows = rows.withColumn("fired", fires(F.col("before.value"))).where(F.col("first") | (F.size("fired") > 0))
+    # definitions stay behind once more; what a day's first fact fires is known only behind the second sort
+    rows = rows.withColumn("fired", F.when(~F.col("first"), F.col("fired"))).drop("definitions")
     # a day's first fact comes behind the last one of the day before; other rows have no need of that, and stay spread
     chain = Window.partitionBy(*keys, F.when(~F.col("first"), F.col("day")), F.when(~F.col("first"), F.col("observation_id"))).orderBy("day")
-    rows = rows.withColumn("before", F.when(F.col("first"), F.lag("last").over(chain)).otherwise(F.col("before")))
+    rows = rows.withColumn("before", F.when(F.col("first"), F.lag("last").over(chain)).otherwise(F.col("before"))).join(asking, "view")
     return rows.withColumn("fired", F.when(F.col("first"), fires(F.col("before.value"))).otherwise(F.col("fired"))).withColumn("definitions", F.when(F.col("first"), F.col("definitions")))
 
 
@@ -179,8 +181,12 @@ def scope_of(key: Column, version: Column) -> Column:
     return F.concat(key, F.lit("@v"), version.cast("string"))
 
 
-def hits(marks: DataFrame) -> DataFrame:
-    """Facts at which definitions fire under their lifecycles, a row per fact and definition.
+#: What a hit's lifecycle is told by.
+_LIFE = ("condition", "fire", "rearm", "cooldown_seconds", "occurred_at", "observation_id")
+
+
+def hits(marks: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Facts at which definitions fire under their lifecycles, a row per fact and definition; of further `columns` only those given (None: all) are carried through sorts.
 
     Once a scope is one aggregation, combined before the shuffle. An occurrence counts once for each of its keys, and not
     without one. Only hits of definitions with a cooldown pass through an ordered fold.
@@ -189,6 +195,8 @@ def hits(marks: DataFrame) -> DataFrame:
     rows = rows.select("subject", "signal", "field", "scope_key", "occurred_at", "observation_id", "before", "now", "d.*").withColumn("scope", scope_of(F.col("scope_key"), F.col("version")))
     seen = F.when(F.col("condition") == "occurrence", F.coalesce(F.when(F.col("dedupe_key") == "source_event_id", F.coalesce(F.col("now.source_event_id").cast("string"), F.col("observation_id").cast("string"))), F.col("now.value")))
     rows = rows.withColumn("seen", seen).where((F.col("condition") != "occurrence") | F.col("seen").isNotNull())
+    if columns is not None:
+        rows = rows.select(*dict.fromkeys((*_SCOPE, "seen", *_LIFE, *columns)))
     rest = [c for c in rows.columns if c not in (*_SCOPE, "seen")]
     earliest = lambda df, keys: df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct("occurred_at", "observation_id")).alias("x")).select(*keys, "x.*")
     occurrences = earliest(rows.where("condition = 'occurrence'"), [*_SCOPE, "seen"]).drop("seen")
@@ -239,7 +247,7 @@ class Evaluation:
 
     def events(self) -> DataFrame:
         """All events: a stable id each, with the facts they hang on; clocked ones have the day in place of a fact."""
-        hit = hits(self.marks)
+        hit = hits(self.marks, ("event_type", "signal", "field", "unit", "before", "now", "wake_enabled"))
         trigger = F.when(F.col("condition") == "occurrence", F.coalesce(F.col("now.source_event_id").cast("string"), F.col("observation_id").cast("string"))).otherwise(F.col("observation_id").cast("string"))
         ref = lambda c: F.struct("signal", f"{c}.source", f"{c}.source_event_id", f"{c}.observation_id")
         needs = F.when((F.col("condition") == "occurrence") | F.col("before").isNull(), F.array(ref("now"))).otherwise(F.array(ref("before"), ref("now")))
@@ -265,7 +273,7 @@ class Evaluation:
         rows = self.marks.where("first").withColumn("d", F.explode("definitions")).where(~F.col("d.condition").isin(*CLOCKED))
         rows = rows.select("subject", "d.definition_id", "d.version", scope_of(F.col("scope_key"), F.col("d.version")).alias("scope"), "last", "last_at")
         last = rows.groupBy(*_SCOPE).agg(F.max_by("last", F.struct("last_at", "last.observation_id")).alias("last"))
-        fired = hits(self.marks).groupBy(*_SCOPE).agg(F.count("*").alias("fired"), F.max("occurred_at").alias("last_fired_at"))
+        fired = hits(self.marks, ()).groupBy(*_SCOPE).agg(F.count("*").alias("fired"), F.max("occurred_at").alias("last_fired_at"))
         return last.join(fired, list(_SCOPE), "left").select(*_SCOPE, F.col("last.value").alias("previous"), F.coalesce("fired", F.lit(0)).alias("fired"), "last_fired_at")
 
 

@@ -374,3 +374,13 @@ def test_payloads_are_checked_where_they_are(spark):
     plan = nested.ingested(raw, dims)._jdf.queryExecution().executedPlan().toString()
     # four of five payloads are of one signal: dealt by it they would be checked by one task
     assert "BroadcastHashJoin [signal" in plan and "SortMergeJoin" not in plan
+
+
+def test_the_rule_pass_carries_no_definitions_through_its_second_sort(spark):
+    definitions = ruleset.parsed(together.stored_definitions(spark, SF)).where("problems IS NOT NULL").localCheckpoint()
+    plan = ruleset.passed(together.ruled_facts(spark, SF), definitions)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [k for k, line in enumerate(plan.splitlines()) if " Window [" in line]
+    joins = [k for k, line in enumerate(plan.splitlines()) if re.search(r"Join Inner.*view#", line)]
+    assert any(k < windows[0] for k in joins)  # the definitions come back behind the last window
+    marks = ruleset.passed(together.ruled_facts(spark, SF), definitions)
+    assert set(ruleset.hits(marks, ()).columns) == {*ruleset._SCOPE, *ruleset._LIFE}
