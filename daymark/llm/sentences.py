@@ -20,6 +20,7 @@ import re
 import zlib
 from array import array
 from functools import lru_cache
+from operator import add
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -76,7 +77,9 @@ class Pieces:
         self.other = re.compile("[^" + re.escape("".join(sorted({p for p in self.id if len(p) == 1}))) + "]")
         if any(map(self.other.search, self.id)):
             raise ValueError("a piece of this model holds a character that isn't a piece")
+        self.joined = {p[k : k + 2] for p in self.id for k in range(len(p) - 1)}
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.pairs: dict[tuple[str | None, str], bool] = {}
         self.follows: dict[int, bool] = {}
 
@@ -173,20 +176,34 @@ class Pieces:
             at -= size[at]
         return out[::-1]
 
-    def _unit(self, unit: str) -> bytes:
-        if self.other.search(unit):  # nothing merges with a character without a piece
-            got, done = b"", 0
-            for m in self.other.finditer(unit):
-                got += np.array([*self._path(unit[done : m.start()]), *(self.byte[b] for b in m[0].encode("utf-8", "surrogatepass"))], "<i4").tobytes()
-                done = m.end()
-            got += np.array(self._path(unit[done:]), "<i4").tobytes()
-        else:
-            got = array("i", self._path(unit)).tobytes()
+    def _part(self, part: str) -> bytes:
+        """Ids of a text of characters that stand side by side in pieces, or of one without a piece."""
+        got = self.before.get(part)
+        if got is None:
+            ids = [self.byte[b] for b in part.encode("utf-8", "surrogatepass")] if self.other.search(part) else self._path(part)
+            got = array("i", ids).tobytes()
+        return self._keep(part, got)
+
+    def _keep(self, unit: str, ids: bytes) -> bytes:
         if len(unit) <= WORD:
-            if len(self.known) >= WORDS:
-                self.known.clear()
-            self.known[unit] = got
-        return got
+            if len(self.known) >= WORDS // 2:  # what is still asked for comes over from the older half
+                self.before, self.known = self.known, {}
+            self.known[unit] = ids
+        return ids
+
+    def _unit(self, unit: str) -> bytes:
+        """No merge joins two characters that stand side by side in no piece: the unit is cut there, and its parts are solved once for all units."""
+        if (got := self.before.get(unit)) is not None:
+            return self._keep(unit, got)
+        joined, known, at, parts = self.joined, self.known, 0, []
+        for k, pair in enumerate(map(add, unit, unit[1:]), 1):
+            if pair not in joined:
+                part = unit[at:k]
+                parts.append(known.get(part) or self._part(part))
+                at = k
+        part = unit[at:]
+        parts.append(known.get(part) or self._part(part))
+        return self._keep(unit, b"".join(parts)) if at else parts[0]
 
     def units(self, s: str) -> bytes:
         """Ids of a written text that begins and ends where every path passes: its words' ids."""

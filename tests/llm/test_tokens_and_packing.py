@@ -230,3 +230,21 @@ def test_chat_tree(spark):
         assert n.position == sum(len(at[k].ids) for k in chain)
         assert {k.key for k in own if k.start <= n.start < k.subtree_end} == {*chain, n.key}  # ancestors and itself
     assert chat.read_back(*chat.tree(df.limit(0), BYTE_BPE), BYTE_BPE).count() == 0
+
+
+def test_units_are_cut_where_no_piece_reaches_and_kept_in_two_halves(monkeypatch):
+    from daymark.llm.queries import tokenizer_file
+
+    path = tokenizer_file("piece_bpe_32k.model")
+    sp, library = sentences.Pieces(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    monkeypatch.setattr(sentences, "WORDS", 40)
+    rng = random.Random(3)
+    words = ["house", "tree.", "ñandú", "www.a-b.com", "12,50%", "a\nb", "x\n\n", "…", "ﬁ²", "\U0001f600!", "it's", "&&&", "(no)", "..."]
+    texts = [rng.choice(("", " ", "  ")).join(rng.choice(words) for _ in range(rng.randint(1, 30))) for _ in range(300)]
+    for t in texts:
+        assert np.frombuffer(sp.units(sentences.written(t)), "<i4").tolist() == library.encode(t), t
+        assert len(sp.known) <= 20 and len(sp.before) <= 20
+    fresh = sentences.Pieces(path)
+    monkeypatch.setattr(sentences, "WORDS", 300_000)
+    fresh.units(sentences.written("tree\nhouse"))
+    assert {"▁tree", "\n", "house"} <= set(fresh.known)  # parts, for other units to use
